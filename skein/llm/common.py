@@ -20,6 +20,9 @@ U64 = np.uint64
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For terms: bytes that are no ASCII letter or digit and no part of another character separate them.
+TERM_GAPS = np.ones(256, bool)
+TERM_GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -97,14 +100,15 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a block.
 
+    Other gaps than white space may be given as a table of 256 bytes (TERM_GAPS splits at punctuation too).
     start, end: byte positions; first: index of each row's first word (one more at the end); hash: 64 bits.
     """
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = False, hashed: bool = True, gaps: np.ndarray = _SPACES):
         if lower:
             data = _LOWER[data]
         self.data = data
-        solid = ~_SPACES[data]
+        solid = ~gaps[data]
         begin, last = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
+from .id_files import token_round_trip
+from .language_id import identify_languages
 from .near_dup import near_groups
 from .packing import pack_sequences
 from .sharding import interleave_shards
+from .substring_dedup import remove_repeats
+from .toxicity import toxicity
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +26,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_docs(spark, sf_dir)).drop("row")
 
@@ -30,6 +38,10 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave_shards(_docs(spark, sf_dir))
 
 
+def op7_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_docs(spark, sf_dir))
+
+
 def op8_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_docs(spark, sf_dir), tokenizer_file())
 
@@ -38,5 +50,13 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_docs(spark, sf_dir))
+
+
+def op6_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_docs(spark, sf_dir), tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_stratified_shards, op8_differencing_packs, op10_superminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op10_superminhash)}
