@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contaminated_pairs
 from .exact_dedup import exact_groups
 from .id_files import token_round_trip
 from .language_id import identify_languages
 from .near_dup import near_groups
 from .packing import pack_sequences
+from .personal_data import find_personal_data
 from .sharding import interleave_shards
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
@@ -46,10 +48,18 @@ def op8_differencing_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(_docs(spark, sf_dir), tokenizer_file())
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_docs(spark, sf_dir))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_docs(spark, sf_dir), k=2, percent=80)
 
 
+def op4_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_docs(spark, sf_dir))
 
@@ -59,4 +69,26 @@ def op6_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op10_superminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op4_latent_retrieval, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op9_personal_data, op10_superminhash)}
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "op2_exact_dedup": f"""
+            WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
+            g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+            SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+        "op5_recompression": r"""
+            WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+            s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+            k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s),
+            f AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h),
+            c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM k JOIN f USING (h) WHERE least < doc_id),
+            r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+            o AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)),
+            p AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(gone, i) THEN '' ELSE x END), x -> x <> '') AS kept FROM o)
+            SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM p""",
+    }
