@@ -6,7 +6,8 @@ block at once and stop for a document as soon as all its positions are filled, s
 
 Documents with equal shingle sets are one node. Nodes that share a band's bucket are candidates:
 1. each is compared with its bucket's two pivots (linear in the bucket), and links form components;
-2. in buckets that still hold several components, every pair from different components is compared.
+2. in buckets that still hold several components all pairs are compared, in blocks of bounded size whose intersections
+   are matrix products; a block yields a spanning forest of its links, so no pair of texts becomes a row.
 So each pair that shares a bucket is either compared on the full sets or already in one component: no cap, no
 lost link among candidates. With 32 bands of 4 a pair of similarity 0.8 shares no bucket with chance 5e-8.
 """
@@ -16,8 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Scratch, Words, configure, mix, text_blocks
@@ -25,6 +27,7 @@ from .components import connected
 
 SET_BITS = 54  # a shingle's hash; above it, the row within a slice
 SLICE_ROWS = 1000
+BLOCK_NODES, BLOCK_SHINGLES = 1000, 300_000  # of one block; two meet in a task
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -140,6 +143,58 @@ def _verify(percent: int):
     return verify
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairwise intersections: frequent shingles by matrix products, rare ones pair by pair."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    out = np.zeros((n, n), np.float32)
+    often = np.flatnonzero(times > 12)
+    place = np.full(len(times), -1)
+    place[often] = np.arange(len(often))
+    for lo in range(0, len(often), 1024):
+        here = (place[code] >= lo) & (place[code] < lo + 1024)
+        x = np.zeros((n, min(1024, len(often) - lo)), np.float32)
+        x[row[here], place[code[here]] - lo] = 1
+        out += x @ x.T
+    order = np.argsort(code, kind="stable")
+    first = np.cumsum(times) - times
+    for t in range(2, 13):
+        groups = row[order[first[times == t][:, None] + np.arange(t)]]
+        for i in range(t):
+            for j in range(t):
+                if i != j:
+                    np.add.at(out, (groups[:, i], groups[:, j]), 1)
+    np.fill_diagonal(out, size)
+    return np.rint(out).astype(np.int64)
+
+
+def _block_links(percent: int):
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        """A spanning forest of the links in one block of a bucket."""
+        group = group.sort_values("node", ignore_index=True)
+        node, component = group["node"].to_numpy(), group["component"].to_numpy()
+        found: list[tuple[int, int]] = []
+        if (component != component[0]).any():
+            sets = [np.frombuffer(x, "<u8") for x in group["shingles"]]
+            size = np.array([len(x) for x in sets])
+            common = common_counts(sets)
+            linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+            open_ = np.ones(len(node), bool)
+            for start in range(len(node)):
+                queue = [start] if open_[start] else []
+                open_[start] = False
+                while queue:
+                    x = queue.pop()
+                    for y in np.flatnonzero(linked[x] & open_).tolist():
+                        open_[y] = False
+                        queue.append(y)
+                        found.append((int(node[x]), int(node[y])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return links
+
+
 def near_groups(
     docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, height: int = 4,
     doc_id: str = "doc_id", text: str = "text",
@@ -163,7 +218,6 @@ def near_groups(
     spread = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     buckets = scratch.stash(spread.join(shared, "key"), "buckets")
-    near = F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
     pivots = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.explode(F.array("low", "high")).alias("a")).filter("a <> b")
     pairs = pivots.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # full sets of the nodes in those buckets, from their texts
@@ -181,19 +235,19 @@ def near_groups(
 
     first = scratch.stash(links(pairs), "links-1")
     labels = connected(first, scratch, "first")
-    # what is left: pairs from different components in one bucket; one side lies outside the bucket's largest label
+    # what is left: buckets with several components, each once; all their pairs are compared in blocks of bounded size
     member = buckets.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    member = member.join(several, "key")
-    counted = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    major = counted.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top")).select("key", F.col("top.component").alias("major"))
-    minor = member.join(major, "key").filter("component <> major")
-    pair = minor.select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), "major").join(
-        member.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc")), "key"
-    )
-    pair = pair.filter((F.col("ac") != F.col("bc")) & near & ((F.col("bc") == F.col("major")) | (F.col("a") < F.col("b"))))
-    rest = pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = scratch.stash(links(rest), "links-2")
+    several = member.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"),
+    ).filter("lo < hi")
+    several = several.groupBy("who", "members").agg(F.min("key").alias("key"), F.max("total").alias("total"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    member = member.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    dealt = member.withColumn("meet", F.explode(meet)).select("key", "meet.i", "meet.j", "node", "component").join(sets, "node")
+    rest = dealt.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
+    second = scratch.stash(rest, "links-2")
     labels = connected(second.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")), scratch, "all")
 
     labelled = signed.select("doc_id", "n", "node").join(labels, "node", "left")

@@ -82,13 +82,12 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
         "op5_recompression": r"""
-            WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+            WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
             s AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
             k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s),
             f AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h),
             c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM k JOIN f USING (h) WHERE least < doc_id),
-            r AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
-            o AS (SELECT d.doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)),
-            p AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(gone, i) THEN '' ELSE x END), x -> x <> '') AS kept FROM o)
-            SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM p""",
+            x AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+            o AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+            SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)""",
     }

@@ -297,11 +297,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     known = texts.filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     sent = known.select("doc_id", "text").mapInArrow(_send_anchors(owners), MESSAGE)
     repeated = sent.groupBy("owner").applyInPandas(_repeated(owners), "doc_id long, anchors binary").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
-    named = known.withColumn("text_id", F.xxhash64("doc_id", "text"))
+    # the same rows, dealt by doc_id, serve both joins below: Spark reuses their exchange
+    named = known.withColumn("text_id", F.xxhash64("doc_id", "text")).select("doc_id", "text_id", "text")
     suspects = named.join(repeated, "doc_id").select("doc_id", "text_id", "text", "anchors")
     windows = suspects.mapInArrow(_send_windows(owners, window), MESSAGE)
     removed = windows.groupBy("owner").applyInPandas(_later(owners), "doc_id long, text_id long, starts binary")
     removed = removed.groupBy("doc_id", "text_id").agg(F.collect_list("starts").alias("starts"))
-    keyed = texts.withColumn("_id", F.col("doc_id").cast("long")).withColumn("text_id", F.xxhash64("_id", "text")).alias("t")
-    out = keyed.join(removed.alias("r"), (F.col("t._id") == F.col("r.doc_id")) & (F.col("t.text_id") == F.col("r.text_id")), "left")
-    return out.select("t.doc_id", "t.text", "r.starts").mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    same = (F.col("t.doc_id") == F.col("r.doc_id")) & F.col("t.text_id").between(F.col("r.text_id"), F.col("r.text_id"))
+    found = named.alias("t").join(removed.alias("r"), same, "left").select(F.col("t.doc_id").cast(kind).alias("doc_id"), "t.text", "r.starts")
+    rest = texts.filter("doc_id is null or text is null").withColumn("starts", F.lit(None).cast("array<binary>"))
+    return found.union(rest).mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -12,7 +12,7 @@ import pandas as pd
 
 from .common import Words, ragged
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 
 _encoders: dict[str, "WordEncoder"] = {}
 
