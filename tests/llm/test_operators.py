@@ -4,9 +4,14 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from skein.llm import common, decontamination, exact_dedup, id_files, language_id, near_dup, packing, personal_data, queries, sharding, substring_dedup, toxicity
+from skein.llm.common import text_blocks
+from skein.llm.queries import tokenizer_file
+from skein.llm.tokens import word_encoder
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, node long, row string, sha string, body string, start int, n int"
@@ -264,3 +269,17 @@ def test_pipeline(spark):
         before, kept = common.Scratch(spark).stash(after, name), ids
     packed = corpus_pipeline.STAGES[-1][1](spark, before, folder).toPandas()
     assert set(packed.doc_id) == kept
+
+
+def test_units_against_the_library():
+    """Cutting words into units gives the ids that the library gives for the whole text."""
+    rng = random.Random(3)
+    pool = "abcXYZ éÉßñÿĀıİŉſŒ×÷ª«»–—…'’.,!?-_09٣½ \t\n\x0b\x1c\x7f\x85 ́中文кКΣσς<|>endoftextS't𝒳😀ﬁ​　"
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["", None, "<|endoftext|>", "x<|endoftext|>y <|ENDOFTEXT|>.", "it's IT'S we'LL 'tis !'s ''s", "word, Word... 2024-11-02"]
+    encoder, whole = word_encoder(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
+    assert encoder.split
+    for lo, hi, data, at in text_blocks(pa.array(texts, pa.string())):
+        ids, counts = encoder.encode(data, at)
+        expected = whole.encode_batch([x or "" for x in texts[lo:hi]], add_special_tokens=False)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in expected]
