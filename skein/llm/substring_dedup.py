@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     configure(docs.sparkSession)
     owners, _ = partitions_for(docs, text, owner_bytes)
     kind = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # no alias of a column to its own name: one side of the self-join would keep it, and the exchanges would differ
+    texts = docs.select(*(F.col(x) if x == y else F.col(x).alias(y) for x, y in ((doc_id, "doc_id"), (text, "text"))))
     known = texts.filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     sent = known.select("doc_id", "text").mapInArrow(_send_anchors(owners), MESSAGE)
     repeated = sent.groupBy("owner").applyInPandas(_repeated(owners), "doc_id long, anchors binary").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
