@@ -10,7 +10,8 @@ So in each window of 13 words some symbol (or a run's word) begins at one of the
 window. The name of the symbols' surroundings there, ten words, is the anchor that is exchanged.
 
 1. Every task sends each owner of a hash range its distinct anchors, sorted and packed; those in several documents
-   of the task are known to repeat and are sent once. Owners answer which others repeat.
+   of the task are known to repeat and are sent once. Owners answer which others repeat, one packed message to each
+   range of documents (a post), not one for each document; posts make one row for each document.
 2. The documents with repeated anchors shuffle their text; the windows around these anchors are named (64 bits) and
    exchanged in the same way; owners find the smallest doc_id of each and answer the windows of larger ones.
 3. The words of those windows are removed.
@@ -37,6 +38,7 @@ ANCHOR_BITS = 48  # anchors only propose; windows are compared by 64 bits
 FLUSH = 3_000_000
 FACTOR = 0x9E3779B97F4A7C15
 MESSAGE = "owner int, keys binary, docs binary, starts binary, names binary"
+REPLY = "post int, names binary, sizes binary, values binary"
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -144,12 +146,40 @@ def _read(got: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(starts), np.concatenate(names)
 
 
-def _by_document(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, raw = docs[order], values[order].astype("<u8").tobytes()
-    cut = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(docs)) if len(docs) else cut
-    return docs[cut], [raw[8 * a : 8 * b] for a, b in zip(cut.tolist(), ends.tolist())]
+def _replies(names: np.ndarray, values: np.ndarray, posts: int) -> pd.DataFrame:
+    """One packed message to each post; names: a row (doc_id, ...) for each value."""
+    post = (mix(names[:, 0].view(U64)) >> U64(40)).astype(np.int64) * posts >> 24
+    order = np.lexsort((values, *names.T[::-1], post))
+    post, names, values = post[order], names[order], values[order].astype(U64)
+    head = np.concatenate([np.ones(min(len(post), 1), bool), (names[1:] != names[:-1]).any(axis=1)])
+    cut = np.flatnonzero(head)
+    size = np.diff(np.append(cut, len(post)))
+    to, first = np.unique(post, return_index=True)
+    out = []
+    for o, a, b in zip(to.tolist(), first.tolist(), [*first[1:].tolist(), len(post)]):
+        c, d = np.searchsorted(cut, [a, b])
+        table = np.ascontiguousarray(names[cut[c:d]])
+        out.append((o, table.tobytes(), planes(size[c:d].astype(U64)), planes(np.diff(values[a:b], prepend=U64(0)))))
+    return pd.DataFrame(out, columns=["post", "names", "sizes", "values"])
+
+
+def _by_document(width: int, columns: list[str]):
+    def by_document(got: pd.DataFrame) -> pd.DataFrame:
+        """A row for each document of a post: its names and all its values, packed."""
+        names = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, width) for x in got["names"]])
+        sizes = np.concatenate([unplanes(x).astype(np.int64) for x in got["sizes"]])
+        values = np.concatenate([np.cumsum(unplanes(x), dtype=U64) for x in got["values"]])
+        order = np.lexsort(names.T[::-1])
+        begin = np.cumsum(sizes) - sizes
+        values = values[ragged(begin[order], sizes[order])]
+        names, ends = names[order], np.cumsum(sizes[order])
+        last = np.append((names[1:] != names[:-1]).any(axis=1), True)
+        ends = ends[last]
+        raw = values.astype("<u8").tobytes()
+        lists = [raw[8 * a : 8 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return pd.DataFrame(dict(zip(columns, [*names[last].T, lists])))
+
+    return by_document
 
 
 def _send_anchors(owners: int):
@@ -191,8 +221,7 @@ def _repeated(owners: int):
             twin[1:-1] = keys[1:] == keys[:-1]
             mask = (twin[1:] | twin[:-1]) & (docs >= 0)
             keys, docs = keys[mask], docs[mask]
-        which, lists = _by_document(docs, keys)
-        return pd.DataFrame({"doc_id": names[which, 0], "anchors": lists})
+        return _replies(names[docs], keys, owners)
 
     return repeated
 
@@ -219,7 +248,7 @@ def _send_windows(owners: int, window: int):
                 marked = np.zeros(len(words.hash), bool)
                 for i in range(hi - lo):
                     a, b, end = cut[i], cut[i + 1], words.first[i + 1] - window
-                    wanted = np.concatenate([np.frombuffer(x, "<u8") for x in lists[lo + i].as_py()])
+                    wanted = np.frombuffer(lists[lo + i].as_py(), "<u8")
                     found = where[a:b][np.isin(keys[a:b], wanted)]
                     start = (found[:, None] - np.arange(LEFT, window - RIGHT)).ravel()
                     marked[start[(start >= words.first[i]) & (start <= end)]] = True
@@ -245,8 +274,7 @@ def _later(owners: int):
             least = np.repeat(np.minimum.reduceat(names[docs, 0], head), np.diff(np.append(head, len(keys))))
             mask = names[docs, 0] > least
             docs, starts = docs[mask], starts[mask]
-        which, lists = _by_document(docs, starts)
-        return pd.DataFrame({"doc_id": names[which, 0], "text_id": names[which, 1], "starts": lists})
+        return _replies(names[docs], starts, owners)
 
     return later
 
@@ -261,7 +289,7 @@ def _remove(window: int):
                 cover = np.zeros(n + 1, np.int64)
                 for i in range(hi - lo):
                     if lists[lo + i].is_valid:
-                        start = np.concatenate([np.frombuffer(x, "<u8") for x in lists[lo + i].as_py()]).astype(np.int64) + words.first[i]
+                        start = np.frombuffer(lists[lo + i].as_py(), "<u8").astype(np.int64) + words.first[i]
                         np.add.at(cover, start, 1)
                         np.add.at(cover, start + window, -1)
                 keep = np.cumsum(cover)[:n] == 0
@@ -297,14 +325,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     texts = docs.select(*(F.col(x) if x == y else F.col(x).alias(y) for x, y in ((doc_id, "doc_id"), (text, "text"))))
     known = texts.filter("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     sent = known.select("doc_id", "text").mapInArrow(_send_anchors(owners), MESSAGE)
-    repeated = sent.groupBy("owner").applyInPandas(_repeated(owners), "doc_id long, anchors binary").groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
+    repeated = sent.groupBy("owner").applyInPandas(_repeated(owners), REPLY)
+    repeated = repeated.groupBy("post").applyInPandas(_by_document(1, ["doc_id", "anchors"]), "doc_id long, anchors binary")
     # the same rows, dealt by doc_id, serve both joins below: Spark reuses their exchange
     named = known.withColumn("text_id", F.xxhash64("doc_id", "text")).select("doc_id", "text_id", "text")
     suspects = named.join(repeated, "doc_id").select("doc_id", "text_id", "text", "anchors")
     windows = suspects.mapInArrow(_send_windows(owners, window), MESSAGE)
-    removed = windows.groupBy("owner").applyInPandas(_later(owners), "doc_id long, text_id long, starts binary")
-    removed = removed.groupBy("doc_id", "text_id").agg(F.collect_list("starts").alias("starts"))
+    removed = windows.groupBy("owner").applyInPandas(_later(owners), REPLY)
+    removed = removed.groupBy("post").applyInPandas(_by_document(2, ["doc_id", "text_id", "starts"]), "doc_id long, text_id long, starts binary")
     same = (F.col("t.doc_id") == F.col("r.doc_id")) & F.col("t.text_id").between(F.col("r.text_id"), F.col("r.text_id"))
     found = named.alias("t").join(removed.alias("r"), same, "left").select(F.col("t.doc_id").cast(kind).alias("doc_id"), "t.text", "r.starts")
-    rest = texts.filter("doc_id is null or text is null").withColumn("starts", F.lit(None).cast("array<binary>"))
+    rest = texts.filter("doc_id is null or text is null").withColumn("starts", F.lit(None).cast("binary"))
     return found.union(rest).mapInArrow(_remove(window), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
