@@ -172,17 +172,23 @@ def prompt_input(t):
 # ---- vectors
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)"
-_KNN = "SELECT qid, id, score, cast(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, {s} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 {w}) WHERE rank <= 10"
+_KNN = "SELECT qid, id, score, cast(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, {s} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {s} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 {w}) WHERE rank <= 10"
 
 
 def _qv(t):
-    return t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    return t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
 
 
 def _v(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
 
 
+def _wanted(t):
+    """A seventh of all vectors for each query."""
+    q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.expr("vec_id div 50 % 7").alias("m"))
+    return q.join(t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("m")), "m").select("qid", "id")
+
+
 @query(_KNN.format(s=_COS, w=""))
 def knn_topk(t):
     return vectors.knn(_qv(t), _v(t), 10).select("qid", "id", "score", "rank")
@@ -193,9 +199,9 @@ def knn_filtered_label(t):
     return vectors.knn(_qv(t), t.embeddings.filter("label = 3").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 10).select("qid", "id", "score", "rank")
 
 
-@query(f"SELECT q.vec_id AS qid, v.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id % 20 = q.vec_id")
+@query(f"SELECT q.vec_id AS qid, v.vec_id AS id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 7 = q.vec_id // 50 % 7")
 def knn_score_ids(t):
-    return vectors.score_ids(_qv(t), _v(t), t.embeddings.select((F.col("vec_id") % 20).alias("qid"), F.col("vec_id").alias("id")))
+    return vectors.score_ids(_qv(t), _v(t), _wanted(t))
 
 
 @query("SELECT vec_id, true AS valid FROM embeddings")
@@ -216,25 +222,23 @@ def threshold_then_cap(t):
     return vectors.threshold_then_cap(hits, 4, 0.3).select("qid", "id", "score", "rank")
 
 
-@query(f"""WITH h AS (SELECT q.vec_id % 5 AS qid, q.vec_id // 5 AS ord, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20)
+@query(f"""WITH h AS (SELECT q.vec_id // 50 % 5 AS qid, q.vec_id // 250 AS ord, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)
     SELECT cast(qid AS BIGINT) AS qid, id, score FROM h WHERE rank <= 20 AND score >= 0.2 QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY ord, rank) = 1""")
 def entity_recall_first_seen(t):
     hits = vectors.knn(_qv(t), _v(t), 20).filter("score >= 0.2")
-    hits = hits.select((F.col("qid") % 5).alias("qid"), F.floor(F.col("qid") / 5).alias("ord"), "rank", "id", "score")
+    hits = hits.select(F.expr("qid div 50 % 5").alias("qid"), F.expr("qid div 250").alias("ord"), "rank", "id", "score")
     return vectors.first_seen(hits).select("qid", "id", "score")
 
 
-@query(f"SELECT qid, id, score, cast(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.vec_id % 7 = q.vec_id % 7) WHERE rank <= 15")
+@query(f"SELECT qid, id, score, cast(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 7 = q.vec_id // 50 % 7) WHERE rank <= 15")
 def coarse_rank_candidates(t):
-    q = _qv(t)
-    cand = q.select("qid", (F.col("qid") % 7).alias("m")).join(t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("m")), "m").select("qid", "id")
-    return vectors.top_k(vectors.score_ids(q, _v(t), cand), 15).select("qid", "id", "score", "rank")
+    return vectors.top_k(vectors.score_ids(_qv(t), _v(t), _wanted(t)), 15).select("qid", "id", "score", "rank")
 
 
 # ---- graph
 
 _G = """edges AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS entity_id FROM lineitem),
-    seeds AS (SELECT p_partkey % 4 AS qid, p_partkey AS entity_id FROM part WHERE p_partkey <= 8),
+    seeds AS (SELECT p_partkey // 50 % 4 AS qid, p_partkey AS entity_id FROM part WHERE p_partkey % 50 = 0),
     e0 AS (SELECT DISTINCT qid, event_id FROM edges JOIN seeds USING (entity_id)),
     p1 AS (SELECT DISTINCT qid, entity_id FROM edges JOIN e0 USING (event_id) EXCEPT SELECT qid, entity_id FROM seeds),
     e1 AS (SELECT DISTINCT qid, event_id FROM edges JOIN p1 USING (entity_id) EXCEPT SELECT qid, event_id FROM e0)"""
@@ -247,7 +251,7 @@ def _edges(t):
 
 
 def _seeds(t):
-    return t.part.filter("p_partkey <= 8").select((F.col("p_partkey") % 4).alias("qid"), F.col("p_partkey").alias("entity_id"))
+    return t.part.filter("p_partkey % 50 = 0").select(F.expr("p_partkey div 50 % 4").alias("qid"), F.col("p_partkey").alias("entity_id"))
 
 
 @query(f"WITH {_G} SELECT qid, event_id FROM e0 WHERE event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
@@ -280,14 +284,14 @@ def phase_a(t):
 
 
 @query(f"""WITH {_G}, x AS (SELECT qid, event_id FROM e0 WHERE event_id % 2 = 0), b1 AS (SELECT * FROM e0 EXCEPT SELECT * FROM x),
-    open AS (SELECT qid, event_id FROM b1 WHERE qid NOT IN (SELECT qid FROM b1 GROUP BY qid HAVING count(*) >= 30)),
+    open AS (SELECT qid, event_id FROM b1 WHERE qid NOT IN (SELECT qid FROM b1 GROUP BY qid HAVING count(*) >= 150)),
     q1 AS (SELECT DISTINCT qid, entity_id FROM edges JOIN open USING (event_id) EXCEPT SELECT qid, entity_id FROM seeds),
     b2 AS (SELECT DISTINCT qid, event_id FROM edges JOIN q1 USING (entity_id) EXCEPT (SELECT * FROM x UNION SELECT * FROM b1))
     SELECT qid, event_id, 1 AS hop FROM b1 UNION ALL SELECT qid, event_id, 2 FROM b2""")
 def phase_b_gated(t):
     edges = _edges(t)
     x = graph.entity_to_event(_seeds(t), edges).filter("event_id % 2 = 0")
-    return graph.phase_b(_seeds(t), x, edges, most=30, retries=2)
+    return graph.phase_b(_seeds(t), x, edges, most=150, retries=2)
 
 
 @query(f"WITH {_G} SELECT qid, event_id FROM e0 UNION ALL SELECT qid, event_id FROM e1")
@@ -309,11 +313,11 @@ def hopllm_expand(t):
     return ranked.withColumn("phase", F.lit(1)).union(b.select("qid", "event_id").withColumn("phase", F.lit(2)))
 
 
-@query(f"""WITH {_G}, c AS (SELECT qid, event_id, 0.0::DOUBLE AS score FROM e0 UNION ALL SELECT q.vec_id % 4, v.vec_id, {_COS} FROM embeddings q, embeddings v WHERE q.vec_id < 4 AND {_COS} >= 0.4
+@query(f"""WITH {_G}, c AS (SELECT qid, event_id, 0.0::DOUBLE AS score FROM e0 UNION ALL SELECT q.vec_id // 50, v.vec_id, {_COS} FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND {_COS} >= 0.4
     QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) <= 20) SELECT qid, event_id, max(score) AS score FROM c GROUP BY ALL""")
 def two_channel_recall(t):
     first = graph.entity_to_event(_seeds(t), _edges(t)).withColumn("score", F.lit(0.0))
-    second = vectors.knn(_qv(t).filter("qid < 4"), _v(t), 20).filter("score >= 0.4").select("qid", F.col("id").alias("event_id"), "score")
+    second = vectors.knn(_qv(t), _v(t), 20).filter("score >= 0.4").select(F.expr("qid div 50").alias("qid"), F.col("id").alias("event_id"), "score")
     return first.union(second).groupBy("qid", "event_id").agg(F.max("score").alias("score"))
 
 
@@ -324,10 +328,10 @@ def event_details(t):
     return x.filter("entity_ids is not null").select("event_id", "title", F.array_join(F.col("entity_ids").cast("array<string>"), ",").alias("entities"))
 
 
-@query("SELECT o_orderkey AS event_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, '') AS title, row_number() OVER (ORDER BY o_orderkey) AS pos FROM orders WHERE o_orderkey <= 500")
+@query("SELECT o_orderkey AS event_id, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, '') AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders")
 def candidate_assembly(t):
-    x = t.orders.filter("o_orderkey <= 500").select(F.col("o_orderkey").alias("event_id"))
-    x = vectors.top_k(x.withColumns({"qid": F.lit(1), "score": F.lit(0), "id": F.col("event_id")}), 10**9)
+    x = t.orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("event_id"))
+    x = vectors.top_k(x.withColumns({"score": F.lit(0), "id": F.col("event_id")}), 10**9)
     d = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"))
     return x.join(d, "event_id", "left").select("event_id", F.coalesce("title", F.lit("")).alias("title"), F.col("rank").cast("long").alias("pos"))
 
@@ -421,11 +425,11 @@ def chunk_standard(t):
 
 # ---- extraction and relational verbs
 
-_MENTIONS = "m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents WHERE lang = 'en')"
+_MENTIONS = "m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents)"
 
 
 def _mentions(t):
-    return t.documents.filter("lang = 'en'").select("source", F.col("doc_id").alias("ord"), F.lit("subject").alias("type"), F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("name"))
+    return t.documents.select("source", F.col("doc_id").alias("ord"), F.lit("subject").alias("type"), F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("name"))
 
 
 @query(f"WITH {_MENTIONS} SELECT source, 'subject' AS type, lower(name) AS normalized_name, min(name) AS name, count(*) AS mentions, md5(concat_ws(chr(1), source, 'subject', lower(name))) AS entity_id FROM m GROUP BY source, lower(name)")
@@ -491,10 +495,10 @@ def upsert_report(t):
     return extraction.upsert_report(old, t.part.select("p_partkey", "p_size"), "p_partkey", ["p_size"])
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey <= 50 THEN 'DELETED' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -c_custkey, 'NEW' FROM customer WHERE c_custkey <= 50")
+@query("SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'DELETED' ELSE o_orderstatus END AS status FROM orders UNION ALL SELECT -c_custkey, 'NEW' FROM customer WHERE c_mktsegment = 'BUILDING'")
 def replace_events(t):
     old = t.orders.select("o_orderkey", F.col("o_custkey").alias("article_id"), F.col("o_orderstatus").alias("status"))
-    new = t.customer.filter("c_custkey <= 50").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("article_id"), F.lit("NEW").alias("status"))
+    new = t.customer.filter("c_mktsegment = 'BUILDING'").select((-F.col("c_custkey")).alias("o_orderkey"), F.col("c_custkey").alias("article_id"), F.lit("NEW").alias("status"))
     return extraction.replace_events(old, new).select("o_orderkey", "status")
 
 
@@ -529,9 +533,9 @@ def chunk_sections(t):
     return x.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("turn")).cast("array<string>"), ",").alias("sections"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 = l_partkey % 10")
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem SEMI JOIN (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R') USING (l_orderkey, l_partkey)")
 def pair_lookup(t):
-    want = t.lineitem.select("l_orderkey", "l_partkey").filter("l_orderkey % 10 = l_partkey % 10").distinct()
+    want = t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
     return t.lineitem.join(want, ["l_orderkey", "l_partkey"]).select("l_orderkey", "l_partkey", "l_quantity")
 
 
@@ -550,7 +554,7 @@ def extract_events(t):
 
 # ---- full text
 
-_BM = """q AS (SELECT item_id AS qid, unnest(list_distinct([x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''])) AS term FROM benchmark WHERE item_id < 10),
+_BM = """q AS (SELECT item_id AS qid, unnest(list_distinct([x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''])) AS term FROM benchmark),
     w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS w FROM documents), l AS (SELECT doc_id, len(w) AS length FROM w), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     b AS (SELECT qid, doc_id AS doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 5) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (doc_id), a GROUP BY ALL)"""
@@ -558,7 +562,7 @@ _BM = """q AS (SELECT item_id AS qid, unnest(list_distinct([x FOR x IN string_sp
 
 def _terms(t):
     w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-    return t.benchmark.filter("item_id < 10").select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(w)).alias("term"))
+    return t.benchmark.select(F.col("item_id").alias("qid"), F.explode(F.array_distinct(w)).alias("term"))
 
 
 @query(f"WITH {_BM} SELECT qid, doc, round(score, 3) AS score FROM b")
@@ -566,9 +570,9 @@ def bm25_document(t):
     return fulltext.bm25(_terms(t), t.documents).select("qid", "doc", F.round("score", 3).alias("score"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey <= 20)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 50 = 0)")
 def name_exact_batch(t):
-    return t.part.join(t.part.filter("p_partkey <= 20").select("p_name").distinct(), "p_name", "left_semi").select("p_partkey", "p_name")
+    return t.part.join(t.part.filter("p_partkey % 50 = 0").select("p_name").distinct(), "p_name", "left_semi").select("p_partkey", "p_name")
 
 
 @query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-11' ORDER BY ts DESC, event_id LIMIT 50")
@@ -687,7 +691,7 @@ def _corpus(t):
 
 def _strategy(name: str):
     def run(t):
-        q = t.benchmark.filter("item_id < 10")
+        q = t.benchmark
         embed = providers.embedder()
         names = q.select(F.col("item_id").alias("qid"), F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1)))).alias("ord", "name"))
         config = SearchConfig.atomic() if name == "atomic" else SearchConfig(name, max_events_b=50 if name in ("multi1", "hopllm") else 0)
