@@ -283,3 +283,14 @@ def test_units_against_the_library():
         ids, counts = encoder.encode(data, at)
         expected = whole.encode_batch([x or "" for x in texts[lo:hi]], add_special_tokens=False)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in expected]
+
+
+def test_toxicity_sample(spark):
+    """At most so many ids of either label, those that hash lowest; repeated rows and null labels add none."""
+    docs = spark.createDataFrame([(i % 200, f"w{i}") for i in range(400)] + [(None, "x"), (500, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0) if i != 7 else None) for i in range(200)] + [(0, 1), (500, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.sample_ids(docs, labels, "doc_id", "text", "toxic", 30).collect()
+    order = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    for label in (0, 1):
+        want = sorted((i for i in range(200) if i != 7 and int(i % 4 == 0) == label), key=order.get)[:30]
+        assert sorted(r["_id"] for r in got if r["toxic"] == label) == sorted(want)
