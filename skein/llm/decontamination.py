@@ -7,7 +7,9 @@ only features that the benchmark has get coordinates, since others cannot bring
 
 Every window of every document is compared with all benchmark passages, in blocks of ``block`` passages, by cosine in
 that space. A near pair is checked on its terms: longest common subsequence, and the answers, which are the passage's
-rarest terms. A document is contaminated by an item if enough of the item's passages are found in it.
+rarest terms. The check covers the item around the passage too: each run of PASSAGE terms, wherever it starts, and runs
+of RUN equal terms, so that a quotation across the cuts counts in full. A document is contaminated by an item if enough
+of the item's passages, or of its terms, are found in it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import TERM_GAPS, U64, Scratch, Words, configure, text_blocks
 BITS = 18  # features
 WINDOW, STRIDE = 32, 16  # terms of a document window
 PASSAGE = 24  # terms of a benchmark passage at most
+STEP = 4  # between the runs of PASSAGE terms that are checked around a near passage
+RUN = 5  # equal terms in a row that count as found by themselves
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -59,7 +63,7 @@ def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in text_blocks(batch.column(1)):
             words = Words(data, at, lower=True, gaps=TERM_GAPS)
-            row, nth, of, terms = [], [], [], []
+            row, nth, of, terms, left, around, n = [], [], [], [], [], [], []
             for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
                 cuts = cut_passages(b - a) if b > a else []
                 for j, (x, y) in enumerate(cuts):
@@ -67,7 +71,14 @@ def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     nth.append(j)
                     of.append(len(cuts))
                     terms.append(words.hash[a + x : a + y].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(of, pa.int32()), pa.array(terms, pa.binary())], ["item_id", "passage", "passages", "terms"])
+                    left.append(max(0, x - PASSAGE))
+                    around.append(words.hash[a + left[-1] : min(b, a + y + PASSAGE)].astype("<u8").tobytes())
+                    n.append(b - a)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(of, pa.int32()), pa.array(terms, pa.binary()),
+                 pa.array(left, pa.int32()), pa.array(around, pa.binary()), pa.array(n, pa.int32())],
+                ["item_id", "passage", "passages", "terms", "left", "around", "n"],
+            )
 
 
 def _cut_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +148,55 @@ def common_subsequence(x: list[int], y: list[int]) -> int:
     return len(x) - row.bit_count()
 
 
+def aligned(x: list[int], y: list[int]) -> int:
+    """The terms of x (as bits) in one longest common subsequence."""
+    where: dict[int, int] = {}
+    for i, v in enumerate(x):
+        where[v] = where.get(v, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    rows = [full]
+    for v in y:
+        hit = rows[-1] & where.get(v, 0)
+        rows.append((rows[-1] + hit | rows[-1] - hit) & full)
+    i, j, out = len(x), len(y), 0
+    while i and j:
+        if rows[j] >> i - 1 & 1:
+            i -= 1
+            continue
+        j -= 1
+        if rows[j] >> i - 1 & 1:
+            i -= 1
+            out |= 1 << i
+    return out
+
+
+def found_terms(around: list[int], rare: set[int], region: list[int], lcs: float, answers: float) -> int:
+    """The terms of around (as bits) that the region has: in RUN equal terms in a row, or in a run of PASSAGE terms that passes the checks."""
+    there = set(zip(*(region[j:] for j in range(RUN))))
+    out = 0
+    for i, run in enumerate(zip(*(around[j:] for j in range(RUN)))):
+        if run in there:
+            out |= (1 << RUN) - 1 << i
+    distinct = set(region)
+    present = sum(1 << i for i, x in enumerate(around) if x in distinct)
+    size = min(PASSAGE, len(around))
+    starts = [*range(0, len(around) - size, STEP), len(around) - size]
+    for i in starts:
+        here = (1 << size) - 1 << i
+        if (present & here).bit_count() < lcs * size or not here & present & ~out:
+            continue  # a longer common subsequence can't be, or nothing is added
+        part = around[i : i + size]
+        matched, wanted = aligned(part, region), rare.intersection(part)
+        if matched.bit_count() >= lcs * size and len(wanted & distinct) >= answers * len(wanted):
+            out |= matched << i
+    return out
+
+
 def _search(shared, similarity: float, lcs: float, answers: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, place, block = shared.value  # float32 weights x basis; feature -> row or -1; the block's passages
         queries, terms, rare, idf = block["vectors"], block["terms"], block["rare"], block["idf"]
-        sets = [set(t) for t in terms]
+        sets, around = [set(t) for t in block["around"]], block["around"]
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, at in text_blocks(batch.column(1)):
@@ -170,7 +225,7 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                 # a window whose latent part is too small is near no passage (Cauchy-Schwarz)
                 live = np.flatnonzero((window * window).sum(axis=1) > (similarity * block["least"] * size) ** 2)
                 owner = np.repeat(np.arange(hi - lo), many)
-                found: dict[tuple[int, int], tuple[float, int, int]] = {}
+                found: dict[tuple[int, int], tuple[float, int, int, int, bool]] = {}
                 for i in range(0, len(live), 8192):
                     part = live[i : i + 8192]
                     near = (window[part] / size[part, None]) @ queries.T
@@ -179,30 +234,44 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                         start = int(words.first[doc] + (part[w] - base[doc]) * STRIDE)
                         a, b = max(int(words.first[doc]), start - STRIDE // 2), min(int(words.first[doc + 1]), start + WINDOW + STRIDE // 2)
                         region = words.hash[a:b].tolist()
-                        if len(sets[q].intersection(region)) < lcs * len(sets[q]):
-                            continue  # a longer common subsequence can't be
+                        if sum(map(sets[q].__contains__, region)) < RUN:
+                            continue  # neither RUN equal terms nor a long common subsequence can be
+                        bits = found_terms(around[q], block["rarest"][q], region, lcs, answers)
                         got = common_subsequence(terms[q], region)
                         here = len(rare[q].intersection(region))
-                        if got >= lcs * len(terms[q]) and here >= answers * len(rare[q]):
-                            old = found.get((doc, int(q)), (0.0, 0, 0))
-                            found[doc, int(q)] = max(old, (float(near[w, q]), got, here), key=lambda x: x[1:])
+                        whole = got >= lcs * len(terms[q]) and here >= answers * len(rare[q])
+                        if bits or whole:
+                            old = found.get((doc, int(q)), (0.0, 0, 0, 0, False))
+                            best = max(old[:3], (float(near[w, q]), got, here), key=lambda x: x[1:])
+                            found[doc, int(q)] = (*best, old[3] | bits, old[4] or whole)
                 if found:
                     q = [k[1] for k in found]
+                    cells = [[block["left"][i] + j for j in range(len(around[i])) if v[3] >> j & 1] for v, i in zip(found.values(), q)]
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array([lo + k[0] for k in found])), pa.array([block["item"][i] for i in q], pa.int64()), pa.array([block["nth"][i] for i in q], pa.int32()), pa.array([block["of"][i] for i in q], pa.int32()),
-                         pa.array([v[0] for v in found.values()]), pa.array([v[1] / len(terms[i]) for v, i in zip(found.values(), q)]), pa.array([v[2] / max(1, len(rare[i])) for v, i in zip(found.values(), q)])],
-                        ["doc_id", "item_id", "passage", "passages", "cosine", "lcs", "answers"],
+                         pa.array([v[0] for v in found.values()]), pa.array([v[1] / len(terms[i]) for v, i in zip(found.values(), q)]), pa.array([v[2] / max(1, len(rare[i])) for v, i in zip(found.values(), q)]),
+                         pa.array([v[4] for v in found.values()], pa.bool_()), pa.array([block["n"][i] for i in q], pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
+                        ["doc_id", "item_id", "passage", "passages", "cosine", "lcs", "answers", "whole", "n", "cells"],
                     )
 
     return search
 
 
+def _rarest(terms: np.ndarray, idf: np.ndarray) -> set[int]:
+    if not len(terms):
+        return set()
+    distinct = np.unique(terms)
+    return set(distinct[np.argsort(-idf[features(distinct)], kind="stable")][: max(1, len(distinct) // 3)].tolist())
+
+
 def contaminated_pairs(
     docs: DataFrame, benchmark: DataFrame, rank: int = 160, similarity: float = 0.3, lcs: float = 0.7, answers: float = 0.5, share: float = 0.5,
     fit_documents: int = 8, block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best): contaminated pairs only.
+    """doc_id, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best), covered: contaminated pairs only.
 
+    covered is the share of the item's terms that are found in the document. A pair is contaminated if the share of
+    passages found or of terms found is at least ``share``.
     Null texts have no terms. Items with fewer than 8 terms are too short to tell and are not searched for. Rows with a
     null or repeated doc_id count together as one document. Empty tables give an empty result. fit_documents bounds the
     corpus sample that shapes the latent space; frequencies and search cover everything.
@@ -211,10 +280,10 @@ def contaminated_pairs(
     configure(spark)
     scratch = Scratch(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, passage int, passages int, cosine double, lcs double, answers double"
+    schema = f"doc_id {kind}, item_id long, passage int, passages int, cosine double, lcs double, answers double, whole boolean, n int, cells array<int>"
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    passages = scratch.stash(items.mapInArrow(_cut_items, "item_id long, passage int, passages int, terms binary").filter("passages > 1 or length(terms) >= 64").withColumn("row", F.monotonically_increasing_id()), "passages")
+    passages = scratch.stash(items.mapInArrow(_cut_items, "item_id long, passage int, passages int, terms binary, left int, around binary, n int").filter("passages > 1 or length(terms) >= 64").withColumn("row", F.monotonically_increasing_id()), "passages")
     counts = texts.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2^BITS + 1 rows at most
     runs = max(1, sum(r["n"] for r in counts if r["feature"] < 0))
     frequency = np.zeros(1 << BITS, np.int64)
@@ -229,7 +298,7 @@ def contaminated_pairs(
     place = np.full(1 << BITS, -1, np.int64)
     place[own] = np.arange(len(own))
     if not len(own):
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, passages int, found long, cosine double, lcs double, answers double")
+        return spark.createDataFrame([], f"doc_id {kind}, item_id long, passages int, found long, cosine double, lcs double, answers double, covered double")
     some = texts.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).select("text").mapInArrow(_cut_sample, "terms binary")
     fit = passages.select("terms").union(some)
     rank = min(rank, len(own))
@@ -249,22 +318,25 @@ def contaminated_pairs(
         length = np.array([[np.sqrt((idf[features(t)] ** 2).sum() + 1e-9)] for t in terms])
         vectors = vectors * length / inner
         least = float((np.sqrt(inner) / length).min())
-        rare = []
-        for t in terms:
-            distinct = np.unique(t)
-            rare.append(set(distinct[np.argsort(-idf[features(distinct)], kind="stable")][: max(1, len(distinct) // 3)].tolist()))
+        around = [np.frombuffer(r["around"], "<u8") for r in rows]
+        rare = [_rarest(t, idf) for t in terms]
+        # the rarest terms of all passages that a neighbourhood touches, cut as the item's passages are
+        rarest = [set().union(*(_rarest(t[max(0, x - r["left"]) : max(0, y - r["left"])], idf) for x, y in cut_passages(r["n"]))) for t, r in zip(around, rows)]
         shared = spark.sparkContext.broadcast((shared_space, place, {
             "vectors": vectors.astype(np.float32), "least": least, "idf": idf.astype(np.float32), "terms": [t.tolist() for t in terms], "rare": rare,
+            "around": [t.tolist() for t in around], "rarest": rarest, "left": [r["left"] for r in rows], "n": [r["n"] for r in rows],
             "item": [r["item_id"] for r in rows], "nth": [r["passage"] for r in rows], "of": [r["passages"] for r in rows],
         }))
         part = scratch.stash(texts.mapInArrow(_search(shared, similarity, lcs, answers), schema), f"found-{lo}")
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], schema)
+    covered = F.size(F.array_distinct(F.flatten(F.collect_set("cells"))))
     pairs = found.groupBy("doc_id", "item_id").agg(
-        F.max("passages").alias("passages"), F.count_distinct("passage").alias("found"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answers").alias("answers")
+        F.max("passages").alias("passages"), F.count_distinct(F.when(F.col("whole"), F.col("passage"))).alias("found"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answers").alias("answers"),
+        (covered / F.max("n")).alias("covered"),
     )
-    return pairs.filter(F.col("found") >= F.ceil(F.col("passages") * share))
+    return pairs.filter((F.col("found") >= F.ceil(F.col("passages") * share)) | (F.col("covered") >= share))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

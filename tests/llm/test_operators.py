@@ -238,6 +238,41 @@ def test_contamination(spark):
     assert decontamination.drop_contaminated(docs, bench).count() == len(rows) - len(want)
 
 
+def test_aligned():
+    rng = random.Random(6)
+    for _ in range(300):
+        x, y = ([rng.randrange(6) for _ in range(rng.randrange(0, 14))] for _ in range(2))
+        bits = decontamination.aligned(x, y)
+        assert bits.bit_count() == decontamination.common_subsequence(x, y)
+        at = iter(y)
+        assert all(v in at for i, v in enumerate(x) if bits >> i & 1)
+
+
+def test_contamination_by_quotations(spark):
+    """Quotations of over half of an item are found wherever they start in the item and in the document; fifths are not."""
+    rng = random.Random(7)
+    vocabulary = [f"term{i}" for i in range(3000)]
+    item = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [item(n) for n in (12, 24, 25, 30, 40, 60, 100)]
+    rows, want = [], set()
+    for q, x in enumerate(items):
+        for n, leak in ((len(x) // 2 + 2, True), (-(-len(x) * 3 // 4), True), (len(x) // 5, False)):
+            for start in range(len(x) - n + 1):
+                w = item(rng.randrange(40, 100))
+                at = rng.randrange(len(w))
+                quoted = x[start : start + n]
+                if n > 40 and 4 * n >= 3 * len(x) and start % 2:  # a paraphrase: one term in ten is another
+                    quoted = [v if j % 10 != 9 else "other" for j, v in enumerate(quoted)]
+                w[at:at] = quoted
+                if leak:
+                    want.add((len(rows), q))
+                rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(docs, bench, block=5).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
