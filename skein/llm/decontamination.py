@@ -170,14 +170,16 @@ def aligned(x: list[int], y: list[int]) -> int:
     return out
 
 
-def found_terms(around: list[int], rare: set[int], region: list[int], lcs: float, answers: float) -> int:
+def runs_of(terms: list[int]) -> Iterator[tuple]:
+    return zip(*(terms[j:] for j in range(RUN)))
+
+
+def found_terms(around: list[int], rare: set[int], region: list[int], distinct: set[int], there: set[tuple] | None, lcs: float, answers: float) -> int:
     """The terms of around (as bits) that the region has: in RUN equal terms in a row, or in a run of PASSAGE terms that passes the checks."""
-    there = set(zip(*(region[j:] for j in range(RUN))))
     out = 0
-    for i, run in enumerate(zip(*(around[j:] for j in range(RUN)))):
+    for i, run in enumerate(runs_of(around) if there else ()):
         if run in there:
             out |= (1 << RUN) - 1 << i
-    distinct = set(region)
     present = sum(1 << i for i, x in enumerate(around) if x in distinct)
     size = min(PASSAGE, len(around))
     starts = [*range(0, len(around) - size, STEP), len(around) - size]
@@ -196,7 +198,8 @@ def _search(shared, similarity: float, lcs: float, answers: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, place, block = shared.value  # float32 weights x basis; feature -> row or -1; the block's passages
         queries, terms, rare, idf = block["vectors"], block["terms"], block["rare"], block["idf"]
-        sets, around = [set(t) for t in block["around"]], block["around"]
+        sets, around = [set(t) for t in terms], block["around"]
+        runs, dense = [set(runs_of(t)) for t in around], [lcs * min(PASSAGE, len(t)) for t in around]
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, at in text_blocks(batch.column(1)):
@@ -229,16 +232,20 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                 for i in range(0, len(live), 8192):
                     part = live[i : i + 8192]
                     near = (window[part] / size[part, None]) @ queries.T
+                    last = -1
                     for w, q in zip(*np.nonzero(near >= similarity)):
-                        doc = int(owner[part[w]])
-                        start = int(words.first[doc] + (part[w] - base[doc]) * STRIDE)
-                        a, b = max(int(words.first[doc]), start - STRIDE // 2), min(int(words.first[doc + 1]), start + WINDOW + STRIDE // 2)
-                        region = words.hash[a:b].tolist()
-                        if sum(map(sets[q].__contains__, region)) < RUN:
+                        if w != last:  # pairs come window by window
+                            last, doc = w, int(owner[part[w]])
+                            start = int(words.first[doc] + (part[w] - base[doc]) * STRIDE)
+                            a, b = max(int(words.first[doc]), start - STRIDE // 2), min(int(words.first[doc + 1]), start + WINDOW + STRIDE // 2)
+                            region = words.hash[a:b].tolist()
+                            distinct, there = set(region), set(runs_of(region))
+                        apart = there.isdisjoint(runs[q])
+                        if apart and sum(map(distinct.__contains__, around[q])) < dense[q]:
                             continue  # neither RUN equal terms nor a long common subsequence can be
-                        bits = found_terms(around[q], block["rarest"][q], region, lcs, answers)
-                        got = common_subsequence(terms[q], region)
-                        here = len(rare[q].intersection(region))
+                        bits = found_terms(around[q], block["rarest"][q], region, distinct, None if apart else there, lcs, answers)
+                        got = common_subsequence(terms[q], region) if bits or len(sets[q] & distinct) >= lcs * len(sets[q]) else 0
+                        here = len(rare[q] & distinct)
                         whole = got >= lcs * len(terms[q]) and here >= answers * len(rare[q])
                         if bits or whole:
                             old = found.get((doc, int(q)), (0.0, 0, 0, 0, False))
@@ -290,11 +297,11 @@ def contaminated_pairs(
     for r in counts:
         if r["feature"] >= 0:
             frequency[r["feature"]] = r["n"]
-    idf = np.log((runs + 1) / (frequency + 1))
-    idf[frequency > 0.1 * runs] = 0  # stop words
+    # never 0: a leak that many documents copy makes its terms as frequent as stop words
+    idf = np.log((runs + 1) / np.minimum(frequency + 1, max(1.0, 0.1 * (runs + 1))))
     # features of the benchmark, at most 2^BITS
     has = {int(r[0]) for r in passages.select("terms").mapInArrow(_distinct, "feature int").distinct().collect()}
-    own = np.array(sorted(f for f in has if idf[f] > 0), np.int64)
+    own = np.array(sorted(has), np.int64)
     place = np.full(1 << BITS, -1, np.int64)
     place[own] = np.arange(len(own))
     if not len(own):

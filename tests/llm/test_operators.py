@@ -273,6 +273,25 @@ def test_contamination_by_quotations(spark):
     assert got == want
 
 
+def test_contamination_of_many_copies(spark):
+    """A passage that a third of the rows copy is a leak in each of them, not stop words."""
+    rng = random.Random(8)
+    vocabulary = [f"term{i}" for i in range(3000)]
+    items = [[rng.choice(vocabulary) for _ in range(n)] for n in (20, 40, 60)]
+    rows = []
+    for d in range(600):
+        w = [rng.choice(vocabulary) for _ in range(rng.randrange(10, 40) if d % 3 == 0 else rng.randrange(20, 60))]
+        if d % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = items[0]
+        rows.append((d, " ".join(w)))
+    rows += [(1000 + d, " ".join(items[1])) for d in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(docs, bench).collect()}
+    assert got == {(d, 0) for d in range(0, 600, 3)} | {(1000 + d, 1) for d in range(300)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
