@@ -255,10 +255,10 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                     q = [k[1] for k in found]
                     cells = [[block["left"][i] + j for j in range(len(around[i])) if v[3] >> j & 1] for v, i in zip(found.values(), q)]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([lo + k[0] for k in found])), pa.array([block["item"][i] for i in q], pa.int64()), pa.array([block["nth"][i] for i in q], pa.int32()), pa.array([block["of"][i] for i in q], pa.int32()),
+                        [ids.take(pa.array([lo + k[0] for k in found])), batch.column(2).take(pa.array([lo + k[0] for k in found])), pa.array([block["item"][i] for i in q], pa.int64()), pa.array([block["nth"][i] for i in q], pa.int32()), pa.array([block["of"][i] for i in q], pa.int32()),
                          pa.array([v[0] for v in found.values()]), pa.array([v[1] / len(terms[i]) for v, i in zip(found.values(), q)]), pa.array([v[2] / max(1, len(rare[i])) for v, i in zip(found.values(), q)]),
                          pa.array([v[4] for v in found.values()], pa.bool_()), pa.array([block["n"][i] for i in q], pa.int32()), pa.array(cells, pa.list_(pa.int32()))],
-                        ["doc_id", "item_id", "passage", "passages", "cosine", "lcs", "answers", "whole", "n", "cells"],
+                        ["doc_id", "text_hash", "item_id", "passage", "passages", "cosine", "lcs", "answers", "whole", "n", "cells"],
                     )
 
     return search
@@ -271,23 +271,28 @@ def _rarest(terms: np.ndarray, idf: np.ndarray) -> set[int]:
     return set(distinct[np.argsort(-idf[features(distinct)], kind="stable")][: max(1, len(distinct) // 3)].tolist())
 
 
-def contaminated_pairs(
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The pairs of contaminated_texts without text_hash: a row for each item and each distinct text of a doc_id."""
+    return contaminated_texts(docs, benchmark, **options).drop("text_hash")
+
+
+def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, rank: int = 160, similarity: float = 0.3, lcs: float = 0.7, answers: float = 0.5, share: float = 0.5,
     fit_documents: int = 8, block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best), covered: contaminated pairs only.
+    """doc_id, text_hash, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best), covered: contaminated pairs only.
 
     covered is the share of the item's terms that are found in the document. A pair is contaminated if the share of
     passages found or of terms found is at least ``share``.
-    Null texts have no terms. Items with fewer than 8 terms are too short to tell and are not searched for. Rows with a
-    null or repeated doc_id count together as one document. Empty tables give an empty result. fit_documents bounds the
+    Null texts have no terms. Items with fewer than 8 terms are too short to tell and are not searched for. Rows
+    with a null or repeated doc_id are told apart by their texts. Empty tables give an empty result. fit_documents bounds the
     corpus sample that shapes the latent space; frequencies and search cover everything.
     """
     spark = docs.sparkSession
     configure(spark)
     scratch = Scratch(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, passage int, passages int, cosine double, lcs double, answers double, whole boolean, n int, cells array<int>"
+    schema = f"doc_id {kind}, text_hash long, item_id long, passage int, passages int, cosine double, lcs double, answers double, whole boolean, n int, cells array<int>"
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
     passages = scratch.stash(items.mapInArrow(_cut_items, "item_id long, passage int, passages int, terms binary, left int, around binary, n int").filter("passages > 1 or length(terms) >= 64").withColumn("row", F.monotonically_increasing_id()), "passages")
@@ -305,7 +310,7 @@ def contaminated_pairs(
     place = np.full(1 << BITS, -1, np.int64)
     place[own] = np.arange(len(own))
     if not len(own):
-        return spark.createDataFrame([], f"doc_id {kind}, item_id long, passages int, found long, cosine double, lcs double, answers double, covered double")
+        return spark.createDataFrame([], f"doc_id {kind}, text_hash long, item_id long, passages int, found long, cosine double, lcs double, answers double, covered double")
     some = texts.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).select("text").mapInArrow(_cut_sample, "terms binary")
     fit = passages.select("terms").union(some)
     rank = min(rank, len(own))
@@ -334,12 +339,12 @@ def contaminated_pairs(
             "around": [t.tolist() for t in around], "rarest": rarest, "left": [r["left"] for r in rows], "n": [r["n"] for r in rows],
             "item": [r["item_id"] for r in rows], "nth": [r["passage"] for r in rows], "of": [r["passages"] for r in rows],
         }))
-        part = scratch.stash(texts.mapInArrow(_search(shared, similarity, lcs, answers), schema), f"found-{lo}")
+        part = scratch.stash(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_search(shared, similarity, lcs, answers), schema), f"found-{lo}")
         found = part if found is None else found.union(part)
     if found is None:
         found = spark.createDataFrame([], schema)
     covered = F.size(F.array_distinct(F.flatten(F.collect_set("cells"))))
-    pairs = found.groupBy("doc_id", "item_id").agg(
+    pairs = found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("passages").alias("passages"), F.count_distinct(F.when(F.col("whole"), F.col("passage"))).alias("found"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answers").alias("answers"),
         (covered / F.max("n")).alias("covered"),
     )
@@ -354,5 +359,5 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without the documents that hold benchmark items; columns as they are."""
-    gone = contaminated_pairs(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = contaminated_texts(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")

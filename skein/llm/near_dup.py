@@ -107,8 +107,8 @@ def _sign(k: int, bands: int, height: int):
                 flat = pa.array(key[size > 0].view(np.int64).ravel())
                 at = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(node_ids(shingles, offsets)), pa.ListArray.from_arrays(pa.array(at), flat)],
-                    ["doc_id", "n", "node", "keys"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(node_ids(shingles, offsets)), pa.ListArray.from_arrays(pa.array(at), flat)],
+                    ["doc_id", "text_hash", "n", "node", "keys"],
                 )
 
     return sign
@@ -195,24 +195,14 @@ def _block_links(percent: int):
     return links
 
 
-def near_groups(
-    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, height: int = 4,
-    doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
-
-    Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct k-word shingles, or the whole
-    sequence if there are fewer words. Without words or text the set is empty and linked with nothing. Links have
-    100 * intersection >= percent * union on the full sets. component_id is the smallest doc_id reachable (null ids
-    are ignored; null if there is no other); kept tells the rows with doc_id = component_id. Rows that repeat a
-    doc_id are linked by their texts like any others. An empty table gives an empty result.
-    """
+def _labelled_rows(docs: DataFrame, k: int, percent: int, bands: int, height: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of near_groups, with text_hash, which tells rows of one doc_id apart."""
     spark = docs.sparkSession
     configure(spark)
     scratch = Scratch(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.stash(texts.mapInArrow(_sign(k, bands, height), f"doc_id {kind}, n long, node long, keys array<long>"), "signed")
+    signed = scratch.stash(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sign(k, bands, height), f"doc_id {kind}, text_hash long, n long, node long, keys array<long>"), "signed")
     nodes = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     # buckets with several nodes
     spread = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -250,15 +240,30 @@ def near_groups(
     second = scratch.stash(rest, "links-2")
     labels = connected(second.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")), scratch, "all")
 
-    labelled = signed.select("doc_id", "n", "node").join(labels, "node", "left")
+    labelled = signed.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "node"))
     least = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     out = labelled.join(least, (labelled["n"] > 0) & (labelled["component"] == least["component"]), "left")
     component = F.when(F.col("members").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_groups(
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, height: int = 4,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of docs.
+
+    Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set holds the distinct k-word shingles, or the whole
+    sequence if there are fewer words. Without words or text the set is empty and linked with nothing. Links have
+    100 * intersection >= percent * union on the full sets. component_id is the smallest doc_id reachable (null ids
+    are ignored; null if there is no other); kept tells the rows with doc_id = component_id. Rows that repeat a
+    doc_id are linked by their texts like any others. An empty table gives an empty result.
+    """
+    return _labelled_rows(docs, k, percent, bands, height, doc_id, text).drop("text_hash")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that a smaller doc_id of their group replaces; columns as they are."""
-    gone = near_groups(docs, k, percent, doc_id=doc_id, text=text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = _labelled_rows(docs, k, percent, 32, 4, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")

@@ -292,6 +292,18 @@ def test_contamination_of_many_copies(spark):
     assert got == {(d, 0) for d in range(0, 600, 3)} | {(1000 + d, 1) for d in range(300)}
 
 
+def test_drops_with_null_and_repeated_ids(spark):
+    """Only the copies and the contaminated texts go, not other texts of their ids."""
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(60)) for x in "abcd")
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(5, a), (None, a + " end"), (None, b), (None, None), (9, a + " tail"), (9, c), (7, d)], schema)
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(near_dup.drop_near_copies(docs).collect()) == order([(5, a), (None, b), (None, None), (9, c), (7, d)])
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert order(decontamination.drop_contaminated(docs, bench).collect()) == order([(None, b), (None, None), (9, c), (7, d)])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
