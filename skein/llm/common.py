@@ -6,16 +6,17 @@ Every helper is bounded by one block of text (``BLOCK_BYTES``, or one document i
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
 _SPACES = np.zeros(256, bool)
@@ -37,7 +38,21 @@ def lower_ascii(text: Column) -> Column:
 def configure(spark: SparkSession) -> None:
     """Bounds the Arrow batches that reach Python: documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function after whose task the worker, which Spark keeps for further tasks, gives free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            pass
+
+    return wrapped
 
 
 class Scratch:
@@ -80,6 +95,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+LONG_WORD = 64
+_FACTOR = mix(np.arange(LONG_WORD)) | U64(1)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, row after the last, UTF-8 bytes, byte offsets of the rows); null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -118,18 +137,28 @@ class Words:
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, at)
         if hashed:
-            self.hash = self._hash(solid)
+            self.hash = self._hash()
 
-    def _hash(self, solid: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, U64)
+    def _hash(self) -> np.ndarray:
+        """64 bits of each word. Words go from long to short, so that those with a byte at place j stand in front."""
         size = self.end - self.start
-        where = np.flatnonzero(solid)
-        place = where - np.repeat(self.start, size)
-        factor = mix(np.arange(int(size.max()) + 1)) | U64(1)
+        out = np.zeros(len(size), U64)
+        if not len(size):
+            return out
+        short = np.flatnonzero(size <= LONG_WORD)
+        order = short[np.argsort(-size[short].astype(np.int16), kind="stable")]
+        start, total = self.start[order], np.zeros(len(order), U64)
+        left = np.searchsorted(-size[order], -np.arange(1, LONG_WORD + 1), "right")
         with np.errstate(over="ignore"):
-            total = np.add.reduceat((self.data[where].astype(U64) + U64(1)) * factor[place], np.cumsum(size) - size)
-        return mix(total ^ size.astype(U64))
+            for j, n in enumerate(left.tolist()):
+                if not n:
+                    break
+                total[:n] += (self.data[start[:n] + j] + U64(1)) * _FACTOR[j]
+            out[order] = total
+            for i in np.flatnonzero(size > LONG_WORD).tolist():
+                word = self.data[self.start[i] : self.end[i]]
+                out[i] = ((word + U64(1)) * (mix(np.arange(len(word))) | U64(1))).sum(dtype=U64)
+        return mix(out ^ size.astype(U64))
 
     def row(self) -> np.ndarray:
         """The row of each word."""
@@ -153,3 +182,43 @@ def partitions_for(df: DataFrame, text: str, bytes_each: int) -> tuple[int, int]
     """How many owners take bytes_each of text each, and the total: one cheap aggregate over the column."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     return max(1, -(-total // bytes_each)), total
+
+
+#: Rows of a table of keys that may be broadcast: some tens of MB as a hash table.
+BROADCAST_ROWS = 500_000
+
+
+def keyed(docs: DataFrame, keys: DataFrame, pairs: list[tuple[Column, str]], how: str) -> DataFrame:
+    """docs left_semi or left_anti keys, by null-safe equality of each (column of docs, column of keys).
+
+    keys (read twice, so it should be stored) is broadcast if it has BROADCAST_ROWS rows at most, and the texts stay where they
+    are. Column names may clash: the keys get names that docs doesn't have.
+    """
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    names = [free_name(docs, f"key_{i}") for i in range(len(pairs))]
+    keys = keys.select(*(F.col(right).alias(name) for (_, right), name in zip(pairs, names)))
+    match = None
+    for (left, _), name in zip(pairs, names):
+        one = left.eqNullSafe(F.col(name))
+        match = one if match is None else match & one
+    return docs.join(F.broadcast(keys) if small else keys, match, how)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores in front until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_with_hot(big: DataFrame, small: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined with small, which has one row for each key and, in ``count``, how many rows of big have it.
+
+    Keys of over a thousandth of big's rows (total) are fewer than a thousand, so they can be broadcast; the others are shuffled,
+    and none of them fills a task. Both tables are read twice, so they should be stored.
+    """
+    hot = small.filter(F.col(count) > total // 1000)
+    cold = small.filter(F.col(count) <= total // 1000)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    return big.join(F.broadcast(hot), key).unionByName(rest)

@@ -82,7 +82,7 @@ class Units(Words):
         self.end = np.minimum(np.append(self.start[1:], len(data)), self.end[owner])
         self.odd = odd[owner]
         self.first = np.searchsorted(self.start, at)
-        self.hash = self._hash(solid)
+        self.hash = self._hash()
 
     def _inside(self, place: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.start, place, "right") - 1
