@@ -16,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, ragged
 
 BLOCK_CHARS = 1 << 20
 SLICE = 2048
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def char_blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first, after the last, code points of the lower-cased texts with a 0 on either side, their offsets)."""
+def char_blocks(texts: list[str | None], pad: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (first, after the last, code points, starts, ends) of lower-cased texts.
+
+    Each text has a 0 before it and pad behind it; an n-gram of up to pad + 1 points that starts in [start, end) ends in its text.
+    """
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -32,10 +35,10 @@ def char_blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
             size += len(texts[hi] or "")
             hi += 1
         low = [(x or "").lower() for x in texts[lo:hi]]
-        joined = "\0" + "\0".join(low) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.concatenate([[0], np.cumsum(np.fromiter((len(x) + 1 for x in low), np.int64, len(low)))])
-        yield lo, hi, points, at
+        points = np.frombuffer(("\0" + ("\0" * (pad + 1)).join(low) + "\0" * pad).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.fromiter(map(len, low), np.int64, len(low))
+        start = np.cumsum(length + 1 + pad) - (length + 1 + pad)
+        yield lo, hi, points, start, start + length + 1
         lo = hi
 
 
@@ -57,9 +60,11 @@ def _count(orders: tuple[int, ...], bits: int):
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 table = tables.setdefault(lang, np.zeros(1 << bits, np.int64))
-                for _, _, points, _ in char_blocks([texts[i] for i in np.flatnonzero(langs == lang)]):
+                for _, _, points, start, end in char_blocks([texts[i] for i in np.flatnonzero(langs == lang)], max(orders) - 1):
+                    inside = np.ones(len(points), bool)
+                    inside[ragged(end, np.append(start[1:], len(points)) - end)] = False
                     for buckets in gram_buckets(points, orders, bits):
-                        table += np.bincount(buckets, minlength=1 << bits)
+                        table += np.bincount(buckets[inside[: len(buckets)]], minlength=1 << bits)
         for lang, table in tables.items():
             cut = [table[i : i + SLICE].astype("<i8").tobytes() for i in range(0, len(table), SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cut)), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], ["lang", "slice", "counts"])
@@ -72,8 +77,11 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": group["lang"][:1], "slice": group["slice"][:1], "counts": [np.asarray(total, "<i8").tobytes()]})
 
 
-def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, most_langs: int = 256) -> dict:
-    """Counts n-grams of all rows with a lang and a text. The model has at most most_langs x 2^bits numbers."""
+def fit_languages(rows: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 15, smoothing: float = 0.5, most_langs: int = 2048) -> dict:
+    """Counts n-grams of all rows with a lang and a text. The model has at most most_langs x 2^bits numbers.
+
+    A column with more values than most_langs holds no languages: an error, not a part of them.
+    """
     configure(rows.sparkSession)
     known = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = known.mapInArrow(_count(orders, bits), "lang string, slice int, counts binary").groupBy("lang", "slice").applyInPandas(_sum, "lang string, slice int, counts binary")
@@ -95,12 +103,14 @@ def _predict(shared):
         langs, logs = model["langs"], model["logs"]
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for lo, hi, points, at in char_blocks(texts):
+            for lo, hi, points, start, end in char_blocks(texts, max(model["orders"]) - 1):
                 total = np.zeros((hi - lo, len(langs)))
+                cuts = np.stack([start, end], axis=1).ravel()
                 for buckets in gram_buckets(points, model["orders"], model["bits"]):
+                    buckets = np.append(buckets, 0)  # the last text's end is a place too
                     for j in range(len(langs)):
-                        ends = np.concatenate([[0.0], np.cumsum(logs[:, j][buckets], dtype=np.float64)])
-                        total[:, j] += ends[np.minimum(at[1:], len(buckets))] - ends[np.minimum(at[:-1], len(buckets))]
+                        # summed text by text, so that neighbours don't change the last digits
+                        total[:, j] += np.add.reduceat(logs[:, j][buckets].astype(np.float64), cuts)[::2]
                 best = total.argmax(axis=1) if langs else np.zeros(hi - lo, np.int64)
                 score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(hi - lo)
                 has = np.array([bool(x and LETTER.search(x)) for x in texts[lo:hi]]) & bool(langs)
@@ -117,7 +127,8 @@ def predict_languages(docs: DataFrame, model: dict, held_out: Column, doc_id: st
     """doc_id, held_out, lang_pred, score (the posterior of lang_pred under equal priors) for each row of docs.
 
     'und' with score 0 if the text is null, has no letter, or nothing was learnt. Ties go to the first language in
-    alphabetical order. Null or repeated doc_ids are rows like any other.
+    alphabetical order. Null or repeated doc_ids are rows like any other; an empty table gives an empty result. A text of
+    any length is scored whole, by itself: other rows of its batch don't matter. Other columns are not read.
     """
     spark = docs.sparkSession
     configure(spark)
