@@ -232,10 +232,13 @@ def test_contamination(spark):
         rows.append((d, " ".join(w)))
     rows += [(500, None), (501, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (90, None), (91, "too short")], "item_id long, text string")
+    rows += [(600, "this is Too, short"), (601, "too very short"), (602, "one two three four five six")]
+    bench = spark.createDataFrame([*((i, " ".join(x)) for i, x in enumerate(items)), (90, None), (91, "too short"), (92, "two three four FIVE six"), (93, "")], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want |= {(600, 91), (602, 92)}
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated_pairs(docs, bench, block=16).collect()}
     assert got == want
-    assert decontamination.drop_contaminated(docs, bench).count() == len(rows) - len(want)
+    assert decontamination.drop_contaminated(docs, bench).count() == len(rows) - len(want) + 1  # two words are no leak
 
 
 def test_aligned():
@@ -355,8 +358,10 @@ def test_toxicity_sample(spark):
     """At most so many ids of either label, those that hash lowest; repeated rows and null labels add none."""
     docs = spark.createDataFrame([(i % 200, f"w{i}") for i in range(400)] + [(None, "x"), (500, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0) if i != 7 else None) for i in range(200)] + [(0, 1), (500, 1), (None, 1)], "doc_id long, toxic int")
-    got = toxicity.sample_ids(docs, labels, "doc_id", "text", "toxic", 30).collect()
+    got = toxicity.sample_ids(docs, labels, "doc_id", "text", "toxic", 30)
     order = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
     for label in (0, 1):
         want = sorted((i for i in range(200) if i != 7 and int(i % 4 == 0) == label), key=order.get)[:30]
-        assert sorted(r["_id"] for r in got if r["toxic"] == label) == sorted(want)
+        assert sorted(i for i, y in got if y == label) == sorted(want)
+    few = toxicity.sample_ids(docs, labels, "doc_id", "text", "toxic", 30, most_bytes=40)
+    assert 0 < len(few) < len(got) and set(few) <= set(got)
