@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms (lower-case runs of letters and digits) are hashed; passages are runs of terms. The inverse document frequencies
-count all passages of all documents. A randomised SVD of the benchmark's TF-IDF passages, with a bounded hash sample of
-corpus passages, gives the latent space: sketches are summed per feature over the tasks, with power iterations, and
-only features that the benchmark has get coordinates, since others cannot bring a text nearer to it.
+count all passages of all documents. A randomised SVD of TF-IDF passages gives the latent space: those of the benchmark, and
+those of a hash sample of about ``fit_documents`` corpus documents, whose rows together weigh CORPUS_SHARE of the benchmark's,
+so that the corpus' co-occurrences shape the space and don't crowd the benchmark out. Sketches are summed per feature over
+the tasks, with power iterations; the singular values and vectors are those of the last sketch. Only features that the
+benchmark has get coordinates, since others cannot bring a text nearer to it.
 
 Every window of every document is compared with all benchmark passages, in blocks of ``block`` passages, by cosine in
 that space. A near pair is checked on its terms: longest common subsequence, and the answers, which are the passage's
 rarest terms. The check covers the item around the passage too: each run of PASSAGE terms, wherever it starts, and runs
 of RUN equal terms, so that a quotation across the cuts counts in full. A document is contaminated by an item if enough
-of the item's passages, or of its terms, are found in it.
+of the item's passages, or of its terms, are found in it. Items of fewer than SHORT terms are found by their whole sequence.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, Scratch, Words, configure, text_blocks
+from .common import TERM_GAPS, U64, Scratch, Words, configure, keyed, mix, text_blocks, tidy
 
 BITS = 18  # features
+SLICE = 4096  # features whose counts move together
 WINDOW, STRIDE = 32, 16  # terms of a document window
 PASSAGE = 24  # terms of a benchmark passage at most
 STEP = 4  # between the runs of PASSAGE terms that are checked around a near passage
 RUN = 5  # equal terms in a row that count as found by themselves
+SEARCH_BYTES = 1 << 17  # of text whose terms get their latent coordinates at once
+SHORT = 8  # items of fewer terms are looked up whole
+CORPUS_SHARE = 0.1  # of the benchmark's weight in the latent space
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -42,8 +48,8 @@ def cut_passages(n: int, size: int = PASSAGE) -> list[tuple[int, int]]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many runs of WINDOW terms each feature occurs in, and (as feature -1) the runs."""
-    total, runs = np.zeros(1 << BITS, np.int64), 0
+    """How many runs of WINDOW terms each feature occurs in, packed in slices, the runs, and the texts with a term."""
+    total, runs, texts = np.zeros(1 << BITS, np.int64), 0, 0
     for batch in batches:
         for _, _, data, at in text_blocks(batch.column(0)):
             words = Words(data, at, lower=True, gaps=TERM_GAPS)
@@ -55,8 +61,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
             total += np.bincount(keyed & (1 << BITS) - 1, minlength=1 << BITS)
             runs += int(many.sum())
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(total[used], runs))], ["feature", "n"])
+            texts += int((count > 0).sum())
+    cut = [total[i : i + SLICE].astype("<i8").tobytes() for i in range(0, len(total), SLICE)]
+    n = len(cut)
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(cut, pa.binary()), pa.array([runs] + [0] * (n - 1)), pa.array([texts] + [0] * (n - 1))], ["slice", "counts", "runs", "texts"])
+
+
+def _sum(group: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<i8") for x in group["counts"])
+    return pd.DataFrame({"slice": group["slice"][:1], "counts": [np.asarray(total, "<i8").tobytes()], "runs": [group["runs"].sum()], "texts": [group["texts"].sum()]})
 
 
 def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,25 +103,30 @@ def _cut_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(shared, rank: int):
-    """One half step of the randomised SVD: the sum over passages a of a (a . basis), for the basis' features."""
+    """One half step of the randomised SVD: the sum over passages a of weight * a (a . basis), for the basis' features."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, place, basis = shared.value
         total = np.zeros((len(basis), rank))
         for batch in batches:
-            lists = [place[features(np.frombuffer(x, "<u8"))] for x in batch.column(0).to_pylist()]
-            size = np.array([len(x) for x in lists])
-            if not size.sum():
-                continue
-            at = np.concatenate(lists)
-            row = np.repeat(np.arange(len(size)), size)
-            at, row = at[at >= 0], row[at >= 0]
-            w = weights[at]
-            norm = np.sqrt(np.maximum(np.bincount(row, w * w, len(size)), 1e-12))
-            w = w / norm[row]
-            projected = np.zeros((len(size), rank))
-            np.add.at(projected, row, w[:, None] * basis[at])
-            np.add.at(total, at, w[:, None] * projected[row])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                lists = [place[features(np.frombuffer(x, "<u8"))] for x in part.column(0).to_pylist()]
+                size = np.array([len(x) for x in lists])
+                at, row = np.concatenate(lists), np.repeat(np.arange(len(size)), size)
+                at, row = at[at >= 0], row[at >= 0]
+                if not len(at):
+                    continue
+                w = weights[at]
+                w = w / np.sqrt(np.bincount(row, w * w, len(size)))[row]
+                heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                projected = np.zeros((len(size), rank))
+                projected[row[heads]] = np.add.reduceat(w[:, None] * basis[at], heads, axis=0)
+                projected *= part.column(1).to_numpy(zero_copy_only=False)[:, None]
+                order = np.argsort(at, kind="stable")
+                at, row, w = at[order], row[order], w[order]
+                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                total[at[heads]] += np.add.reduceat(w[:, None] * projected[row], heads, axis=0)
         used = np.flatnonzero(np.abs(total).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].astype("<f8").tobytes() for i in used], pa.binary())], ["at", "part"])
 
@@ -120,19 +138,67 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": group["at"][:1], "part": [np.asarray(total, "<f8").tobytes()]})
 
 
-def latent_space(passages: DataFrame, weights: np.ndarray, place: np.ndarray, rank: int, power: int = 2, seed: int = 3) -> np.ndarray:
-    """Orthonormal columns (features x rank) that span the passages' leading right singular vectors, by randomised SVD."""
+def latent_space(passages: DataFrame, weights: np.ndarray, place: np.ndarray, rank: int, power: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The passages' (terms, weight) leading singular values and right singular vectors (features x rank), by randomised SVD."""
     context = passages.sparkSession.sparkContext
-    basis = np.random.default_rng(seed).normal(size=(len(weights), rank))
-    for _ in range(power):
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weights), rank)))
+    for turn in range(power + 1):
         shared = context.broadcast((weights, place, basis))  # features x rank, 2^BITS x rank at most
-        parts = passages.select("terms").mapInArrow(_sketch(shared, rank), "at int, part binary").groupBy("at").applyInPandas(_add, "at int, part binary").collect()
+        parts = passages.select("terms", "weight").mapInArrow(_sketch(shared, rank), "at int, part binary").groupBy("at").applyInPandas(_add, "at int, part binary").collect()
         total = np.zeros_like(basis)
         for r in parts:
             total[r["at"]] = np.frombuffer(r["part"], "<f8")
-        basis, _ = np.linalg.qr(total + 1e-9 * basis)
-        shared.unpersist()
-    return basis
+        shared.destroy()
+        if turn < power:
+            basis, _ = np.linalg.qr(total + 1e-9 * basis)
+    # total = A'A Q: the eigenvectors of Q'A'A Q turn Q into the singular vectors
+    small = basis.T @ total
+    values, turns = np.linalg.eigh((small + small.T) / 2)
+    return np.sqrt(np.maximum(values[::-1], 0)), basis @ turns[:, ::-1]
+
+
+def _short_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, at in text_blocks(batch.column(1)):
+            words = Words(data, at, lower=True, gaps=TERM_GAPS)
+            count = np.diff(words.first)
+            few = np.flatnonzero((count > 0) & (count < SHORT))
+            names = [sequence_name(words.hash[words.first[i] : words.first[i + 1]]) for i in few]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + few)), pa.array(count[few].astype(np.int32)), pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64())], ["item_id", "n", "one", "two"])
+
+
+def sequence_name(h: np.ndarray, start: np.ndarray | None = None, length: int | None = None) -> list[tuple] | tuple:
+    """128 bits of the terms h, or of each h[s : s + length]."""
+    alone = start is None
+    start, length = (np.zeros(1, np.int64), len(h)) if alone else (start, length)
+    out = []
+    with np.errstate(over="ignore"):
+        for salt in (U64(length), U64(length) ^ U64(0x5851F42D4C957F2D)):
+            x = np.full(len(start), mix(salt), U64)
+            for j in range(length):
+                x = mix(x * U64(0x9E3779B97F4A7C15) + (h[start + j] ^ salt))
+            out.append(x.view(np.int64))
+    return (int(out[0][0]), int(out[1][0])) if alone else out
+
+
+def _find_short(lengths: list[int], shared):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text_hash, n, one, two) of the sequences of a text that some short item may have."""
+        ones = shared.value
+        for batch in batches:
+            for lo, hi, data, at in text_blocks(batch.column(1)):
+                words = Words(data, at, lower=True, gaps=TERM_GAPS)
+                row = words.row()
+                for n in lengths:
+                    start = np.flatnonzero(np.arange(len(row)) + n <= words.first[1:][row]) if len(row) else np.zeros(0, np.int64)
+                    one, two = sequence_name(words.hash, start, n)
+                    hit = np.flatnonzero(np.isin(one, ones)) if ones is not None else np.arange(len(one))
+                    keys = np.unique(np.stack([row[start[hit]], one[hit], two[hit]], axis=1), axis=0) if len(hit) else np.zeros((0, 3), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(i).take(pa.array(lo + keys[:, 0])) for i in (0, 2)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys[:, 1]), pa.array(keys[:, 2])], ["doc_id", "text_hash", "n", "one", "two"]
+                    )
+
+    return find
 
 
 def common_subsequence(x: list[int], y: list[int]) -> int:
@@ -202,7 +268,7 @@ def _search(shared, similarity: float, lcs: float, answers: float):
         runs, dense = [set(runs_of(t)) for t in around], [lcs * min(PASSAGE, len(t)) for t in around]
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, at in text_blocks(batch.column(1)):
+            for lo, hi, data, at in text_blocks(batch.column(1), SEARCH_BYTES):
                 words = Words(data, at, lower=True, gaps=TERM_GAPS)
                 if not len(words.hash):
                     continue
@@ -276,17 +342,20 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, **options) -> Data
     return contaminated_texts(docs, benchmark, **options).drop("text_hash")
 
 
+PAIR = "text_hash long, item_id long, passages int, found long, cosine double, lcs double, answers double, covered double"
+
+
 def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, rank: int = 160, similarity: float = 0.3, lcs: float = 0.7, answers: float = 0.5, share: float = 0.5,
-    fit_documents: int = 8, block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    fit_documents: int = 2000, block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """doc_id, text_hash, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best), covered: contaminated pairs only.
 
     covered is the share of the item's terms that are found in the document. A pair is contaminated if the share of
-    passages found or of terms found is at least ``share``.
-    Null texts have no terms. Items with fewer than 8 terms are too short to tell and are not searched for. Rows
-    with a null or repeated doc_id are told apart by their texts. Empty tables give an empty result. fit_documents bounds the
-    corpus sample that shapes the latent space; frequencies and search cover everything.
+    passages found or of terms found is at least ``share``; an item of fewer than SHORT terms, if they stand in a row.
+    Null texts have no terms, and items without terms are in no document. Rows with a null or repeated doc_id are told
+    apart by their texts. Empty tables give an empty result. Texts of any length are searched whole; other columns are not
+    read. fit_documents bounds the corpus sample that shapes the latent space; frequencies and search cover everything.
     """
     spark = docs.sparkSession
     configure(spark)
@@ -295,13 +364,19 @@ def contaminated_texts(
     schema = f"doc_id {kind}, text_hash long, item_id long, passage int, passages int, cosine double, lcs double, answers double, whole boolean, n int, cells array<int>"
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    passages = scratch.stash(items.mapInArrow(_cut_items, "item_id long, passage int, passages int, terms binary, left int, around binary, n int").filter("passages > 1 or length(terms) >= 64").withColumn("row", F.monotonically_increasing_id()), "passages")
-    counts = texts.select("text").mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # 2^BITS + 1 rows at most
-    runs = max(1, sum(r["n"] for r in counts if r["feature"] < 0))
+    passages = items.mapInArrow(_cut_items, "item_id long, passage int, passages int, terms binary, left int, around binary, n int").filter(f"n >= {SHORT}")
+    passages = scratch.stash(passages, "passages")
+    total = passages.count()
+    short = _contaminated_by_short(texts, items, scratch, kind)
+    if not total:
+        return short
+    packed = "slice int, counts binary, runs long, texts long"
+    slices = texts.select("text").mapInArrow(tidy(_frequencies), packed).groupBy("slice").applyInPandas(_sum, packed).collect()  # 2^BITS numbers
+    runs, written = (max(1, sum(r[c] for r in slices)) for c in ("runs", "texts"))
     frequency = np.zeros(1 << BITS, np.int64)
-    for r in counts:
-        if r["feature"] >= 0:
-            frequency[r["feature"]] = r["n"]
+    for r in slices:
+        frequency[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
+    del slices
     # never 0: a leak that many documents copy makes its terms as frequent as stop words
     idf = np.log((runs + 1) / np.minimum(frequency + 1, max(1.0, 0.1 * (runs + 1))))
     # features of the benchmark, at most 2^BITS
@@ -309,19 +384,22 @@ def contaminated_texts(
     own = np.array(sorted(has), np.int64)
     place = np.full(1 << BITS, -1, np.int64)
     place[own] = np.arange(len(own))
-    if not len(own):
-        return spark.createDataFrame([], f"doc_id {kind}, text_hash long, item_id long, passages int, found long, cosine double, lcs double, answers double, covered double")
-    some = texts.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents).select("text").mapInArrow(_cut_sample, "terms binary")
-    fit = passages.select("terms").union(some)
+    most = int(min(1.0, fit_documents / written) * (2**31 - 1))
+    some = texts.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31 - 1)) < most).select("text").mapInArrow(_cut_sample, "terms binary")
+    some = scratch.stash(some, "sample")
+    weight = CORPUS_SHARE * total / max(1, some.count())
+    fit = passages.select("terms", F.lit(1.0).alias("weight")).union(some.select("terms", F.lit(weight)))
     rank = min(rank, len(own))
-    space = latent_space(fit, idf[own], place, rank)
+    _, space = latent_space(fit, idf[own], place, rank)
+    scratch.drop("sample")
     shared_space = (idf[own, None] * space).astype(np.float32)
 
     found = None
-    ordered = passages.orderBy("row")
-    total = passages.count()
-    for lo in range(0, total, block):  # the benchmark's passages in blocks; each is a broadcast of bounded size
-        rows = ordered.offset(lo).limit(block).collect()
+    blocks = -(-total // block)
+    for i in range(blocks):  # the benchmark's passages in blocks of about ``block``; each is a broadcast of bounded size
+        rows = passages.filter(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == i).collect()
+        if not rows:
+            continue
         terms = [np.frombuffer(r["terms"], "<u8") for r in rows]
         vectors = np.stack([shared_space[p[p >= 0]].sum(axis=0) if (p := place[features(t)]).max(initial=-1) >= 0 else np.zeros(rank, np.float32) for t in terms])
         # the cosine of a window x with a passage q in the latent space, against |x| itself and the share of q that the space
@@ -339,16 +417,31 @@ def contaminated_texts(
             "around": [t.tolist() for t in around], "rarest": rarest, "left": [r["left"] for r in rows], "n": [r["n"] for r in rows],
             "item": [r["item_id"] for r in rows], "nth": [r["passage"] for r in rows], "of": [r["passages"] for r in rows],
         }))
-        part = scratch.stash(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_search(shared, similarity, lcs, answers), schema), f"found-{lo}")
+        part = scratch.stash(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_search(shared, similarity, lcs, answers)), schema), f"found-{i}")
+        shared.destroy()
         found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    scratch.drop("passages")
     covered = F.size(F.array_distinct(F.flatten(F.collect_set("cells"))))
     pairs = found.groupBy("doc_id", "text_hash", "item_id").agg(
         F.max("passages").alias("passages"), F.count_distinct(F.when(F.col("whole"), F.col("passage"))).alias("found"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answers").alias("answers"),
         (covered / F.max("n")).alias("covered"),
     )
-    return pairs.filter((F.col("found") >= F.ceil(F.col("passages") * share)) | (F.col("covered") >= share))
+    return pairs.filter((F.col("found") >= F.ceil(F.col("passages") * share)) | (F.col("covered") >= share)).union(short)
+
+
+def _contaminated_by_short(texts: DataFrame, items: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
+    """Items of fewer than SHORT terms in the documents that have them in a row: an equi-join on 128-bit names of sequences."""
+    spark = texts.sparkSession
+    short = scratch.stash(items.mapInArrow(_short_items, "item_id long, n int, one long, two long"), "short")
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+    if not lengths:
+        return spark.createDataFrame([], f"doc_id {kind}, {PAIR}")
+    # up to a million names go to the scan, so that other sequences don't leave it; more are left to the join
+    ones = [r["one"] for r in short.select("one").distinct().limit(1_000_001).collect()]
+    shared = spark.sparkContext.broadcast(np.array(sorted(ones), np.int64) if len(ones) <= 1_000_000 else None)
+    there = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_find_short(lengths, shared)), f"doc_id {kind}, text_hash long, n int, one long, two long").distinct()
+    one = F.lit(1.0)
+    return there.join(short, ["n", "one", "two"]).select("doc_id", "text_hash", "item_id", F.lit(1).alias("passages"), F.lit(1).cast("long").alias("found"), one.alias("cosine"), one.alias("lcs"), one.alias("answers"), one.alias("covered"))
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +450,15 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found or [np.zeros(0, np.int64)])).astype(np.int32))], ["feature"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold benchmark items; columns as they are."""
-    gone = contaminated_texts(docs, benchmark, doc_id=doc_id, text=text, **options).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.xxhash64(docs[text]) == F.col("_hash")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", least_terms: int = 5, item_text: str = "text", **options) -> DataFrame:
+    """docs without the documents that hold benchmark items; columns as they are, whatever their names.
+
+    An item of fewer than least_terms terms is a phrase that any text may have, and no reason to drop one. Null and empty texts
+    stay. Rows that repeat a doc_id are told apart by their texts; rows that repeat both go together. Empty tables change nothing.
+    """
+    scratch = Scratch(docs.sparkSession)
+    terms = F.filter(F.split(F.lower(item_text), "[^a-z0-9\\x{80}-\\x{10FFFF}]+"), lambda x: x != "")
+    long_enough = benchmark.filter(F.size(terms) >= least_terms)
+    gone = contaminated_texts(docs, long_enough, doc_id=doc_id, text=text, item_text=item_text, **options).select("doc_id", "text_hash").distinct()
+    gone = scratch.stash(gone, "contaminated")
+    return keyed(docs, gone, [(F.col(doc_id), "doc_id"), (F.xxhash64(text), "text_hash")], "left_anti")
