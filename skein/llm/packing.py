@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, configure, text_blocks
+from .common import Scratch, configure, text_blocks, tidy
 from .tokens import with_end, word_encoder
 
 
@@ -128,7 +128,7 @@ def pack_sequences(
     configure(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     pieces = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        _cut(tokenizer, end_id, capacity, piece), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+        tidy(_cut(tokenizer, end_id, capacity, piece)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
     # stored with a row number: groups stay the same if a task runs again, and equal rows are dealt apart
     pieces = Scratch(docs.sparkSession).stash(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
