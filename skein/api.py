@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from contextlib import contextmanager
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein import providers
 from skein.operators import chunking, extraction, metrics
-from skein.plans.search import Corpus, SearchConfig, search
+from skein.plans.search import Corpus, SearchConfig, rerank_by_score, search
 
 
 def session(name: str = "skein", **settings: str) -> SparkSession:
@@ -41,6 +42,11 @@ class Engine:
     def stage_results(self) -> DataFrame:
         return self.spark.createDataFrame(self.stages, "stage string, status string, seconds double, error string")
 
+    def result_json(self, logs: bool = False) -> str:
+        """The stages' outcome as JSON; with logs, times and errors too."""
+        rows = [{"stage": n, "status": s} | ({"seconds": round(t, 3), "error": e} if logs else {}) for n, s, t, e in self.stages]
+        return json.dumps({"status": "FAILED" if any(r["status"] == "FAILED" for r in rows) else "COMPLETED", "stages": rows}, ensure_ascii=False, indent=2)
+
     def load(self, articles: DataFrame, mode: str = "standard", max_tokens: int = 1000) -> DataFrame:
         """articles (doc_id, text) to chunks; modes standard and heading_strict."""
         with self.stage("load"):
@@ -54,9 +60,9 @@ class Engine:
         with self.stage("extract"):
             return extraction.extract_events(chunks, provider)
 
-    def search(self, queries: DataFrame, query_entities: DataFrame, corpus: Corpus, config: SearchConfig = SearchConfig()) -> DataFrame:
+    def search(self, queries: DataFrame, query_entities: DataFrame, corpus: Corpus, config: SearchConfig = SearchConfig(), rerank=rerank_by_score) -> DataFrame:
         with self.stage("search"):
-            return search(queries, query_entities, corpus, config)
+            return search(queries, query_entities, corpus, config, rerank)
 
     def evaluate(self, predictions: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
         with self.stage("evaluate"):

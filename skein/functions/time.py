@@ -15,14 +15,19 @@ def format_time(x: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(x, pattern)
 
 
-def time_ago(x: Column, now: Column) -> Column:
-    """A relative label: just now, minutes, hours, days, months, years."""
-    s = F.unix_timestamp(now) - F.unix_timestamp(x)
-    label = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit(f" {name} ago"))
-    return (
-        F.when(s < 60, "just now").when(s < 3600, label(60, "minutes")).when(s < 86400, label(3600, "hours"))
-        .when(s < 2592000, label(86400, "days")).when(s < 31536000, label(2592000, "months")).otherwise(label(31536000, "years"))
-    )
+# fixed values: the labels of relative times
+AGO = {"zh": ("刚刚", "分钟前", "小时前", "天前", "个月前", "年前"), "en": ("just now", " minutes ago", " hours ago", " days ago", " months ago", " years ago")}
+
+
+def time_ago(x: Column, now: Column, language: str = "zh") -> Column:
+    """A relative label: just now, minutes, hours, days, months of 30 days, years of 365."""
+    s, labels = F.unix_timestamp(now) - F.unix_timestamp(x), AGO[language]
+    steps = [(60, 3600), (3600, 86400), (86400, 2592000), (2592000, 31536000), (31536000, None)]
+    out = F.when(s < 60, labels[0])
+    for (unit, end), label in zip(steps, labels[1:]):
+        text = F.concat(F.floor(s / unit).cast("string"), F.lit(label))
+        out = out.when(s < end, text) if end else out.otherwise(text)
+    return out
 
 
 def time_decay(x: Column, now: Column, rate: float = 0.1) -> Column:

@@ -6,8 +6,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: the delimiters a part ends with, first choice and second
 PRIMARY = r"(?<=\n\n)|(?<=(?<!\n)\n)(?!\n)|(?<=[。！？!?])|(?<=\. )"
@@ -123,6 +124,55 @@ def assemble(sections: list[tuple[str, str]], most: int, alone: int = 600, stric
     return chunks
 
 
+def pack_paragraphs(text: str, most: int, count=_estimate) -> list[str]:
+    """A large section's paragraphs, packed greedily to parts of at most most tokens; a longer paragraph stands alone. Blank text stays one part."""
+    out, used = [], 0
+    if not text.strip():
+        return [text]
+    for p in text.strip().split("\n\n"):
+        n = count(p)
+        if out and used + n <= most:
+            out[-1] += "\n\n" + p
+            used += n
+        else:
+            out.append(p)
+            used = n
+    return out
+
+
+def packed_sections(sections: DataFrame, most: int, large: int = 600, text: str = "text", count=_estimate) -> DataFrame:
+    """sections with the texts over large tokens as several rows (part from 0), by pack_paragraphs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = batch[text].map(lambda x: pack_paragraphs(x or "", most, count) if count(x or "") > large else [x])
+            yield batch.assign(**{text: parts, "part": parts.map(lambda x: list(range(len(x))))}).explode([text, "part"], ignore_index=True).astype({"part": "int32"})
+
+    return sections.mapInPandas(run, T.StructType([*sections.schema.fields, T.StructField("part", T.IntegerType())]))
+
+
+def section_references(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, rank, references: ids of sections in order) from chunks' order indexes and sections (key, order_index, section_id)."""
+    x = chunks.select(key, "rank", F.posexplode("references").alias("_pos", "order_index")).join(sections.select(key, "order_index", "section_id"), [key, "order_index"])
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "section_id"))), lambda s: s["section_id"])
+    return x.groupBy(key, "rank").agg(ids.alias("references"))
+
+
+def chunk_sections(chunks: DataFrame, sections: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, rank, section_id): the sections that a chunk refers to; all of the document's if it refers to none."""
+    x = chunks.select(key, "rank", F.coalesce("references", F.array().cast(chunks.schema["references"].dataType)).alias("r"))
+    named = x.select(key, "rank", F.explode("r").alias("order_index")).join(sections, [key, "order_index"])
+    every = x.filter(F.size("r") == 0).select(key, "rank").join(sections, key)
+    return named.select(key, "rank", "section_id").union(every.select(key, "rank", "section_id"))
+
+
+def heading_breaks(sections: DataFrame, key: str, order: str, heading: str) -> DataFrame:
+    """sections with ``chunk``: how often the heading has changed before or at the row."""
+    w = Window.partitionBy(key).orderBy(order)
+    turned = sections.withColumn("_turned", F.col(heading) != F.lag(heading, 1).over(w))
+    return turned.withColumn("chunk", F.count_if("_turned").over(w)).drop("_turned")
+
+
 def chunks_standard(docs: DataFrame, most: int = 1000, section_most: int | None = None, key: str = "doc_id", text: str = "text", strict: bool = False) -> DataFrame:
     """(key, rank, heading, content, raw_content, references): the whole chain for each document, a batch at a time."""
     section_most = section_most or max(128, min(512, most // 4))

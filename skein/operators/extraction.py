@@ -19,6 +19,11 @@ def not_deleted(status: Column) -> Column:
     return status.isNull() | (status != "DELETED")
 
 
+def not_removed(is_delete: Column) -> Column:
+    """is_delete = false; a row without the field doesn't count as kept."""
+    return F.coalesce(~is_delete, F.lit(False))
+
+
 def not_image(kind: Column) -> Column:
     return kind.isNull() | (kind != "IMAGE")
 
@@ -126,3 +131,54 @@ def extract_events(chunks: DataFrame, provider, partitions: int | None = None) -
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     x = chunks.select("chunk_id", "content") if partitions is None else chunks.select("chunk_id", "content").repartition(partitions)
     return x.mapInPandas(run, f"chunk_id {kind}, event_rank int, title string, content string, entities array<string>, error string")
+
+
+def unique_entities(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """The entities that links refer to, each once."""
+    return entities.join(links.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
+def related_events(queries: DataFrame, events: DataFrame, links: DataFrame, k: int = 3, least: float = 0.7, most: int = 10) -> DataFrame:
+    """(qid, rank, event_id, title, category, entities): the k events nearest by content with a score of at least ``least``.
+
+    queries (qid, qv); events (event_id, title, category, content_vector); links (event_id, ord, type, name): each event shows its first ``most``.
+    """
+    from skein.operators import vectors
+
+    hits = vectors.knn(queries, events.select(F.col("event_id").alias("id"), F.col("content_vector").alias("v")), k).filter(F.col("score") >= least)
+    hits = hits.select("qid", "rank", F.col("id").alias("event_id"))
+    named = links.join(hits.select("event_id").distinct(), "event_id", "left_semi").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "name"))).alias("x"))
+    shown = F.transform(F.slice(F.coalesce("x", F.array().cast(named.schema["x"].dataType)), 1, most), lambda e: F.struct(e["type"].alias("type"), e["name"].alias("name")))
+    rows = hits.join(events.select("event_id", "title", F.coalesce("category", F.lit("")).alias("category")), "event_id").join(named, "event_id", "left")
+    return rows.select("qid", "rank", "event_id", "title", "category", shown.alias("entities"))
+
+
+def chunk_requests(chunks: DataFrame, sections: DataFrame, types: list[str], least: int = 20) -> DataFrame:
+    """The requests of an extraction: long enough chunks with the texts of their sections that are no images, and the chunk before.
+
+    chunks (chunk_id, source, rank, content, chunk_length), sections (chunk_id, ord, type, content): (chunk_id, request, previous).
+    """
+    from skein.functions.text import previous_context
+
+    long = previous_chunk(chunks, "source", "rank", "content").filter(long_enough(F.col("chunk_length"), F.col("content"), least))
+    items = sections.filter(not_image(F.col("type"))).groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda s: s["content"]).alias("items"))
+    x = long.join(items, "chunk_id", "left").withColumn("items", F.coalesce("items", F.array("content")))
+    return x.join(prompt_input(x, types), "chunk_id").select("chunk_id", "request", previous_context(F.col("previous")).alias("previous"))
+
+
+def upsert_embeddings(current: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """current with the rows of new; of rows that share the key the newest stamp stays, and new ones come before current ones."""
+    both = current.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(key).orderBy(F.col("_new").desc(), F.col("stamp").desc())
+    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_new")
+
+
+def missing_embeddings(written: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """The read-back: rows of new whose key or bytes the written table lacks."""
+    return new.select(key, "vec").distinct().join(written.select(key, "vec"), [key, "vec"], "left_anti")
+
+
+def with_relations(events: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """events with their links' entities as an array of (entity_id, name), sorted by id; links to unknown entities are dropped."""
+    x = links.join(events.select("event_id"), "event_id", "left_semi").join(entities.select("entity_id", "name"), "entity_id")
+    return events.join(x.groupBy("event_id").agg(F.array_sort(F.collect_set(F.struct("entity_id", "name"))).alias("entities")), "event_id", "left")

@@ -11,7 +11,7 @@ from skein import providers
 from skein.functions import jsonx, text, time, values
 from skein.operators import chunking, extraction, fulltext, graph, metrics, vectors
 from skein.operators.lineage import cut
-from skein.plans.search import Corpus, SearchConfig, search
+from skein.plans.search import Corpus, SearchConfig, assemble_candidates, recall_channels, search
 from skein.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,23 +53,24 @@ def _scalar(name: str, make: Callable, sql: str, table: str = "documents", key:
 
 
 _t = lambda: F.col("text")
-# where the two engines' regular expressions differ outside ASCII, other signs go first
-_a = lambda: F.regexp_replace("text", r"[^ -~\n]", "")
-_A = r"regexp_replace(text, '[^ -~\n]', '', 'g')"
+_S = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # white space beyond ASCII, as the operators see it
 _scalar("text_normalize", lambda: text.normalize_text(_t()), r"trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g'))")
-_scalar("text_entity_name", lambda: text.normalize_entity_name(_a()), rf"trim(regexp_replace(regexp_replace(lower({_A}), '[^a-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'))")
+_scalar("text_entity_name", lambda: text.normalize_entity_name(_t()), rf"trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\s\x0B\x1C-\x1F\x85\p{{Z}}]', '', 'g'), '{_S}+', ' ', 'g'))")
 _scalar("text_headings", lambda: F.array_join(text.markdown_headings(F.concat(F.lit("# doc "), "doc_id", F.lit("\n"), "text")), "|"), rf"array_to_string([trim(regexp_extract(s, '^#{{1,6}}\s+(.+)$', 1)) FOR s IN string_split({DOC}, chr(10)) IF regexp_matches(s, '^#{{1,6}}\s+.+$')], '|')")
 _scalar("text_hash", lambda: text.text_hash(_t()), "md5(text)")
 _scalar("text_truncate", lambda: text.truncate_text(_t(), 100), "CASE WHEN length(text) > 100 THEN substring(text, 1, 97) || '...' ELSE text END")
-_scalar("text_heading", lambda: text.normalize_heading(F.concat(F.lit("## [a "), "doc_id", F.lit("](http://x) "), _a())), "substring(trim(regexp_replace(regexp_replace(regexp_replace('## [a ' || doc_id || '](http://x) ' || " + _A + r", '^#{1,6}\s*', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\s+', ' ', 'g')), 1, 500)")
+_scalar("text_heading", lambda: text.normalize_heading(F.concat(F.lit("## [a "), "doc_id", F.lit("](http://x) "), _t())), "substring(trim(regexp_replace(regexp_replace(regexp_replace('## [a ' || doc_id || '](http://x) ' || text" + r", '^#{1,6}\s*', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '" + _S + "+', ' ', 'g')), 1, 500)")
 _scalar("text_paragraphs", lambda: F.array_join(text.paragraphs(_t()), "|"), r"array_to_string([regexp_replace(p, '^\s+|\s+$', '', 'g') FOR p IN string_split(text, chr(10) || chr(10)) IF regexp_replace(p, '^\s+|\s+$', '', 'g') <> ''], '|')")
 _scalar("text_han_count", lambda: text.han_count(F.concat("text", F.lit("三百元"))), r"length(regexp_replace(text || '三百元', '[^\x{4e00}-\x{9fff}]', '', 'g'))")
 _scalar("text_tokens", lambda: text.estimate_tokens(_t()), "cast(trunc(length(text) / 4.0) AS INTEGER)")
-_scalar("text_tokens_weighted", lambda: text.estimate_tokens_weighted(_a()), rf"CASE WHEN length({_A}) = 0 THEN 0 ELSE greatest(1, cast(trunc(len(regexp_extract_all({_A}, '[a-zA-Z]+')) * 1.3 + length(regexp_replace({_A}, '[a-zA-Z\s]', '', 'g')) * 0.5) AS INTEGER)) END")
+_scalar("text_tokens_weighted", lambda: text.estimate_tokens_weighted(_t()), r"CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, cast(trunc(len(regexp_extract_all(text, '[a-zA-Z]+')) * 1.3 + length(regexp_replace(text, '[a-zA-Z\s\x0B]', '', 'g')) * 0.5) AS INTEGER)) END")
 _scalar("text_clean_whitespace", lambda: text.clean_whitespace(_t()), r"array_to_string([regexp_replace(s, '^\s+|\s+$', '', 'g') FOR s IN string_split(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10))], chr(10))")
 _scalar("text_cut_to_tokens", lambda: text.cut_to_tokens(_t(), 200), "CASE WHEN trunc(length(text) / 4.0) > 200 THEN substring(text, 1, cast(trunc(length(text) * (200.0::DOUBLE / trunc(length(text) / 4.0)) * 0.9::DOUBLE) AS INTEGER)) ELSE text END")
 _scalar("text_sentences", lambda: F.size(text.sentences(_t())), r"len([s FOR s IN regexp_split_to_array(text, '[.!?]+') IF regexp_replace(s, '^\s+|\s+$', '', 'g') <> ''])")
-_scalar("text_answer", lambda: text.normalize_answer(_a()), "trim(regexp_replace(regexp_replace(regexp_replace(lower(" + _A + r"), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))")
+_bare = r"regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g')"
+for _ in range(2):  # a word of its own, also beside accented letters; twice, since neighbours share the sign between them
+    _bare = rf"regexp_replace({_bare}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(?:a|an|the)($|[^\p{{L}}\p{{M}}\p{{N}}_])', '\1 \2', 'g')"
+_scalar("text_answer", lambda: text.normalize_answer(_t()), f"trim(regexp_replace({_bare}, '{_S}+', ' ', 'g'))")
 _scalar("text_section", lambda: text.section_text(F.col("source"), F.concat("source", F.lit("\n"), "text")), "source || chr(10) || text")
 _scalar("text_section_markdown", lambda: text.section_markdown(F.col("source"), _t()), "'# ' || source || chr(10) || text")
 _scalar("text_previous_context", lambda: text.previous_context(_t()), "CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '…' ELSE text END")
@@ -85,7 +86,9 @@ _e = ("event_id",)
 _scalar("time_parse_iso", lambda: time.parse_iso(F.when(F.col("event_id") % 3 == 0, "no date").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))), "CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END", "events", _e)
 _scalar("time_format", lambda: time.format_time(F.col("ts")), "strftime(ts, '%Y-%m-%d %H:%M:%S')", "events", _e)
 _secs = f"(epoch_us(TIMESTAMP '{NOW}') // 1000000 - epoch_us(ts) // 1000000)"
-_scalar("time_ago", lambda: time.time_ago(F.col("ts"), _now()), f"CASE WHEN {_secs} < 60 THEN 'just now' WHEN {_secs} < 3600 THEN ({_secs} // 60) || ' minutes ago' WHEN {_secs} < 86400 THEN ({_secs} // 3600) || ' hours ago' WHEN {_secs} < 2592000 THEN ({_secs} // 86400) || ' days ago' ELSE ({_secs} // 2592000) || ' months ago' END", "events", _e)
+_ago = lambda just, *unit: f"CASE WHEN {_secs} < 60 THEN '{just}' WHEN {_secs} < 3600 THEN ({_secs} // 60) || '{unit[0]}' WHEN {_secs} < 86400 THEN ({_secs} // 3600) || '{unit[1]}' WHEN {_secs} < 2592000 THEN ({_secs} // 86400) || '{unit[2]}' ELSE ({_secs} // 2592000) || '{unit[3]}' END"
+_scalar("time_ago", lambda: time.time_ago(F.col("ts"), _now()), _ago("刚刚", "分钟前", "小时前", "天前", "个月前"), "events", _e)
+_scalar("time_ago_english", lambda: time.time_ago(F.col("ts"), _now(), "en"), _ago("just now", " minutes ago", " hours ago", " days ago", " months ago"), "events", _e)
 _scalar("time_decay", lambda: F.round(time.time_decay(F.col("ts"), _now()), 8), f"round(exp(-0.1::DOUBLE * ({_secs} // 86400)), 8)", "events", _e)
 _scalar("time_shanghai", lambda: time.to_shanghai(F.col("ts")), "ts + INTERVAL 8 HOUR", "events", _e)
 _scalar("time_naive_utc", lambda: time.to_naive_utc(F.col("ts"), "+02:00"), "ts - INTERVAL 2 HOUR", "events", _e)
@@ -100,26 +103,27 @@ def event_time_range(t):
 
 # ---- typed values
 
-_scalar("value_number", lambda: values.parse_number(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("k")))["number"], "cast(l_quantity AS INTEGER) * 1000.0::DOUBLE", "lineitem", ("l_orderkey", "l_linenumber"))
+_units = ("万元", "吨", "小时", "km", "瓶", "cm")
+_scalar("value_number", lambda: F.round(values.parse_number(F.concat(F.col("l_quantity").cast("int").cast("string"), F.element_at(F.array(*map(F.lit, _units)), (F.col("l_partkey") % 6 + 1).cast("int"))))["number"], 6), "round(cast(l_quantity AS INTEGER) * list_extract(cast([10000.0, 1000.0, 3600.0, 1000.0, 1.0, 0.01] AS DOUBLE[]), l_partkey % 6 + 1), 6)", "lineitem", ("l_orderkey", "l_linenumber"))
 _scalar("value_datetime", lambda: values.parse_datetime(F.date_format("o_orderdate", "yyyy年M月d日"))["moment"], "date_trunc('day', o_orderdate)", "orders", ("o_orderkey",))
 _scalar("value_compact_datetime", lambda: values.parse_compact_datetime(F.date_format("o_orderdate", "yyyyMMdd"))["moment"], "date_trunc('day', o_orderdate)", "orders", ("o_orderkey",))
-_scalar("value_bool", lambda: values.parse_bool(F.element_at(F.array(*map(F.lit, ("Yes", "no", "maybe", "是"))), (F.col("o_orderkey") % 4 + 1).cast("int")))["flag"], "CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END", "orders", ("o_orderkey",))
+_scalar("value_bool", lambda: values.parse_bool(F.element_at(F.array(*map(F.lit, ("Yes", "no", "maybe", "是", "已", "未", "启用", "关闭", "y", "1"))), (F.col("o_orderkey") % 10 + 1).cast("int")))["flag"], "CASE WHEN o_orderkey % 10 IN (0, 3, 4, 6) THEN true WHEN o_orderkey % 10 IN (1, 5, 7) THEN false END", "orders", ("o_orderkey",))
 _scalar("value_enum", lambda: values.parse_enum(F.col("o_orderpriority"), ["1-URGENT", "HIGH"])["label"], "CASE WHEN o_orderpriority = '1-URGENT' THEN '1-URGENT' WHEN contains('1-URGENT', o_orderpriority) OR contains(o_orderpriority, '1-URGENT') THEN '1-URGENT' WHEN contains(o_orderpriority, 'HIGH') OR contains('HIGH', o_orderpriority) THEN 'HIGH' ELSE 'UNKNOWN' END", "orders", ("o_orderkey",))
 _scalar("value_parse", lambda: values.parse_value(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.lit("3.5万")).otherwise(F.col("o_orderpriority")))["type"], "CASE o_orderkey % 3 WHEN 0 THEN 'datetime' WHEN 1 THEN 'int' ELSE 'text' END", "orders", ("o_orderkey",))
 _scalar("value_typed_text", lambda: values.typed_text(values.parse_value(F.col("l_linenumber").cast("string"))), "cast(l_linenumber AS VARCHAR)", "lineitem", ("l_orderkey", "l_partkey"))
 
 
-@query("SELECT l_orderkey, l_linenumber, 'int' AS value_type, cast(cast(l_quantity AS INTEGER) AS VARCHAR) || '%' AS value_raw, cast(l_quantity AS BIGINT) AS int_value, '%' AS value_unit FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, 'int' AS value_type, cast(cast(l_quantity AS INTEGER) AS VARCHAR) || '公里' AS value_raw, cast(l_quantity AS BIGINT) * 1000 AS int_value, '公里' AS value_unit FROM lineitem")
 def value_typed_columns(t):
-    v = values.parse_value(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%")))
+    v = values.parse_value(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("公里")))
     x = t.lineitem.select("l_orderkey", "l_linenumber", v.alias("v"))
     return x.select("l_orderkey", "l_linenumber", *values.typed_columns(F.col("v"))).select("l_orderkey", "l_linenumber", "value_type", "value_raw", "int_value", "value_unit")
 
 
-@query("SELECT * FROM (VALUES ('三百五十', 350), ('十五', 5), ('一千二百', 1200), ('十', NULL)) v(raw, number)")
+@query("SELECT * FROM (VALUES ('三百五十', 350), ('十五', 5), ('一千二百', 1200), ('一千二百万', 1002000000), ('三兆', 3000000000000), ('十', NULL)) v(raw, number)")
 def value_chinese(t):
-    x = t.spark.createDataFrame([("三百五十",), ("十五",), ("一千二百",), ("十",)], "raw string")
-    return x.select("raw", values.parse_chinese_number(F.col("raw"))["number"].cast("int").alias("number"))
+    x = t.spark.createDataFrame([("三百五十",), ("十五",), ("一千二百",), ("一千二百万",), ("三兆",), ("十",)], "raw string")
+    return x.select("raw", values.parse_chinese_number(F.col("raw"))["number"].cast("long").alias("number"))
 
 
 # ---- JSON
@@ -204,9 +208,12 @@ def knn_score_ids(t):
     return vectors.score_ids(_qv(t), _v(t), _wanted(t))
 
 
-@query("SELECT vec_id, true AS valid FROM embeddings")
+@query("SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AS valid FROM embeddings")
 def vector_valid(t):
-    return t.embeddings.select("vec_id", vectors.is_valid_vector(F.col("embedding")).alias("valid"))
+    v, i = F.col("embedding"), F.col("vec_id")
+    bad = lambda x: F.transform(v, lambda y, at: F.when(at == 3, F.lit(x).cast("float")).otherwise(y))
+    v = F.when(i % 5 == 0, bad(float("nan"))).when(i % 7 == 0, bad(float("inf"))).when(i % 11 == 0, bad(None)).when(i % 13 == 0, F.slice(v, 1, 0)).otherwise(v)
+    return t.embeddings.select("vec_id", vectors.is_valid_vector(v).alias("valid"))
 
 
 @query("SELECT vec_id, 32 AS dims, round(list_sum(embedding[1:32]::DOUBLE[]), 6) AS total, 128 AS bytes FROM embeddings")
@@ -247,7 +254,8 @@ _G2 = _G + """, k1 AS (SELECT * FROM p1 UNION SELECT * FROM seeds), p2 AS (SELEC
 
 
 def _edges(t):
-    return t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    """Read by every hop, so cut off once."""
+    return cut(t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct())
 
 
 def _seeds(t):
@@ -296,8 +304,9 @@ def phase_b_gated(t):
 
 @query(f"WITH {_G} SELECT qid, event_id FROM e0 UNION ALL SELECT qid, event_id FROM e1")
 def multi1_expand(t):
-    a, entities = graph.phase_a(_seeds(t), _edges(t))
-    b = graph.phase_b(entities, a, _edges(t), most=0)
+    edges = _edges(t)
+    a, entities = graph.phase_a(_seeds(t), edges)
+    b = graph.phase_b(entities, a, edges, most=50)  # empty: the events of known entities are known
     return a.select("qid", "event_id").union(b.select("qid", "event_id"))
 
 
@@ -318,7 +327,7 @@ def hopllm_expand(t):
 def two_channel_recall(t):
     first = graph.entity_to_event(_seeds(t), _edges(t)).withColumn("score", F.lit(0.0))
     second = vectors.knn(_qv(t), _v(t), 20).filter("score >= 0.4").select(F.expr("qid div 50").alias("qid"), F.col("id").alias("event_id"), "score")
-    return first.union(second).groupBy("qid", "event_id").agg(F.max("score").alias("score"))
+    return recall_channels(first, second)
 
 
 @query(f"WITH {_G} SELECT o_orderkey AS event_id, coalesce(o_orderpriority, '') AS title, array_to_string(list_sort(list(DISTINCT entity_id)), ',') AS entities FROM orders JOIN edges ON o_orderkey = event_id WHERE o_orderkey IN (SELECT event_id FROM e0) GROUP BY ALL")
@@ -333,7 +342,7 @@ def candidate_assembly(t):
     x = t.orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("event_id"))
     x = vectors.top_k(x.withColumns({"score": F.lit(0), "id": F.col("event_id")}), 10**9)
     d = t.orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"), F.col("o_orderpriority").alias("title"))
-    return x.join(d, "event_id", "left").select("event_id", F.coalesce("title", F.lit("")).alias("title"), F.col("rank").cast("long").alias("pos"))
+    return assemble_candidates(x.select("qid", "event_id", F.col("rank").cast("long").alias("pos")), d).select("event_id", "title", "pos")
 
 
 @query(f"""WITH k AS ({_KNN.format(s=_COS, w='')}) SELECT qid, id, cast(CASE WHEN rank % 2 = 1 THEN 1 ELSE 2 END AS INTEGER) AS phase, cast(row_number() OVER (PARTITION BY qid ORDER BY rank % 2 DESC, score DESC, id) AS INTEGER) AS pos FROM k""")
@@ -378,9 +387,9 @@ def chunk_heading_strict(t):
     return chunking.chunks_by_heading(_marked(t))
 
 
-@query("SELECT doc_id, unnest([1, 2, 3]) AS pos, unnest(['head ' || chr(10), '# a' || chr(10) || lang || chr(10), '### b' || chr(10) || source]) AS block FROM documents")
+@query("SELECT doc_id, unnest([1, 2, 3]) AS pos, unnest(['head ' || chr(10), '# a' || chr(10) || text || chr(10), '### b' || chr(10) || source]) AS block FROM documents")
 def chunk_blocks(t):
-    md = F.concat(F.lit("head \n# a\n"), "lang", F.lit("\n### b\n"), "source")
+    md = F.concat(F.lit("head \n# a\n"), "text", F.lit("\n### b\n"), "source")
     return t.documents.select("doc_id", F.posexplode(chunking.split_blocks(md)).alias("pos", "block")).select("doc_id", (F.col("pos") + 1).alias("pos"), "block")
 
 
@@ -414,8 +423,7 @@ def block_routing(t):
 
 @query("SELECT conv_id, turn, cast(count(*) FILTER (WHERE turned) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS chunk FROM (SELECT *, role <> lag(role, 1, role) OVER (PARTITION BY conv_id ORDER BY turn) AS turned FROM conversations)")
 def heading_breaks(t):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", "turn", F.count_if(F.col("role") != F.lag("role", 1).over(w)).over(w).alias("chunk") if False else (F.col("role") != F.lag("role", 1).over(w)).alias("turned")).select("conv_id", "turn", F.count_if("turned").over(w).alias("chunk"))
+    return chunking.heading_breaks(t.conversations, "conv_id", "turn", "role").select("conv_id", "turn", "chunk")
 
 
 @query()
@@ -425,17 +433,18 @@ def chunk_standard(t):
 
 # ---- extraction and relational verbs
 
-_MENTIONS = "m AS (SELECT source, doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents)"
+_MENTIONS = "m AS (SELECT source, doc_id, unnest(n) AS name, doc_id * 1000000 + unnest(range(len(n))) AS ord FROM (SELECT source, doc_id, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS n FROM documents))"
 
 
 def _mentions(t):
-    return t.documents.select("source", F.col("doc_id").alias("ord"), F.lit("subject").alias("type"), F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("name"))
+    x = t.documents.select("source", "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1))).alias("pos", "name"))
+    return x.select("source", (F.col("doc_id") * 1000000 + F.col("pos")).alias("ord"), F.lit("subject").alias("type"), "name")
 
 
-@query(f"WITH {_MENTIONS} SELECT source, 'subject' AS type, lower(name) AS normalized_name, min(name) AS name, count(*) AS mentions, md5(concat_ws(chr(1), source, 'subject', lower(name))) AS entity_id FROM m GROUP BY source, lower(name)")
+@query(f"WITH {_MENTIONS} SELECT source, 'subject' AS type, lower(name) AS normalized_name, arg_min(name, ord) AS name, count(*) AS mentions, md5(concat_ws(chr(1), source, 'subject', lower(name))) AS entity_id FROM m GROUP BY source, lower(name)")
 def entity_resolve(t):
     types = t.spark.createDataFrame(extraction.DEFAULT_TYPES, "type string, weight double, threshold double")
-    return extraction.resolve_entities(_mentions(t).withColumn("ord", F.col("name")), types)
+    return extraction.resolve_entities(_mentions(t), types)
 
 
 @query("SELECT event_id, entity_id, string_agg(description, '、' ORDER BY ord, description) AS description FROM (SELECT l_orderkey AS event_id, l_suppkey % 3 AS entity_id, l_returnflag AS description, min(l_linenumber) AS ord FROM lineitem GROUP BY ALL) GROUP BY ALL")
@@ -582,69 +591,83 @@ def events_newest_first(t):
 
 # ---- metrics
 
-_GOLD = "gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)), pred AS (SELECT item_id AS qid, doc_id AS doc, cast(row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7 + item_id) % 1009, doc_id) AS INTEGER) AS pos FROM benchmark, documents WHERE (doc_id + item_id) % 3 = 0)"
+_GOLD = "gold AS (SELECT item_id AS qid, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text)), pred AS (SELECT qid, doc, cast(row_number() OVER (PARTITION BY qid ORDER BY (doc * 7 + qid) % 1009, doc) AS INTEGER) AS pos FROM (SELECT qid, doc FROM gold WHERE doc % 3 <> 0 UNION SELECT item_id, doc_id FROM benchmark JOIN documents ON doc_id % 97 = item_id % 97))"
+INNER = 5  # words
 
 
 def _gold(t):
-    """Documents that contain a benchmark text; the few texts are broadcast while there are at most 10,000."""
-    from pyspark.sql.functions import broadcast
-
-    b = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
-    b = broadcast(b) if b.limit(10_001).count() <= 10_000 else b
-    return t.documents.join(b, F.col("text").contains(F.col("needle"))).select("qid", F.col("doc_id").alias("doc"))
+    """Documents that contain a benchmark text. Candidates share a run of INNER whole words from the needle's second word on, by hash; then the text decides.
+
+    Needles of fewer than INNER + 2 words are compared with every text.
+    """
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    b = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), words.alias("w"))
+    long = b.filter(F.size("w") >= INNER + 2).select("qid", "needle", F.xxhash64(F.slice("w", 2, INNER)).alias("h"))
+    few = long.limit(100_001).count() <= 100_000
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - INNER + 1), lambda i: F.xxhash64(F.slice("w", i, INNER)))
+    d = t.documents.select(F.col("doc_id").alias("doc"), words.alias("w")).filter(F.size("w") >= INNER).select("doc", F.explode(F.array_distinct(runs)).alias("h"))
+    near = d.join(F.broadcast(long) if few else long, "h").select("qid", "needle", "doc")
+    found = near.join(t.documents.select(F.col("doc_id").alias("doc"), "text"), "doc").filter(F.col("text").contains(F.col("needle"))).select("qid", "doc").distinct()
+    short = b.filter(F.size("w") < INNER + 2)
+    if short.limit(1).count():
+        found = found.union(t.documents.join(short, F.col("text").contains(F.col("needle"))).select("qid", F.col("doc_id").alias("doc")))
+    return cut(found)
 
 
 def _pred(t):
-    x = t.benchmark.select(F.col("item_id").alias("qid"), ((3 - F.col("item_id") % 3) % 3).alias("m")).join(t.documents.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 3).alias("m")), "m")
+    """Two of three gold documents, and one document in 97."""
+    noise = t.benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") % 97).alias("m")).join(t.documents.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 97).alias("m")), "m")
+    x = _gold(t).filter("doc % 3 <> 0").union(noise.select("qid", "doc")).distinct()
     return x.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy((F.col("doc") * 7 + F.col("qid")) % 1009, "doc"))).select("qid", "doc", "pos")
 
 
 _RANK = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold GROUP BY qid), h AS (SELECT p.*, g.doc IS NOT NULL AS hit FROM pred p LEFT JOIN gold g USING (qid, doc)),
-    m AS (SELECT g.qid, any_value(n) AS n, count(*) FILTER (WHERE hit AND pos <= 100) AS hits, coalesce(sum(CASE WHEN hit AND pos <= 100 THEN 1 / log2(pos + 1) END), 0) AS dcg, min(CASE WHEN hit THEN pos END) AS first FROM g LEFT JOIN h USING (qid) GROUP BY g.qid)
-    SELECT qid, round(hits / 100::DOUBLE, 6) AS precision, round(hits / n::DOUBLE, 6) AS recall, round(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 100) + 1)]), 6) AS ndcg, coalesce(round(1 / first::DOUBLE, 6), 0) AS mrr FROM m"""
+    m AS (SELECT g.qid, any_value(n) AS n, count(*) FILTER (WHERE hit AND pos <= 5) AS hits, coalesce(sum(CASE WHEN hit AND pos <= 5 THEN 1 / log2(pos + 1) END), 0) AS dcg, min(CASE WHEN hit THEN pos END) AS first FROM g LEFT JOIN h USING (qid) GROUP BY g.qid)
+    SELECT qid, round(hits / 5::DOUBLE, 6) AS precision, round(hits / n::DOUBLE, 6) AS recall, round(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n, 5) + 1)]), 6) AS ndcg, coalesce(round(1 / first::DOUBLE, 6), 0) AS mrr FROM m"""
 
 
 @query(_RANK)
 def precision_recall_ndcg_mrr(t):
-    return metrics.ranking_metrics(_pred(t), _gold(t), 100)
+    return metrics.ranking_metrics(_pred(t), _gold(t), 5)
 
 
 @query(f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM ({_RANK})")
 def macro_average(t):
-    return metrics.macro_average(metrics.ranking_metrics(_pred(t), _gold(t), 100))
+    return metrics.macro_average(metrics.ranking_metrics(_pred(t), _gold(t), 5))
 
 
-_SET = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold GROUP BY qid), s AS (SELECT qid, count(*) AS shown, count(DISTINCT g.doc) AS hits FROM pred p LEFT JOIN gold g USING (qid, doc) WHERE pos <= 150 GROUP BY qid),
+_SET = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold GROUP BY qid), s AS (SELECT qid, count(*) AS shown, count(DISTINCT g.doc) AS hits FROM pred p LEFT JOIN gold g USING (qid, doc) WHERE pos <= 8 GROUP BY qid),
     m AS (SELECT g.qid, coalesce(hits / n::DOUBLE, 0) AS r, coalesce(hits / shown::DOUBLE, 0) AS p FROM g LEFT JOIN s USING (qid))
     SELECT qid, round(r, 4) AS recall, round(p, 4) AS precision, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM m"""
 
 
 @query(_SET)
 def precision_f1_at_k(t):
-    return metrics.set_metrics(_pred(t), _gold(t), 150)
+    return metrics.set_metrics(_pred(t), _gold(t), 8)
 
 
 @query(f"SELECT CASE WHEN recall >= 1 THEN 'full' WHEN recall > 0 THEN 'partial' ELSE 'zero' END AS class, count(*) AS n FROM ({_SET}) GROUP BY 1")
 def recall_distribution(t):
-    return metrics.set_metrics(_pred(t), _gold(t), 150).groupBy(metrics.recall_class(F.col("recall")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.set_metrics(_pred(t), _gold(t), 8).groupBy(metrics.recall_class(F.col("recall")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH r AS (SELECT recall, row_number() OVER (ORDER BY qid) AS n FROM ({_SET})), b AS (SELECT cast((n - 1) // 7 AS BIGINT) AS batch, count(*) AS c, sum(recall) AS s FROM r GROUP BY 1)
     SELECT batch, cast(sum(c) OVER w AS BIGINT) AS queries, round(sum(s) OVER w / sum(c) OVER w, 6) AS mean_recall FROM b WINDOW w AS (ORDER BY batch)""")
 def cumulative_recall(t):
-    by = metrics.set_metrics(_pred(t), _gold(t), 150)
+    by = metrics.set_metrics(_pred(t), _gold(t), 8)
     return metrics.cumulative(by.withColumn("n", F.row_number().over(Window.orderBy("qid"))), 7)
 
 
-@query(f"SELECT round(avg(a.recall), 6) AS mean_a, round(avg(b.recall), 6) AS mean_b, round(avg(a.recall - b.recall), 6) AS difference, count(*) FILTER (WHERE abs(a.recall - b.recall) > 1e-9) AS differing, count(*) FILTER (WHERE a.recall = 0) AS zero_a, count(*) FILTER (WHERE b.recall = 0) AS zero_b FROM ({_SET}) a JOIN ({_SET.replace('150', '40')}) b USING (qid)")
+@query(f"SELECT round(avg(a.recall), 6) AS mean_a, round(avg(b.recall), 6) AS mean_b, round(avg(a.recall - b.recall), 6) AS difference, count(*) FILTER (WHERE abs(a.recall - b.recall) > 1e-9) AS differing, count(*) FILTER (WHERE a.recall = 0) AS zero_a, count(*) FILTER (WHERE b.recall = 0) AS zero_b FROM ({_SET}) a JOIN ({_SET.replace('pos <= 8', 'pos <= 3')}) b USING (qid)")
 def compare_ab(t):
-    return metrics.compare(metrics.set_metrics(_pred(t), _gold(t), 150), metrics.set_metrics(_pred(t), _gold(t), 40))
+    return metrics.compare(metrics.set_metrics(_pred(t), _gold(t), 8), metrics.set_metrics(_pred(t), _gold(t), 3))
 
 
-@query("SELECT item_id AS a, item_id AS b, CASE WHEN item_id % 2 = 0 THEN 'exact' ELSE 'overlap' END AS how FROM benchmark")
+@query("SELECT item_id * 10 + 5 AS a, item_id AS b, CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'overlap' ELSE 'place' END AS how FROM benchmark")
 def align_questions(t):
     b = t.benchmark.select(F.col("item_id").alias("id"), "text")
-    return metrics.align_questions(t.benchmark.select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("  "), "text")).otherwise(F.concat("text", F.lit(" added"))).alias("text")), b)
+    asked = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("  "), "text")).when(F.col("item_id") % 3 == 1, F.concat("text", F.lit(" added"))).otherwise(F.concat(F.lit("nothing alike "), "item_id"))
+    return metrics.align_questions(t.benchmark.select((F.col("item_id") * 10 + 5).alias("id"), asked.alias("text")), b)
 
 
 @query("SELECT role, cast(count(*) AS BIGINT) AS calls, cast(sum(length(text)) AS BIGINT) AS tokens FROM conversations GROUP BY ROLLUP (role)")

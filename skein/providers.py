@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,23 +25,42 @@ def hash_embedding(text: str | None, dims: int = 64) -> list[float]:
     return (v / n if n else v).astype(np.float32).tolist()
 
 
-def embedder(embed: Callable[[str | None], list[float]] = hash_embedding, batch: int = 10, fallback: bool = True):
-    """A pandas UDF over batches of texts; a batch of the wrong size is embedded one by one."""
+def hash_embeddings(texts: list[str | None]) -> list[list[float]]:
+    return [hash_embedding(x) for x in texts]
+
+
+def embedder(embed: Callable[[list[str | None]], list[list[float]]] = hash_embeddings, batch: int = 10, fallback: bool = True):
+    """A pandas UDF over batches of texts. A batch that gives another number of vectors is embedded text by text, or fails without fallback."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         out = []
         for lo in range(0, len(texts), batch):
-            part = texts.iloc[lo : lo + batch]
-            got = [embed(x) for x in part]
-            if len(got) != len(part) and fallback:
-                got = [embed(x) for x in part]
+            part = texts.iloc[lo : lo + batch].tolist()
+            got = embed(part)
+            if len(got) != len(part):
+                if not fallback:
+                    raise ValueError(f"{len(got)} vectors of {len(part)} texts")
+                got = [embed([x])[0] for x in part]
             out += got
-        return pd.Series(out)
+        return pd.Series(out, index=texts.index)
 
     return run
 
 
+def query_entities(queries: DataFrame, provider: Callable[[str | None], list[tuple[str, str]]] | None = None) -> DataFrame:
+    """queries (qid, question) to the entities a provider names: (qid, ord, type, name)."""
+    named = provider or rule_entities
+    kind = queries.schema["qid"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(q, i, t, n) for q, x in zip(batch["qid"], batch["question"]) for i, (t, n) in enumerate(named(x))]
+            yield pd.DataFrame(rows, columns=["qid", "ord", "type", "name"])
+
+    return queries.select("qid", "question").mapInPandas(run, f"qid {kind}, ord int, type string, name string")
+
+
 def rule_entities(text: str | None) -> list[tuple[str, str]]:
     """Capitalised words of six letters or more, in order, once each."""
     return [("subject", x) for x in dict.fromkeys(NAME.findall(text or ""))]

@@ -4,22 +4,25 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from skein.plans import catalogue
+from skein.plans import catalogue, catalogue_search  # noqa: F401  the second adds to the first
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["text_normalize", "text_clean_whitespace", "time_ago", "event_time_range", "value_typed_columns", "llm_json_parse", "json_flatten_children", "references_to_ids", "rerank_line_parse", "knn_topk", "threshold_then_cap", "multi_hop2", "phase_b_gated", "hopllm_expand", "native_backfill", "chunk_heading_strict", "entity_resolve", "bm25_document", "precision_recall_ndcg_mrr", "align_questions"]
+NAMES = sorted(catalogue.SQL)
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return None
+        if isinstance(x, (bool, np.bool_)):
+            return str(bool(x))
         if isinstance(x, pd.Timestamp):
             return str(x)
-        return f"{float(x):.6g}" if not isinstance(x, (bool, str)) and hasattr(x, "__float__") else str(x)
+        return f"{float(x):.6g}" if not isinstance(x, str) and hasattr(x, "__float__") else str(x)
 
     return sorted((tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].itertuples(index=False)), key=str)
 
@@ -39,4 +42,4 @@ def test_same_rows(spark, con, name):
 
 def test_strategies_run(spark):
     out = catalogue.QUERIES["strategy_multi"](spark, DATA).toPandas()
-    assert len(out) and out.groupby("qid").pos.max().max() <= 10
+    assert len(out) and out.groupby("qid").pos.max().max() <= 10 and not out.duplicated(["qid", "chunk_id"]).any()
