@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skein.llm import common, decontamination, exact_dedup, id_files, language_id, near_dup, packing, personal_data, queries, sharding, substring_dedup, toxicity
@@ -194,6 +195,143 @@ def test_language(spark):
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(80)) and {got[i].lang_pred for i in (100, 101, 102)} == {"und"}
 
 
+def test_language_of_a_text_alone(spark):
+    """A score doesn't depend on the texts beside it, nor on how rows are dealt."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["the", "house", "das", "haus", "über"]) for _ in range(rng.randrange(0, 9))), rng.choice(["en", "de"])) for i in range(60)]
+    schema = "doc_id long, text string, lang string"
+    model = language_id.fit_languages(spark.createDataFrame(rows, schema))
+    none = F.lit(False)
+    want = {r.doc_id: r.score for r in language_id.predict_languages(spark.createDataFrame(rows, schema).coalesce(1), model, none).collect()}
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    assert want == {r.doc_id: r.score for r in language_id.predict_languages(spark.createDataFrame(shuffled, schema).repartition(7), model, none).collect()}
+    for row in rows[:3]:
+        assert want[row[0]] == language_id.predict_languages(spark.createDataFrame([row], schema), model, none).first().score
+    again = language_id.fit_languages(spark.createDataFrame(shuffled, schema).repartition(5))
+    assert (again["logs"] == model["logs"]).all()
+
+
+def test_language_by_brute_force(spark):
+    """Naive Bayes over the same buckets, with plain loops."""
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 12))), rng.choice(["x", "y"])) for i in range(30)]
+    bits = 8
+
+    def grams(text):
+        points = [0, *map(ord, text.lower()), 0, 0]
+        for n in (1, 2, 3):
+            for i in range(len(text) + 1):
+                yield int(next(language_id.gram_buckets(np.array(points[i : i + n], np.uint32), (n,), bits))[0])
+
+    counts = {lang: np.zeros(1 << bits) for lang in "xy"}
+    for _, t, lang in rows:
+        for g in grams(t):
+            counts[lang][g] += 1
+    logs = {lang: np.log((c + 0.5) / (c + 0.5).sum()) for lang, c in counts.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict_languages(df, language_id.fit_languages(df, bits=bits), F.lit(False)).collect()
+    for r in got:
+        text = rows[r.doc_id][1]
+        if not any(c.isalpha() for c in text):
+            assert r.lang_pred == "und"
+            continue
+        total = {lang: sum(x[g] for g in grams(text)) for lang, x in logs.items()}
+        assert total[r.lang_pred] >= max(total.values()) - 1e-4 and abs(r.score - 1 / sum(np.exp(v - max(total.values())) for v in total.values())) < 1e-4
+
+
+def test_personal_data_of_unbroken_runs():
+    """A megabyte without a gap takes no more than seconds, and long zeros before an ip don't crash."""
+    import time
+
+    n = 10**6
+    assert personal_data.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    for text in ("1" * n, "a" * n, "@" + "a-" * (n // 2), "a-" * (n // 2), "+1" + " " * n, "a" * n + "@b.c"):
+        began = time.time()
+        base = personal_data.base_spans(text)
+        personal_data._more(text, base)
+        assert time.time() - began < 10
+    assert base == [(0, 0, n + 4)]
+
+
+def test_personal_weights_are_free_of_scale():
+    patterns = [(k, v * personal_data.SHAPES + s, 1 + (k * 7 + v + s) % 50) for k in range(5) for v in (3, 364, 700) for s in (0, 17, 200)]
+    one, _ = personal_data.train_spans(patterns)
+    many, _ = personal_data.train_spans([(k, v, 1000 * n) for k, v, n in patterns])
+    assert all(abs(one[x] - many[x]) < 1e-6 for x in one)
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named like the stages' own survive, in any case."""
+    rng = random.Random(14)
+    t = " ".join(f"w{rng.randrange(999)}" for _ in range(40))
+    schema = "doc_id long, text string, lang string, _gone long, _hash long, _sha string, key_0 long, KEY_1 long, node long, sha string"
+    docs = spark.createDataFrame([(i, x, "en", 1, 2, "s", 3, 4, 5, "h") for i, x in enumerate([t, t.upper(), t + " end", None, "", "other words"])], schema)
+    bench, labels = spark.createDataFrame([(1, "other words of which there are eight in all")], "item_id long, text string"), spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    for out, ids in ((exact_dedup.drop_exact_copies(docs), [1, 2, 4, 5]), (near_dup.drop_near_copies(docs), [0, 3, 4, 5]), (decontamination.drop_contaminated(docs, bench), list(range(6))), (toxicity.drop_toxic(docs, labels), None)):
+        assert out.schema == docs.schema
+        if ids is not None:
+            assert sorted(r.doc_id for r in out.collect()) == ids
+
+
+def test_stages_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    bench, labels = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (exact_dedup.drop_exact_copies(docs), near_dup.drop_near_copies(docs), decontamination.drop_contaminated(docs, bench), toxicity.drop_toxic(docs, labels)):
+        assert out.count() == 0 and out.columns == docs.columns
+
+
+def test_shards_by_brute_force(docs, rows):
+    """The same ranks and cuts from plain sorting."""
+    import hashlib
+    from fractions import Fraction
+
+    sources = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    order = sorted(sources, key=lambda d: hashlib.md5(f"11:{d}".encode()).hexdigest())
+    size, rank, place = {}, {}, []
+    for d in order:
+        size[sources[d]] = rank[d] = size.get(sources[d], 0) + 1
+    place = sorted(order, key=lambda d: (Fraction(2 * rank[d] - 1, 2 * size[sources[d]]), sources[d] is not None, sources[d] or "", order.index(d)))
+    n, shards = len(place), 5
+    want = {d: (i * shards // n, i - -(-(i * shards // n) * n // shards)) for i, d in enumerate(place)}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave_shards(docs, shards=shards, buckets=8).collect()} == want
+
+
+def test_network_by_brute_force():
+    """Logits by plain loops, and the step's gradient against differences."""
+    rng = np.random.default_rng(3)
+    network = toxicity.Network(dim=3, filters=2, seed=1)
+    one, two = rng.integers(0, 1 << toxicity.BITS, 12), rng.integers(0, 1 << toxicity.BITS, 12)
+    first = np.array([0, 5, 5, 7, 12])
+
+    def plain(i):
+        total, at = float(network.shift), 0
+        x = [network.tables[0][a] + network.tables[1][b] for a, b in zip(one[first[i] : first[i + 1]], two[first[i] : first[i + 1]])]
+        for w, f, bias in zip(toxicity.WIDTHS, network.filters, network.bias):
+            for k in range(f.shape[2]):
+                places = [sum(float(x[p + j] @ f[j][:, k]) for j in range(w)) + float(bias[k]) for p in range(len(x) - w + 1)]
+                total += max(0.0, max(places, default=0.0)) * float(network.out[at + k])
+            at += f.shape[2]
+        return total
+
+    got = toxicity.logits(network, network.folded(), one, two, first)
+    assert np.allclose(got, [plain(i) for i in range(4)], atol=1e-5)
+    before = network.out.copy()
+    y = np.array([1, 0, 1, 0], np.float32)
+    loss = lambda: float(np.log1p(np.exp(-np.where(y > 0, 1, -1) * np.array([plain(i) for i in range(4)]))).mean())
+    slope = []
+    for k in range(len(before)):
+        network.out = before.copy()
+        network.out[k] += 1e-2
+        up = loss()
+        network.out[k] -= 2e-2
+        slope.append((up - loss()) / 2e-2)
+    network.out = before.copy()
+    network.step(one, two, first, y, np.ones(4, np.float32), 1e-3, np.ones(12, bool))
+    moment = network.moments["out", None][0] / 0.1
+    assert np.allclose(moment, slope, atol=2e-3)
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
