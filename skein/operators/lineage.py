@@ -10,4 +10,6 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir"):
         return df.checkpoint()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return df.persist()
