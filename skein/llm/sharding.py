@@ -24,7 +24,8 @@ def interleave_shards(
     """doc_id, source, size, text_crc32, law, shard, slot, grown_shard: one row for each input row.
 
     Null sources are one more stratum; a null text has size 8 and crc32 0; a null doc_id is hashed as a value
-    of its own. Rows with equal doc_id and text are alike, so any order of theirs gives the same result.
+    of its own. Rows with equal doc_id and text are alike, so any order of theirs gives the same result. Equal texts of
+    different ids are rows like any others under this law: they may lie in different shards. A text may have any length.
     An empty table gives an empty result. Other columns are not read, whatever their names.
     """
     if shards < 1 or buckets < 1:
@@ -59,7 +60,6 @@ def interleave_shards(
     rows = rows.withColumn("_part", (2 * F.col("_rank") - 1) / (2.0 * F.col("_in_source")))
     rows = rows.withColumn("_range", F.floor(F.col("_part") * buckets).cast("int"))
     rows = placed(rows, [], "_range", ["_part", "source", *tie], "_place", "_all")
-    shard = F.floor((F.col("_place") - 1) * shards / F.col("_all")).cast("int")
     # exact integers: the first place of shard s is ceil(s * n / shards)
     shard = F.expr(f"cast(((_place - 1) * {shards}) div _all as int)")
     return rows.withColumn("shard", shard).select(
