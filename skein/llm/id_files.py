@@ -1,13 +1,14 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 Each id is predicted by three orders: the id that last followed the two ids before it, the one that last followed the
-id before it, and an order-0 distribution over bit lengths (then uniform bits). Adaptive counts, chosen by how often
-the two predicted ids were right of late and whether they agree, mix the three into the interval that a range coder
-narrows. All models start anew in each block, so blocks of a file are coded side by side, one numpy lane a block.
-
-A file: magic, u32 documents, u32 blocks, u32 ids in a block, u64 ids; i64 doc_ids; u32 ids of each document; for each
-block u32 crc32 of its ids (little-endian u32) and u32 bytes; then the blocks' bytes. A document lies in one file.
-Files are rows of a Parquet table (file, n_tokens, content), so Spark commits them on any store it can write.
+id before it, and an order-0 distribution over ranges of ids (two to each power of two, then uniform bits). Adaptive
+shares, chosen by how often the two predicted ids were right of late and whether they agree, mix the three into the
+interval that a range coder narrows. All models start anew in each block, so blocks of a file are coded side by side,
+one numpy lane a block. Shares are of powers of two and move by shifts, so a step takes few passes over the lanes.
+
+A file: magic, u32 documents, u32 blocks, u32 ids in a block, u32 largest id, u64 ids; i64 doc_ids; u32 ids of each
+document; for each block u32 crc32 of its ids (little-endian u32) and u32 bytes; then the blocks' bytes. A document
+lies in one file. Files are rows of a Parquet table (file, n_tokens, content), so Spark commits them on any store.
 """
 
 from __future__ import annotations
@@ -25,139 +26,170 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, configure, partitions_for, text_blocks
 from .tokens import with_end, word_encoder
 
-MAGIC = b"IDF1"
-BLOCK = 4096
-FILE_IDS = 8_000_000
-SLOTS = 12  # bits of a block's prediction tables
-CLASSES = 19  # bit lengths of ids below 2^18
-TOP, LOW = U64(1 << 48), U64(1 << 40)
-HEAD = struct.Struct("<4sIIIQ")
+MAGIC = b"IDF2"
+BLOCK = 2048
+FILE_IDS = 12_000_000
+MOST = 1 << 18  # ids are below this
+SLOTS = 11  # bits of a block's prediction tables
+MIX, ZERO = 12, 12  # bits of the mixing shares and of the order-0 shares
+RATE = 5  # shares move by 1 / 2^RATE of the way
+SPAN, LEAST = 56, U64(1 << 40)  # bits of a range, and the size below which it grows by 16 bits
+HEAD = struct.Struct("<4sIIIIQ")
+HIT = 1 << 20  # in a table's entry, above the id it predicts: how often it was right, 3 at most
+#: Where the two bounds between order 2, order 1 and order 0 move after each outcome; every share stays above 0.
+GOAL1 = np.array([4032, 32, 32], np.int32)
+GOAL2 = np.array([4064, 4064, 64], np.int32)
+
+
+def ranges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order-0 range of each id, the id's place in it, and the bits of that place."""
+    value = ids.astype(np.int64) + 2
+    bits = np.frexp(value.astype(np.float64))[1].astype(np.int64) - 2
+    return bits * 2 + (value >> bits & 1), value & (1 << bits) - 1, bits
 
 
 class Lanes:
-    """Models and coder state of blocks that are coded side by side; lanes are sorted by length, longest first."""
+    """Models and ranges of blocks that are coded side by side."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, largest: int):
         self.base = np.arange(lanes, dtype=np.int64)
-        self.second = np.zeros(lanes << SLOTS, np.int32)  # predicted id, and above bit 20 how often it was right
-        self.first = np.zeros(lanes << SLOTS, np.int32)
-        self.mixed = np.full((lanes * 32, 3), 16, np.int32)
-        self.mixed[:, 2] = 48
-        self.length = np.full((lanes, CLASSES), 8, np.int32)
-        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
+        self.slots, self.contexts = self.base << SLOTS, self.base << 5
+        self.second, self.first = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)
+        self.mixed = np.full(lanes << 5, 1024 | 2048 << 16, np.int32)  # both bounds
+        self.kinds = int(ranges(np.array([largest]))[0][0]) + 1
+        kind = np.arange(self.kinds + 1, dtype=np.int16)[:, None]
+        self.inner, self.floor = kind[1:-1], kind[1:-1].copy()
+        self.room = np.int16((1 << ZERO) - self.kinds)
+        self.bounds = np.repeat(((kind.astype(np.int64) << ZERO) // self.kinds).astype(np.int16), lanes, axis=1)
+        self.range = np.full(lanes, (1 << SPAN) - 1, U64)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the ids before
 
     def predict(self, n: int) -> None:
-        base = self.base[:n] << SLOTS
-        self.at1 = base + (self.one[:n] * 40503 >> 4 & (1 << SLOTS) - 1)
-        self.at2 = base + ((self.one[:n] * 40503 + self.two[:n] * 51749 >> 3) & (1 << SLOTS) - 1)
-        self.seen1, self.seen2 = self.first[self.at1], self.second[self.at2]
-        self.id1, self.id2 = self.seen1 & 0xFFFFF, self.seen2 & 0xFFFFF
-        context = ((self.seen2 >> 20) * 4 + (self.seen1 >> 20)) * 2 + (self.id1 == self.id2)
-        self.context = self.base[:n] * 32 + context
-        self.odds = self.mixed[self.context]
-
-    def narrow(self, lanes, total, below, share) -> None:
-        step = self.range[lanes] // total.astype(U64)
-        self.low[lanes] += step * below.astype(U64)
-        self.range[lanes] = step * share.astype(U64)
-
-    def bits(self, lanes, width, value) -> None:
-        step = self.range[lanes] >> width
-        self.low[lanes] += step * value
-        self.range[lanes] = step
-
-    def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray, escaped: np.ndarray, size: np.ndarray) -> None:
-        self.odds[self.base[:n], outcome] += 24
-        full = np.flatnonzero(self.odds.sum(axis=1) > 2000)
-        if len(full):
-            self.odds[full] = (self.odds[full] + 1) >> 1
-        self.mixed[self.context] = self.odds
+        one = self.one[:n] * 40503
+        two = self.two[:n] * 51749
+        two += one
+        one >>= 4
+        one &= (1 << SLOTS) - 1
+        one += self.slots[:n]
+        two >>= 3
+        two &= (1 << SLOTS) - 1
+        two += self.slots[:n]
+        self.at1, self.at2 = one, two
+        self.seen1, self.seen2 = self.first.take(one), self.second.take(two)
+        self.id1, self.id2 = self.seen1 & HIT - 1, self.seen2 & HIT - 1
+        context = self.seen2 >> 20
+        context <<= 2
+        context += self.seen1 >> 20
+        context <<= 1
+        context += self.id1 == self.id2
+        self.context = self.contexts[:n] + context
+        odds = self.mixed.take(self.context)
+        self.bound1, self.bound2 = odds & 0xFFFF, odds >> 16
+
+    def interval(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the outcome's share of the mixture begins and ends."""
+        second, zero = outcome == 0, outcome == 2
+        begin = np.where(zero, self.bound2, np.where(second, np.int32(0), self.bound1))
+        return begin, np.where(second, self.bound1, np.where(zero, np.int32(1 << MIX), self.bound2))
+
+    def share(self, escaped: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        width = self.bounds.shape[1]
+        flat, at = self.bounds.ravel(), kind * width + escaped
+        below = flat.take(at)
+        return below.astype(U64), (flat.take(at + width) - below).astype(U64)
+
+    def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray, escaped: np.ndarray, kind: np.ndarray) -> None:
+        """ids: int32. Every bound moves towards its goal for this outcome and can't meet its neighbours."""
+        bound1 = self.bound1 + (GOAL1.take(outcome) - self.bound1 >> RATE)
+        bound2 = self.bound2 + (GOAL2.take(outcome) - self.bound2 >> RATE)
+        bound2 <<= 16
+        bound2 |= bound1
+        self.mixed[self.context] = bound2
         if len(escaped):
-            self.length[escaped, size] += 16
-            over = escaped[self.length[escaped].sum(axis=1) > 2000]
-            if len(over):
-                self.length[over] = (self.length[over] + 1) >> 1
-        ids32 = ids.astype(np.int32)
-        right = self.id2 == ids32
-        self.second[self.at2] = ids32 | (np.where(right, np.minimum((self.seen2 >> 20) + 1, 3), 1) << 20)
-        right = self.id1 == ids32
-        self.first[self.at1] = ids32 | (np.where(right, np.minimum((self.seen1 >> 20) + 1, 3), 1) << 20)
+            kinds = np.zeros(n, np.int16)
+            kinds[escaped] = kind
+            wanted = np.zeros(n, np.int16)
+            wanted[escaped] = -1
+            inner = self.bounds[1:-1, :n]
+            move = (self.inner > kinds) * self.room
+            move += self.floor
+            move -= inner
+            move >>= RATE
+            move &= wanted
+            inner += move
+        once, most = ids | HIT, ids | 3 * HIT
+        self.second[self.at2] = np.where(self.id2 == ids, np.minimum(self.seen2 + HIT, most), once)
+        self.first[self.at1] = np.where(self.id1 == ids, np.minimum(self.seen1 + HIT, most), once)
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
-    def ready(self, n: int) -> Iterator[np.ndarray]:
-        """Lanes whose top 16 bits are settled, or whose range got too small; they move on by 16 bits each time."""
-        low, span = self.low[:n], self.range[:n]
-        settled = (low ^ (low + span)) < TOP
-        lanes = np.flatnonzero(settled | (span < LOW))
-        while len(lanes):
-            low, span = self.low[lanes], self.range[lanes]
-            settled = (low ^ (low + span)) < TOP
-            small = ~settled & (span < LOW)
-            more = settled | small
-            if not more.all():
-                lanes, low, span, small = lanes[more], low[more], span[more], small[more]
-            if not len(lanes):
-                return
-            span = np.where(small, (U64(0) - low) & (LOW - U64(1)), span)
-            yield lanes
-            self.low[lanes], self.range[lanes] = low << U64(16), span << U64(16)
-
-
-_SIZE = np.zeros(1 << 18, np.int64)
-for _bit in range(18):
-    _SIZE[1 << _bit : 1 << (_bit + 1)] = _bit + 1
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Codes ids (below 2^18) in blocks; each block stands alone."""
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = MOST - 1) -> list[bytes]:
+    """Codes ids (below 2^18) in blocks; each block stands alone. largest: no id is above it; its reader must know it."""
     if not len(ids):
         return []
-    if ids.max() >= 1 << 18:
-        raise ValueError("ids must be below 2^18")
+    if ids.max() > min(largest, MOST - 1):
+        raise ValueError("ids must be below 2^18 and not above the largest one")
     count = -(-len(ids) // block)
-    grid = np.zeros((count, block), np.int64)
+    grid = np.zeros((count, block), np.int32)
     grid.ravel()[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.T)
     last = len(ids) - (count - 1) * block
-    lanes = Lanes(count)
-    out, pos = np.zeros((count, block + 64), np.uint16), np.zeros(count, np.int64)
-    with np.errstate(over="ignore"):
-        for t in range(block if count > 1 else last):
-            n = count if t < last else count - 1
-            x = grid[t, :n]
-            lanes.predict(n)
-            odds = lanes.odds
-            outcome = np.where(lanes.id2 == x, 0, np.where(lanes.id1 == x, 1, 2))
-            one = odds[:, 0]
-            two = one + odds[:, 1]
-            lanes.narrow(slice(0, n), two + odds[:, 2], np.where(outcome == 0, 0, np.where(outcome == 1, one, two)), odds[lanes.base[:n], outcome])
-            escaped = np.flatnonzero(outcome == 2)
-            size = _SIZE[x[escaped]]
-            if len(escaped):
-                shares = lanes.length[escaped]
-                below = shares.cumsum(axis=1)
-                at = np.arange(len(escaped))
-                share = shares[at, size]
-                lanes.narrow(escaped, below[:, -1], below[at, size] - share, share)
-                width = np.maximum(size - 1, 0)
-                lanes.bits(escaped, width.astype(U64), np.where(size > 0, x[escaped] - (1 << width), 0).astype(U64))
-            lanes.learn(n, x, outcome, escaped, size)
-            for ready in lanes.ready(n):
-                if pos.max() >= out.shape[1] - 8:
-                    out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                out[ready, pos[ready]] = lanes.low[ready] >> U64(48)
-                pos[ready] += 1
-    codes = []
-    for i in range(count):
-        tail = int(lanes.low[i]).to_bytes(8, "big")
-        codes.append(out[i, : pos[i]].astype(">u2").tobytes() + tail)
-    return codes
-
-
-def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of all blocks of a file; total: how many."""
+    lanes = Lanes(count, largest)
+    low, pos = np.zeros(count, U64), np.zeros(count, np.int64)
+    width = block + 64
+    out = np.zeros((count, width), np.uint32)  # 16-bit words and, above, what they carry into the word before
+    keep, sixteen = U64((1 << SPAN - 16) - 1), U64(16)
+    kind_of, place_of, bits_of = ranges(np.arange(largest + 1))
+    for t in range(block if count > 1 else last):
+        n = count if t < last else count - 1
+        x = grid[t, :n]
+        lanes.predict(n)
+        outcome = np.where(lanes.id2 == x, 0, np.where(lanes.id1 == x, 1, 2))
+        begin, end = lanes.interval(outcome)
+        span, base = lanes.range[:n], low[:n]
+        span >>= U64(MIX)
+        base += span * begin.astype(U64)
+        span *= (end - begin).astype(U64)
+        escaped = np.flatnonzero(outcome == 2)
+        kind = kind_of[:0]
+        if len(escaped):
+            y = x[escaped]
+            kind = kind_of.take(y)
+            below, share = lanes.share(escaped, kind)
+            step = span.take(escaped) >> U64(ZERO)
+            more = step * below
+            step *= share
+            step >>= bits_of.take(y).astype(U64)
+            more += step * place_of.take(y).astype(U64)
+            base[escaped] += more
+            span[escaped] = step
+        lanes.learn(n, x, outcome, escaped, kind)
+        ready = np.flatnonzero(span < LEAST)
+        if t % 16 == 0 and pos.max() >= width - 64:
+            out, width = np.concatenate([out, np.zeros((count, block), np.uint32)], axis=1), width + block
+        while len(ready):
+            top, at = base.take(ready), pos.take(ready)
+            out.ravel()[ready * width + at] = top >> U64(SPAN - 16)
+            pos[ready] = at + 1
+            top &= keep
+            base[ready] = top << sixteen
+            grown = span.take(ready) << sixteen
+            span[ready] = grown
+            ready = ready[grown < LEAST]
+    out = np.concatenate([out, np.zeros((count, 4), np.uint32)], axis=1)
+    for j in range(4):  # the rest of low; its last word has 8 bits
+        out[np.arange(count), pos + j] = low >> U64(SPAN - 16)
+        low = (low & keep) << sixteen
+    words = np.ascontiguousarray(out[:, : int(pos.max()) + 4].T)
+    for j in range(len(words) - 1, 0, -1):
+        words[j - 1] += words[j] >> 16
+    words = np.ascontiguousarray(words.T.astype(">u2"))
+    return [words[i, : pos[i] + 4].tobytes() for i in range(count)]
+
+
+def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK, largest: int = MOST - 1) -> np.ndarray:
+    """The ids of all blocks of a file; total: how many; largest: as they were encoded."""
     count = len(codes)
     if not count:
         return np.zeros(0, np.uint32)
@@ -166,60 +198,72 @@ def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK) -> np.ndar
     words = np.zeros((count, width), np.uint16)
     for i, c in enumerate(codes):
         words[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-    code, pos = np.zeros(count, U64), np.full(count, 4, np.int64)
+    words = words.ravel()
+    begin = np.arange(count, dtype=np.int64) * width
+    end = begin + width - 1
+    code, sixteen = np.zeros(count, U64), U64(16)
     for j in range(4):
-        code = code << U64(16) | words[:, j]
-    grid = np.zeros((block, count), np.uint32)
-    lanes = Lanes(count)
-    with np.errstate(over="ignore"):
-        for t in range(block if count > 1 else last):
-            n = count if t < last else count - 1
-            lanes.predict(n)
-            odds = lanes.odds
-            one = odds[:, 0]
-            two = one + odds[:, 1]
-            sum_ = two + odds[:, 2]
-            step = lanes.range[:n] // sum_.astype(U64)
-            value = np.minimum((code[:n] - lanes.low[:n]) // step, (sum_ - 1).astype(U64)).astype(np.int64)
-            outcome = (value >= one).astype(np.int64) + (value >= two)
-            lanes.narrow(slice(0, n), sum_, np.where(outcome == 0, 0, np.where(outcome == 1, one, two)), odds[lanes.base[:n], outcome])
-            x = np.where(outcome == 0, lanes.id2, lanes.id1).astype(np.int64)
-            escaped = np.flatnonzero(outcome == 2)
-            size = np.zeros(0, np.int64)
-            if len(escaped):
-                shares = lanes.length[escaped]
-                below = shares.cumsum(axis=1)
-                sum_ = below[:, -1]
-                step = lanes.range[escaped] // sum_.astype(U64)
-                value = np.minimum((code[escaped] - lanes.low[escaped]) // step, (sum_ - 1).astype(U64)).astype(np.int64)
-                size = (below <= value[:, None]).sum(axis=1)
-                at = np.arange(len(escaped))
-                share = shares[at, size]
-                lanes.narrow(escaped, sum_, below[at, size] - share, share)
-                bits = np.maximum(size - 1, 0)
-                step = lanes.range[escaped] >> bits.astype(U64)
-                rest = np.minimum((code[escaped] - lanes.low[escaped]) // step, ((1 << bits) - 1).astype(U64))
-                lanes.bits(escaped, bits.astype(U64), rest)
-                x[escaped] = np.where(size > 0, (1 << bits) + rest.astype(np.int64), 0)
-            lanes.learn(n, x, outcome, escaped, size)
-            grid[t, :n] = x
-            for ready in lanes.ready(n):
-                code[ready] = code[ready] << U64(16) | words[ready, np.minimum(pos[ready], width - 1)]
-                pos[ready] += 1
-    return grid.T.ravel()[:total]
+        code = code << sixteen | words[begin + j]
+    code >>= U64(64 - SPAN)
+    # the range has 56 bits: the code's last 8 bits so far stay for the first word to come
+    pos, late = begin + 3, U64(64 - SPAN)
+    grid = np.zeros((block, count), np.int32)
+    lanes = Lanes(count, largest)
+    for t in range(block if count > 1 else last):
+        n = count if t < last else count - 1
+        lanes.predict(n)
+        span, rest = lanes.range[:n], code[:n]
+        span >>= U64(MIX)
+        value = np.minimum(rest // span, U64((1 << MIX) - 1)).astype(np.int32)
+        outcome = (value >= lanes.bound1).astype(np.int64)
+        outcome += value >= lanes.bound2
+        low, high = lanes.interval(outcome)
+        rest -= span * low.astype(U64)
+        span *= (high - low).astype(U64)
+        x = np.where(outcome == 0, lanes.id2, lanes.id1)
+        escaped = np.flatnonzero(outcome == 2)
+        kind = escaped
+        if len(escaped):
+            step, left = span.take(escaped), rest.take(escaped)
+            step >>= U64(ZERO)
+            value = np.zeros(n, np.int16)
+            value[escaped] = np.minimum(left // step, U64((1 << ZERO) - 1))
+            kind = np.add.reduce((lanes.bounds[1:-1, :n] <= value).view(np.int8), axis=0, dtype=np.int8).take(escaped).astype(np.int64)
+            below, share = lanes.share(escaped, kind)
+            left -= step * below
+            step *= share
+            bits = kind >> 1
+            step >>= bits.astype(U64)
+            place = np.minimum((left // step).astype(np.int64), (1 << bits) - 1)
+            left -= step * place.astype(U64)
+            rest[escaped], span[escaped] = left, step
+            x[escaped] = (2 + (kind & 1) << bits) + place - 2
+        lanes.learn(n, x, outcome, escaped, kind)
+        grid[t, :n] = x
+        ready = np.flatnonzero(span < LEAST)
+        while len(ready):
+            at = pos.take(ready)
+            pair = words.take(np.minimum(at, end.take(ready))).astype(U64) << sixteen | words.take(np.minimum(at + 1, end.take(ready)))
+            code[ready] = code.take(ready) << sixteen | (pair >> late & U64(0xFFFF))
+            pos[ready] = at + 1
+            grown = span.take(ready) << sixteen
+            span[ready] = grown
+            ready = ready[grown < LEAST]
+    return grid.T.ravel()[:total].astype(np.uint32)
 
 
 def write_file(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    codes = encode_blocks(ids, block)
+    largest = int(ids.max()) if len(ids) else 0
+    codes = encode_blocks(ids, block, largest)
     raw = memoryview(ids.astype("<u4").tobytes())
     crc = [zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) for i in range(len(codes))]
     index = np.array([crc, [len(c) for c in codes]], "<u4").T.tobytes()
-    return HEAD.pack(MAGIC, len(sizes), len(codes), block, len(ids)) + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + index + b"".join(codes)
+    return HEAD.pack(MAGIC, len(sizes), len(codes), block, largest, len(ids)) + doc_ids.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + index + b"".join(codes)
 
 
 def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, ids of each document, all ids. A block whose checksum differs raises ValueError."""
-    magic, docs, blocks, block, total = HEAD.unpack_from(content)
+    magic, docs, blocks, block, largest, total = HEAD.unpack_from(content)
     if magic != MAGIC:
         raise ValueError("not a token-id file")
     at = HEAD.size
@@ -227,7 +271,7 @@ def read_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(content, "<u4", docs, at + 8 * docs).astype(np.int64)
     index = np.frombuffer(content, "<u4", 2 * blocks, at + 12 * docs).reshape(-1, 2)
     ends = at + 12 * docs + 8 * blocks + np.concatenate([[0], np.cumsum(index[:, 1], dtype=np.int64)])
-    ids = decode_blocks([content[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], total, block)
+    ids = decode_blocks([content[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], total, block, largest)
     raw = memoryview(ids.astype("<u4").tobytes())
     for i, crc in enumerate(index[:, 0].tolist()):
         if zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) != crc:
