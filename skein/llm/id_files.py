@@ -1,7 +1,8 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
 Each id is predicted by three orders: the id that last followed the two ids before it, the one that last followed the
-id before it, and an order-0 distribution over ranges of ids (two to each power of two, then uniform bits). Adaptive
+id before it, and an order-0 distribution over ranges of ids (two to each power of two, then uniform bits) that follows
+the ranges' counts in the block. Adaptive
 shares, chosen by how often the two predicted ids were right of late and whether they agree, mix the three into the
 interval that a range coder narrows. All models start anew in each block, so blocks of a file are coded side by side,
 one numpy lane a block. Shares are of powers of two and move by shifts, so a step takes few passes over the lanes.
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, configure, partitions_for, text_blocks
 from .tokens import with_end, word_encoder
 
-MAGIC = b"IDF2"
+MAGIC = b"IDF3"
 BLOCK = 2048
 FILE_IDS = 12_000_000
 MOST = 1 << 18  # ids are below this
 SLOTS = 11  # bits of a block's prediction tables
 MIX, ZERO = 12, 12  # bits of the mixing shares and of the order-0 shares
-RATE = 5  # shares move by 1 / 2^RATE of the way
+RATE = 5  # mixing shares move by 1 / 2^RATE of the way
+GAIN, RECOUNT = 8, 16  # what an id adds to its range's count of 1, and after how many ids the order-0 shares follow the counts
 SPAN, LEAST = 56, U64(1 << 40)  # bits of a range, and the size below which it grows by 16 bits
 HEAD = struct.Struct("<4sIIIIQ")
 HIT = 1 << 20  # in a table's entry, above the id it predicts: how often it was right, 3 at most
@@ -48,19 +50,27 @@ def ranges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bits * 2 + (value >> bits & 1), value & (1 << bits) - 1, bits
 
 
+def blank(size: int, dtype: type) -> np.ndarray:
+    """Zeros in memory that numpy asks huge pages for, which np.zeros doesn't: steps touch it at one place for each lane."""
+    made = np.empty(size, dtype)
+    made.fill(0)
+    return made
+
+
 class Lanes:
     """Models and ranges of blocks that are coded side by side."""
 
     def __init__(self, lanes: int, largest: int):
         self.base = np.arange(lanes, dtype=np.int64)
         self.slots, self.contexts = self.base << SLOTS, self.base << 5
-        self.second, self.first = np.zeros(lanes << SLOTS, np.int32), np.zeros(lanes << SLOTS, np.int32)
+        self.second, self.first = blank(lanes << SLOTS, np.int32), blank(lanes << SLOTS, np.int32)
         self.mixed = np.full(lanes << 5, 1024 | 2048 << 16, np.int32)  # both bounds
         self.kinds = int(ranges(np.array([largest]))[0][0]) + 1
         kind = np.arange(self.kinds + 1, dtype=np.int16)[:, None]
-        self.inner, self.floor = kind[1:-1], kind[1:-1].copy()
-        self.room = np.int16((1 << ZERO) - self.kinds)
+        self.floor, self.room = kind[1:], np.float32((1 << ZERO) - self.kinds)
+        self.counts = np.ones((self.kinds, lanes), np.int32)
         self.bounds = np.repeat(((kind.astype(np.int64) << ZERO) // self.kinds).astype(np.int16), lanes, axis=1)
+        self.steps = 0
         self.range = np.full(lanes, (1 << SPAN) - 1, U64)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the ids before
 
@@ -88,35 +98,40 @@ class Lanes:
 
     def interval(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the outcome's share of the mixture begins and ends."""
-        second, zero = outcome == 0, outcome == 2
-        begin = np.where(zero, self.bound2, np.where(second, np.int32(0), self.bound1))
-        return begin, np.where(second, self.bound1, np.where(zero, np.int32(1 << MIX), self.bound2))
+        n = len(outcome)
+        edges = np.zeros((4, n), np.int32)
+        edges[1], edges[2], edges[3] = self.bound1, self.bound2, 1 << MIX
+        at = outcome * n
+        at += self.base[:n]
+        begin = edges.take(at)
+        at += n
+        return begin, edges.take(at)
 
     def share(self, escaped: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width = self.bounds.shape[1]
         flat, at = self.bounds.ravel(), kind * width + escaped
+        self.counts.ravel()[at] += GAIN
         below = flat.take(at)
         return below.astype(U64), (flat.take(at + width) - below).astype(U64)
 
-    def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray, escaped: np.ndarray, kind: np.ndarray) -> None:
+    def recount(self) -> None:
+        """New order-0 bounds by the counts so far: each range has one part of 2^ZERO and its proportion of the others."""
+        below = self.counts.astype(np.float32)  # whole numbers below 2^24: exact
+        for kind in range(1, self.kinds):
+            below[kind] += below[kind - 1]
+        below *= self.room / below[-1]
+        np.add(below[:-1].astype(np.int16), self.floor[:-1], out=self.bounds[1:-1])
+
+    def learn(self, n: int, ids: np.ndarray, outcome: np.ndarray) -> None:
         """ids: int32. Every bound moves towards its goal for this outcome and can't meet its neighbours."""
         bound1 = self.bound1 + (GOAL1.take(outcome) - self.bound1 >> RATE)
         bound2 = self.bound2 + (GOAL2.take(outcome) - self.bound2 >> RATE)
         bound2 <<= 16
         bound2 |= bound1
         self.mixed[self.context] = bound2
-        if len(escaped):
-            kinds = np.zeros(n, np.int16)
-            kinds[escaped] = kind
-            wanted = np.zeros(n, np.int16)
-            wanted[escaped] = -1
-            inner = self.bounds[1:-1, :n]
-            move = (self.inner > kinds) * self.room
-            move += self.floor
-            move -= inner
-            move >>= RATE
-            move &= wanted
-            inner += move
+        self.steps += 1
+        if self.steps % RECOUNT == 0 or self.steps & self.steps - 1 == 0:
+            self.recount()
         once, most = ids | HIT, ids | 3 * HIT
         self.second[self.at2] = np.where(self.id2 == ids, np.minimum(self.seen2 + HIT, most), once)
         self.first[self.at1] = np.where(self.id1 == ids, np.minimum(self.seen1 + HIT, most), once)
@@ -138,9 +153,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = MOST - 1)
     lanes = Lanes(count, largest)
     low, pos = np.zeros(count, U64), np.zeros(count, np.int64)
     width = block + 64
-    out = np.zeros((count, width), np.uint32)  # 16-bit words and, above, what they carry into the word before
+    out = blank(count * width, np.uint32).reshape(count, width)  # 16-bit words and, above, what they carry into the word before
     keep, sixteen = U64((1 << SPAN - 16) - 1), U64(16)
-    kind_of, place_of, bits_of = ranges(np.arange(largest + 1))
+    kind_of, place_of, _ = ranges(np.arange(largest + 1))
+    parts = place_of << 8 | kind_of
     for t in range(block if count > 1 else last):
         n = count if t < last else count - 1
         x = grid[t, :n]
@@ -152,19 +168,19 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = MOST - 1)
         base += span * begin.astype(U64)
         span *= (end - begin).astype(U64)
         escaped = np.flatnonzero(outcome == 2)
-        kind = kind_of[:0]
         if len(escaped):
-            y = x[escaped]
-            kind = kind_of.take(y)
+            place = parts.take(x[escaped])
+            kind = place & 255
+            place >>= 8
             below, share = lanes.share(escaped, kind)
             step = span.take(escaped) >> U64(ZERO)
             more = step * below
             step *= share
-            step >>= bits_of.take(y).astype(U64)
-            more += step * place_of.take(y).astype(U64)
+            step >>= (kind >> 1).astype(U64)
+            more += step * place.astype(U64)
             base[escaped] += more
             span[escaped] = step
-        lanes.learn(n, x, outcome, escaped, kind)
+        lanes.learn(n, x, outcome)
         ready = np.flatnonzero(span < LEAST)
         if t % 16 == 0 and pos.max() >= width - 64:
             out, width = np.concatenate([out, np.zeros((count, block), np.uint32)], axis=1), width + block
@@ -177,11 +193,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, largest: int = MOST - 1)
             grown = span.take(ready) << sixteen
             span[ready] = grown
             ready = ready[grown < LEAST]
-    out = np.concatenate([out, np.zeros((count, 4), np.uint32)], axis=1)
+    words = np.concatenate([out[:, : int(pos.max())].T, np.zeros((4, count), np.uint32)])
     for j in range(4):  # the rest of low; its last word has 8 bits
-        out[np.arange(count), pos + j] = low >> U64(SPAN - 16)
+        words[pos + j, np.arange(count)] = low >> U64(SPAN - 16)
         low = (low & keep) << sixteen
-    words = np.ascontiguousarray(out[:, : int(pos.max()) + 4].T)
     for j in range(len(words) - 1, 0, -1):
         words[j - 1] += words[j] >> 16
     words = np.ascontiguousarray(words.T.astype(">u2"))
@@ -195,10 +210,9 @@ def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK, largest: i
         return np.zeros(0, np.uint32)
     last = total - (count - 1) * block
     width = max(map(len, codes)) // 2 + 8
-    words = np.zeros((count, width), np.uint16)
+    words = blank(count * width, np.uint16)
     for i, c in enumerate(codes):
-        words[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-    words = words.ravel()
+        words[i * width : i * width + len(c) // 2] = np.frombuffer(c, ">u2")
     begin = np.arange(count, dtype=np.int64) * width
     end = begin + width - 1
     code, sixteen = np.zeros(count, U64), U64(16)
@@ -222,7 +236,6 @@ def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK, largest: i
         span *= (high - low).astype(U64)
         x = np.where(outcome == 0, lanes.id2, lanes.id1)
         escaped = np.flatnonzero(outcome == 2)
-        kind = escaped
         if len(escaped):
             step, left = span.take(escaped), rest.take(escaped)
             step >>= U64(ZERO)
@@ -238,7 +251,7 @@ def decode_blocks(codes: list[bytes], total: int, block: int = BLOCK, largest: i
             left -= step * place.astype(U64)
             rest[escaped], span[escaped] = left, step
             x[escaped] = (2 + (kind & 1) << bits) + place - 2
-        lanes.learn(n, x, outcome, escaped, kind)
+        lanes.learn(n, x, outcome)
         grid[t, :n] = x
         ready = np.flatnonzero(span < LEAST)
         while len(ready):

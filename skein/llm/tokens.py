@@ -89,6 +89,45 @@ class Units(Words):
         return (word >= 0) & (place < self.end[np.maximum(word, 0)]) if len(self.start) else np.zeros(len(place), bool)
 
 
+class Memo:
+    """Numbers of 64-bit hashes in order of arrival: open addressing in arrays, so a block's units are looked up together."""
+
+    def __init__(self):
+        self.hashes, self.numbers, self.count = np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int32), 0
+
+    def _home(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(20) & np.uint64(len(self.hashes) - 1)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for an unknown one."""
+        at, found = self._home(hashes), np.full(len(hashes), -1, np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            number = self.numbers.take(at)
+            same = self.hashes.take(at) == hashes[left]
+            found[left] = np.where(same, number, -1)
+            on = ~same & (number >= 0)
+            left, at = left[on], at[on] + 1 & len(self.hashes) - 1
+        return found
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Numbers new, distinct hashes."""
+        if 3 * (self.count + len(hashes)) > len(self.hashes):
+            used = self.numbers >= 0
+            held = self.hashes[used][np.argsort(self.numbers[used])]
+            size = 1 << int(4 * (self.count + len(hashes))).bit_length()
+            self.hashes, self.numbers, self.count = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 0
+            self.add(held)
+        at, left = self._home(hashes), np.arange(len(hashes))
+        while len(left):
+            free = self.numbers.take(at) < 0
+            self.numbers[at[free]] = left[free] + self.count  # of several that want a place one gets it
+            won = free & (self.numbers.take(at) == left + self.count)
+            self.hashes[at[won]] = hashes[left[won]]
+            left, at = left[~won], at[~won] + 1 & len(self.hashes) - 1
+        self.count += len(hashes)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,10 +145,10 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.memo = Memo()
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, hashes: list[int], units: list[bytes], odd: list[bool]) -> None:
+    def learn(self, hashes: np.ndarray, units: list[bytes], odd: list[bool]) -> None:
         tokenize, letters = self.model.tokenize, self.letters
         ids: list = [None] * len(units)
         for i, (unit, whole) in enumerate(zip(units, odd)):
@@ -121,7 +160,7 @@ class WordEncoder:
             for i, x in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False)):
                 ids[i] = x.ids
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.slot.update(zip(hashes, range(len(self.size), len(self.size) + len(ids))))
+        self.memo.add(hashes)
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))])
@@ -130,18 +169,17 @@ class WordEncoder:
         """The ids of all rows of a block, and the number of ids of each row."""
         units = Units(data, at, self.split)
         codes, distinct = pd.factorize(units.hash)
-        keys = distinct.tolist()
-        if len(self.slot) + len(keys) > MEMO_WORDS:
+        if self.memo.count + len(distinct) > MEMO_WORDS:
             self.forget()
-        slots = np.fromiter(map(self.slot.get, keys, [-1] * len(keys)), np.int64, len(keys))
+        slots = self.memo.find(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            where = np.zeros(len(keys), np.int64)
+            where = np.zeros(len(distinct), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             base = len(self.size)
             raw = units.data.tobytes()
             spans = zip(units.start[where[new]].tolist(), units.end[where[new]].tolist())
-            self.learn(distinct[new].tolist(), [raw[a:b] for a, b in spans], units.odd[where[new]].tolist())
+            self.learn(distinct[new], [raw[a:b] for a, b in spans], units.odd[where[new]].tolist())
             slots[new] = np.arange(base, base + len(new))
         slots = slots[codes]
         size = self.size[slots]

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from skein.llm import common, decontamination, exact_dedup, id_files, language_id, near_dup, packing, personal_data, queries, sharding, substring_dedup, toxicity
 from skein.llm.common import text_blocks
 from skein.llm.queries import tokenizer_file
-from skein.llm.tokens import word_encoder
+from skein.llm.tokens import Memo, word_encoder
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, node long, row string, sha string, body string, start int, n int"
@@ -503,3 +503,22 @@ def test_toxicity_sample(spark):
         assert sorted(i for i, y in got if y == label) == sorted(want)
     few = toxicity.sample_ids(docs, labels, "doc_id", "text", "toxic", 30, most_bytes=40)
     assert 0 < len(few) < len(got) and set(few) <= set(got)
+
+
+def test_memo_numbers_hashes_in_order():
+    rng = np.random.default_rng(3)
+    hashes = np.unique(np.concatenate([rng.integers(0, 1 << 63, 30_000, np.uint64), np.arange(50, dtype=np.uint64)]))  # the small ones share a home
+    rng.shuffle(hashes)
+    memo = Memo()
+    for part in np.array_split(hashes[:20_000], 7):
+        assert (memo.find(part) == -1).all()
+        memo.add(part)
+    assert (memo.find(hashes) == np.where(np.arange(len(hashes)) < 20_000, np.arange(len(hashes)), -1)).all()
+    assert len(memo.find(hashes[:0])) == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 2048, 9000])
+def test_coder_round_trips_in_blocks_of_any_size(block):
+    rng = np.random.default_rng(block)
+    ids = np.concatenate([np.full(9500, 49_000), rng.integers(0, 1 << 18, 500), rng.zipf(1.3, 9000) % 49_152, [0, (1 << 18) - 1]]).astype(np.int64)
+    assert (id_files.decode_blocks(id_files.encode_blocks(ids, block), len(ids), block) == ids).all()
