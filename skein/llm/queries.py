@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import encode_bytes, token_digests
+from .conversation_repair import conversation_digests, repair_conversations
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_groups
 from .id_files import token_round_trip
@@ -68,8 +71,30 @@ def op6_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(_docs(spark, sf_dir), tokenizer_file())
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults that crc32(conv_id:turn) % 20 picks, and how many copies of each row there are (0: dropped)."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    return rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(text("role")).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text")).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(repair_conversations(damaged_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")), copies="copies"))
+
+
+def op13_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_digests(encode_bytes(_docs(spark, sf_dir), ranks, pattern), ranks, pattern)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op4_latent_retrieval, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op9_personal_data, op10_superminhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op4_latent_retrieval, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op9_personal_data, op10_superminhash, op11_viterbi_repair, op13_matrix_byte_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -96,3 +97,61 @@ def personal(text):
             if ok:
                 out.append((m.start(), order, kind, m.end()))
     return sorted(out)
+
+
+def damaged(rows):
+    """Rows (conv_id, turn, role, text) by conversation after the damage that crc32 of conv_id:turn picks, in order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        name = lambda x: " " if x is None else str(x)
+        role, text = name(role), name(text)
+        fault = zlib.crc32(f"{name(conv)}:{name(turn)}".encode()) % 20
+        here = out.setdefault(conv, [])
+        if fault == 4:
+            role = "user"
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault:
+            here += [(turn, role, text)] * (2 if fault == 3 else 1)
+    return {c: sorted(x, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest())) for c, x in out.items()}
+
+
+def repaired(rows):
+    """Counts, cost, audit and digest of one conversation: least-cost search over (rows read, initials so far), cheapest and then least audit first."""
+    space = " \t\n\x0b\x0c\r"
+    faults, seen = [], set()
+    for turn, role, text in rows:
+        body = text.strip(space)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = {t for t, _, _ in rows if t is not None}
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    grammar = re.compile("(s?(ua)+)?")
+    heap, best = [(0, "", 0, ())], None
+    reached = set()
+    while heap:
+        cost, audit, i, made = heapq.heappop(heap)
+        initials = "".join(r[:1] or "-" for r, _ in made)
+        if i == len(rows) and grammar.fullmatch(initials):
+            best = (cost, audit, made)
+            break
+        state = (i, initials[-1:] or "")
+        if (state, cost, audit) in reached or not (grammar.fullmatch(initials) or grammar.fullmatch(initials + "a") or grammar.fullmatch(initials + "ua")):
+            continue
+        reached.add((state, cost, audit))
+        for role in ("user", "assistant"):
+            if not audit.endswith("III"):
+                heapq.heappush(heap, (cost + 5, audit + "I", i, made + ((role, ""),)))
+        if i < len(rows):
+            heapq.heappush(heap, (cost + 2, audit + "D", i + 1, made))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 5 if faults[i] == "truncated" else 0
+                heapq.heappush(heap, (cost + more, audit + "K", i + 1, made + (rows[i][1:],)))
+                for role in ("user", "assistant"):
+                    heapq.heappush(heap, (cost + more + 1, audit + "R", i + 1, made + ((role, rows[i][2]),)))
+    cost, audit, made = best
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest()
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return (gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
