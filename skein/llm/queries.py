@@ -11,11 +11,13 @@ from .byte_bpe import encode_bytes, token_digests
 from .conversation_repair import conversation_digests, repair_conversations
 from .decontamination import contaminated_pairs
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
 from .id_files import token_round_trip
 from .language_id import identify_languages
 from .near_dup import near_groups
 from .packing import pack_sequences
 from .personal_data import find_personal_data
+from .repair_sql import REPAIR
 from .sharding import interleave_shards
 from .substring_dedup import remove_repeats
 from .toxicity import toxicity
@@ -86,6 +88,12 @@ def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(repair_conversations(damaged_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")), copies="copies"))
 
 
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved))
+
+
 def op13_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,7 +102,7 @@ def op13_matrix_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op4_latent_retrieval, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op9_personal_data, op10_superminhash, op11_viterbi_repair, op13_matrix_byte_bpe)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_stratified_shards, op4_latent_retrieval, op5_recompression, op6_context_mixing_files, op7_language_bayes, op8_differencing_packs, op9_personal_data, op10_superminhash, op11_viterbi_repair, op12_norm_buckets, op13_matrix_byte_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -115,4 +123,17 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
             o AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept, count(*) AS n FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
             SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)""",
+        "op11_viterbi_repair": REPAIR,
+        "op12_norm_buckets": """
+            WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                       list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+                  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+            p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+                   other_id AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+            QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 3""",
     }

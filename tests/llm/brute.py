@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -155,3 +156,22 @@ def repaired(rows):
     digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in made).encode()).hexdigest()
     gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
     return (gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
+
+
+def hard_negatives(rows, scale=256, every=50, positives=5, negatives=3, low=50, high=95):
+    """Sorted (anchor, positive, rank, negative, positive score, negative score) of (id, vector, label) rows."""
+    ready = [
+        (i, [math.floor(scale * x) for x in v], label) for i, v, label in rows
+        if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    order = lambda p: (-p[0], p[1] is None, p[1] or 0)
+    for a, (i, v, label) in enumerate(ready):
+        if i is None or i % every:
+            continue
+        score = lambda w: sum(x * y for x, y in zip(v, w))
+        others = [(score(w), j, other == label) for b, (j, w, other) in enumerate(ready) if b != a]
+        for top, positive, _ in sorted((x for x in others if x[2]), key=order)[:positives]:
+            fit = [x for x in others if not x[2] and low * top <= 100 * x[0] <= high * top]
+            out += [(i, positive, n + 1, j, top, s) for n, (s, j, _) in enumerate(sorted(fit, key=order)[:negatives])]
+    return sorted(out, key=repr)

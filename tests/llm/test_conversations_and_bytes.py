@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from skein.llm import byte_bpe, conversation_repair, queries
+from skein.llm import byte_bpe, conversation_repair, hard_negatives, queries
 from skein.llm.queries import tokenizer_file
 from tests.llm import brute
 
@@ -122,3 +122,50 @@ def test_byte_bpe_long_and_bounded(library, monkeypatch):
             assert flat.tolist() == [i for p in rows for i in bpe.merge_long(p).tolist()]
     million = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
     assert bpe.encode([million])[0].tolist() == library.encode_ordinary(million)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, id long, norm double, block long"
+
+
+def vectors(seed, n=300, width=6, labels=4, spread=True):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        v = rng.normal(size=width) * (rng.exponential() if spread else 1)
+        if i % 9 == 0:
+            v = np.ones(width) * 0.25  # many equal vectors
+        rows.append((i, [float(np.float32(x)) for x in v], int(rng.integers(labels) ** 2 // 3)))
+    return rows
+
+
+def mined(spark, rows, **options):
+    table = spark.createDataFrame([(*r, 1, 2.0, 3) for r in rows], VECTORS).repartition(3)
+    got = hard_negatives.mine_hard_negatives(table, **options)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted((tuple(r) for r in got.collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"bucket_rows": 7, "block_rows": 3, "slice_rows": 40}), (3, {"bucket_rows": 1, "block_rows": 1, "slice_rows": 100, "partitions": 5})])
+def test_hard_negatives(spark, seed, options):
+    odd = [(None, [1.0] * 6, 1), (50, [0.5] * 6, 1), (50, [0.5] * 6, 1), (400, [0.25, 0.25], 0), (450, [], 1), (500, None, 1), (550, [1.0, None], 1), (600, [float("nan")] * 6, 1), (650, [1.0] * 6, None), (-50, [0.3] * 7, 0), (700, [float("inf")], 2)]
+    rows = vectors(seed) + odd
+    want = brute.hard_negatives(rows)
+    assert mined(spark, rows, **options) == want and len(want) > 50
+
+
+def test_hard_negatives_large_values_and_none(spark):
+    """Scores beyond 2^53 are exact; one label, one row and no rows give nothing."""
+    rows = [(i, [float(np.float32(x)) for x in np.random.default_rng(i).normal(size=3) * 3e5], i % 3) for i in range(60)]
+    assert mined(spark, rows, every=10) == brute.hard_negatives(rows, every=10)
+    assert mined(spark, [(0, [3e38, -3e38], 1), (1, [3e38, 3e38], 1), (2, [1.0, 1.0], 2)]) == [(0, 1, 1, 2, 0, 0)]
+    assert mined(spark, [(0, [1.0], 1), (1, [1.0], 1)]) == [] and mined(spark, [(0, [1.0], 1)]) == [] and mined(spark, []) == []
+
+
+def test_hard_negatives_prunes_by_norm(spark, monkeypatch):
+    """Buckets whose norms can't reach a window's lower limit are not multiplied."""
+    matrix = np.arange(12.0).reshape(4, 3)
+    assert (hard_negatives.inner(matrix, matrix, 1e3) == matrix @ matrix.T).all() and (hard_negatives.inner(matrix, matrix, 1e18) == matrix @ matrix.T).all()
+    best = hard_negatives.Best(2, 2, np.float64)
+    best.offer(np.array([0, 1]), np.array([[1.0, 5, 5, 5], [-np.inf, 2, -np.inf, 0]]), np.array([3, 4, 6, 9]))
+    best.offer(np.array([0]), np.array([[5.0, 5.0]]), np.array([5, 1]))
+    assert best.id[0].tolist() == [1, 4] and best.score.tolist() == [[5, 5], [2, 0]] and best.id[1].tolist() == [4, 9]
