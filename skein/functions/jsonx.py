@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.lineage import cut
+
 ENTITY = "struct<type:string,name:string,description:string>"
 ITEM = f"struct<title:string,summary:string,content:string,category:string,keywords:array<string>,priority:string,status:string,references:array<string>,is_valid:boolean,entities:array<{ENTITY}>,children:string>"
 ANSWER = f"struct<type:string,data:struct<items:array<{ITEM}>,meta:struct<reason:string,confidence:double>>>"
@@ -42,19 +46,22 @@ def gold_answers(answer: Column, gold: Column, aliases: Column) -> Column:
     return F.array_distinct(F.concat(F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.array(first)), F.coalesce(aliases, F.array().cast("array<string>"))))
 
 
-def flatten_children(df: DataFrame, key: str, items: str, depth: int = 5) -> DataFrame:
-    """Rows (key, path, parent, level, title) of nested items (a JSON array text); an invalid item drops its whole subtree."""
+def flatten_children(df: DataFrame, key: str, items: str) -> DataFrame:
+    """Rows (key, path, parent, level, title) of nested items (a JSON array text), as deep as they go; an invalid item drops its whole subtree.
+
+    Each round takes the children of the round before, which is stored, until there are none; the rounds are as many as the deepest item's levels.
+    """
     schema = "array<string>"
-    level = df.select(key, F.posexplode(F.from_json(items, schema)).alias("pos", "item")).select(key, F.col("pos").cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), "item")
-    out = None
-    for n in range(depth):
-        level = level.filter(F.coalesce(F.get_json_object("item", "$.is_valid"), F.lit("true")) != "false")
-        rows = level.select(key, "path", "parent", F.lit(n).alias("level"), F.get_json_object("item", "$.title").alias("title"))
-        out = rows if out is None else out.union(rows)
-        level = level.select(key, F.col("path").alias("parent"), F.posexplode(F.from_json(F.get_json_object("item", "$.children"), schema)).alias("pos", "item")).select(
-            key, F.concat_ws(".", "parent", F.col("pos").cast("string")).alias("path"), "parent", "item"
-        )
-    return out
+    split = lambda x: F.from_json(x, schema)
+    frontier = df.select(key, F.posexplode(split(F.col(items))).alias("pos", "item")).select(key, F.col("pos").cast("string").alias("path"), F.lit(None).cast("string").alias("parent"), "item")
+    levels: list[DataFrame] = []
+    while True:
+        frontier = cut(frontier.filter(F.coalesce(F.get_json_object("item", "$.is_valid"), F.lit("true")) != "false"))
+        levels.append(frontier.select(key, "path", "parent", F.lit(len(levels)).alias("level"), F.get_json_object("item", "$.title").alias("title")))
+        below = frontier.select(key, F.col("path").alias("parent"), F.get_json_object("item", "$.children").alias("children")).filter("children IS NOT NULL")
+        frontier = below.select(key, "parent", F.posexplode(split(F.col("children"))).alias("pos", "item")).select(key, F.concat_ws(".", "parent", F.col("pos").cast("string")).alias("path"), "parent", "item")
+        if frontier.isEmpty():
+            return functools.reduce(DataFrame.union, levels)
 
 
 def parse_rerank_lines(lines: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -67,7 +74,7 @@ def parse_rerank_lines(lines: DataFrame, candidates: DataFrame, k: int) -> DataF
     x = lines.filter(F.col("line").contains("[") & F.col("line").contains("]"))
     x = x.withColumn("named", F.regexp_extract("line", r"\[([^\]]*)\]", 1).try_cast("int")).withColumn("tail", F.trim(F.regexp_extract("line", r"^[^\]]*\](.*)$", 1)))
     by_id = candidates.select("qid", F.col("cand").alias("named"), F.lit(True).alias("known"))
-    by_text = candidates.groupBy("qid", F.col("text").alias("tail")).agg(F.min("cand").alias("by_text"))
+    by_text = candidates.groupBy("qid", F.trim("text").alias("tail")).agg(F.min("cand").alias("by_text"))
     x = x.join(by_id, ["qid", "named"], "left").join(by_text, ["qid", "tail"], "left")
     x = x.withColumn("cand", F.when(F.col("known"), F.col("named")).otherwise(F.col("by_text"))).filter("cand is not null")
     first = x.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "cand").orderBy("pos"))).filter("_n = 1")

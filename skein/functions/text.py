@@ -26,10 +26,16 @@ def normalize_entity_name(x: Column) -> Column:
     return normalize_text(F.regexp_replace(F.lower(x), r"(?U)[^\w\s一-鿿]", ""))
 
 
+def strip(x: Column) -> Column:
+    """Without white space (Unicode, and the separators U+001C to U+001F) at the ends."""
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def markdown_headings(x: Column) -> Column:
-    """Array of heading texts, line by line."""
-    lines = F.filter(F.split(x, "\n"), lambda s: s.rlike(r"^#{1,6}\s+.+$"))
-    return F.transform(lines, lambda s: F.trim(F.regexp_extract(s, r"^#{1,6}\s+(.+)$", 1)))
+    """Array of headings, line by line: the marks, a space and the title; indented ones count too."""
+    pattern = r"(?Ud)^(#{1,6})[\s\x1c-\x1f]+(.+)$"
+    lines = F.filter(F.transform(F.split(x, "\n"), strip), lambda s: s.rlike(pattern))
+    return F.transform(lines, lambda s: F.concat(F.regexp_extract(s, pattern, 1), F.lit(" "), F.regexp_extract(s, pattern, 2)))
 
 
 def text_hash(x: Column) -> Column:
@@ -40,10 +46,21 @@ def truncate_text(x: Column, most: int, suffix: str = "...") -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, max(0, most - len(suffix))), F.lit(suffix))).otherwise(x)
 
 
-def normalize_heading(x: Column, most: int = 500) -> Column:
-    """Heading marks go, links keep their label, white space collapses, the length is limited."""
-    x = F.regexp_replace(F.trim(x), r"^#{1,6}\s*", "")
-    return F.substring(normalize_text(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1")), 1, most)
+def normalize_heading(x: Column, most: int = 500, suffix: str = "...") -> Column:
+    """Heading marks go, links keep their label, white space collapses; null is empty.
+
+    A text over ``most`` signs is cut so that it ends with the suffix (without room for it, just cut); most of 0 or less is no limit.
+    """
+    x = F.regexp_replace(strip(F.coalesce(x, F.lit(""))), r"(?U)^#{1,6}[\s\x1c-\x1f]*", "")
+    x = strip(F.regexp_replace(F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"(?U)[\s\x1c-\x1f]+", " "))
+    if most <= 0:
+        return x
+    short = F.substring(x, 1, most) if most <= len(suffix) else F.concat(strip_right(F.substring(x, 1, most - len(suffix))), F.lit(suffix))
+    return F.when(F.length(x) > most, short).otherwise(x)
+
+
+def strip_right(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+\z", "")
 
 
 def paragraphs(x: Column) -> Column:

@@ -100,21 +100,38 @@ def parse_chinese_number(x: Column, parity: bool = True, most: int = 6) -> Colum
     return F.when(fits, _value("int", F.trim(x), 0.85, number=total))
 
 
+# fixed values: signs of an amount, which keep a leading year from being read as a date
+MONEY = ("元", "美元", "USD", r"\$", "¥", "万元", "亿元", "块", "角", "分", "块钱", "毛", "EUR", "£", "RMB", "CNY", "HKD", "/月", "/年", "/天", "/周", "每月", "每年", "起", "左右", "约")
+
+
 def parse_datetime(x: Column) -> Column:
-    """Dates with 年月日 or dashes; year 1970 to 2099; less precise forms have less confidence."""
-    raw = F.trim(x)
-    d = F.regexp_replace(F.regexp_replace(F.translate(raw, "年月/", "---"), "日", ""), "-$", "")
-    part = lambda p, i: F.nullif(F.regexp_extract(d, p, i), F.lit("")).cast("int")
+    """The first date anywhere in the text, with 年月日 or dashes; the most precise form that is a real date wins.
+
+    A year alone counts at the beginning only, from 1970 to 2099, and not beside a sign of an amount.
+    """
+    day = r"(\d{4})-(\d{1,2})-(\d{1,2})"
     forms = [
-        (r"^(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{2}):(\d{2})$", 6, 0.98), (r"^(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{2})$", 5, 0.95),
-        (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 3, 0.98), (r"^(\d{4})-(\d{1,2})$", 2, 0.90), (r"^(\d{4})$", 1, 0.85),
+        (rf"(?U){day}[\sT]+(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})", 6, 0.98), (rf"(?U){day}[\sT]+(\d{{1,2}}):(\d{{1,2}})", 5, 0.95),
+        (day, 3, 0.98), (r"(\d{4})-(\d{1,2})(?:[^\d]|$)", 2, 0.90), (r"^(\d{4})(?:[^\d]|$)", 1, 0.85),
     ]
-    found = []
-    for p, n, confidence in forms:
-        v = [part(p, i + 1) for i in range(n)] + [F.lit(x) for x in (1, 1, 0, 0, 0)[n - 1 :]]
-        moment = F.try_make_timestamp(*v[:6])
-        found.append(F.when(moment.isNotNull() & v[0].between(1970, 2099), _value("datetime", raw, confidence, moment=moment)))
-    return F.coalesce(*found)
+
+    def read(s: Column) -> Column:
+        found = []
+        for p, n, confidence in forms:
+            part = [F.nullif(F.regexp_extract(s["clean"], p, i + 1), F.lit("")).try_cast("int") for i in range(n)] + [F.lit(x) for x in (1, 1, 0, 0, 0)[n - 1 :]]
+            fits = (part[0] >= 1) & (part[5] < 60)
+            if n == 1:
+                fits = part[0].between(1970, 2099) & ~s["raw"].rlike(f"(?i){'|'.join(MONEY)}")
+            moment = F.when(fits & s["clean"].rlike(p), F.try_make_timestamp(*part))
+            found.append(F.when(moment.isNotNull(), F.struct(moment.alias("moment"), F.lit(confidence).alias("confidence"))))
+        return F.struct(s["raw"].alias("raw"), F.coalesce(*found).alias("found"))
+
+    clean = F.regexp_replace(F.regexp_replace(F.translate(F.trim(x), "年月日", "--"), "-+", "-"), "^-|-$", "")
+    # read inside a lambda: the expressions are many, and this way they are evaluated, not repeated in generated code
+    got = F.element_at(F.transform(F.array(F.struct(F.trim(x).alias("raw"), clean.alias("clean"))), read), 1)
+    return F.element_at(
+        F.transform(F.array(got), lambda g: F.when(g["found"].isNotNull(), _value("datetime", g["raw"], g["found"]["confidence"], moment=g["found"]["moment"]))), 1
+    )
 
 
 def parse_compact_datetime(x: Column) -> Column:
@@ -153,13 +170,13 @@ def parse_value(x: Column, timed: bool = False, labels: list[str] | None = None,
 
 
 def parse_strict(x: Column, kind: str, labels: list[str] | None = None, unit: str | None = None) -> Column:
-    """Only the reading that a constraint names; null if it doesn't fit."""
+    """Only the reading that a constraint names; null if it doesn't fit, or if an enum has no labels."""
     if kind in ("int", "float"):
         reading = parse_number(x, kind, unit)
     elif kind == "datetime":
         reading = F.coalesce(parse_compact_datetime(x), parse_datetime(x))
     else:
-        reading = {"bool": lambda: parse_bool(x), "text": lambda: parse_text(x), "enum": lambda: parse_enum(x, labels or [])}[kind]()
+        reading = {"bool": lambda: parse_bool(x), "text": lambda: parse_text(x), "enum": lambda: parse_enum(x, labels) if labels else F.lit(None).cast(KINDS)}[kind]()
     return F.when(F.trim(x) != "", reading)
 
 

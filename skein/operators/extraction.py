@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein import providers
+
 # fixed values: the default entity types with weight and similarity threshold
 DEFAULT_TYPES = [
     ("time", 1.0, 0.900), ("location", 1.0, 0.750), ("person", 1.2, 0.950), ("organization", 1.1, 0.850), ("group", 1.0, 0.700), ("subject", 1.5, 0.600),
@@ -96,7 +98,12 @@ def article_status(chunks: DataFrame) -> DataFrame:
 
 
 def previous_chunk(chunks: DataFrame, source: str, rank: str, content: str) -> DataFrame:
-    return chunks.withColumn("previous", F.lag(content).over(Window.partitionBy(source).orderBy(rank)))
+    """chunks with ``previous``: the content of the chunk of the same source whose rank is one less, null where there is none.
+
+    The join's key has the rank in it, so a source of very many chunks is spread; of several chunks of one rank the least content counts.
+    """
+    before = chunks.groupBy(F.col(source).alias("_source"), (F.col(rank) + 1).alias("_rank")).agg(F.min(content).alias("previous"))
+    return chunks.join(before, (F.col(source) == F.col("_source")) & (F.col(rank) == F.col("_rank")), "left").drop("_source", "_rank")
 
 
 def upsert_report(current: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -115,16 +122,19 @@ def replace_events(old: DataFrame, new: DataFrame) -> DataFrame:
     return marked.unionByName(new)
 
 
-def extract_events(chunks: DataFrame, provider, partitions: int | None = None) -> DataFrame:
-    """Maps chunks (chunk_id, content) through a provider of events; a failing chunk gives its error and no event."""
+def extract_events(chunks: DataFrame, provider, partitions: int | None = None, parallel: int = 1) -> DataFrame:
+    """Maps chunks (chunk_id, content) through a provider of events; a failing chunk gives its error and no event.
+
+    A task calls for at most ``parallel`` chunks at a time and keeps their order; ``providers.retried`` gives a provider further attempts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for chunk, text in zip(batch["chunk_id"], batch["content"]):
-                try:
-                    rows += [(chunk, i, e["title"], e["content"], [n for _, n in e["entities"]], None) for i, e in enumerate(provider(text))]
-                except Exception as error:  # noqa: BLE001  the row says what went wrong
+            for chunk, (found, error) in zip(batch["chunk_id"], providers.in_parallel(lambda text: list(provider(text)), batch["content"].tolist(), parallel)):
+                if error is None:
+                    rows += [(chunk, i, e["title"], e["content"], [n for _, n in e["entities"]], None) for i, e in enumerate(found)]
+                else:
                     rows.append((chunk, None, None, None, [], str(error)[:500]))
             yield pd.DataFrame(rows, columns=["chunk_id", "event_rank", "title", "content", "entities", "error"]).astype({"event_rank": "Int32"})
 

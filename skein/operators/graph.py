@@ -97,3 +97,27 @@ def backfill(sections: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     more = more.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id")).alias("pos"), "chunk_id", F.col("score").alias("weight"), F.lit(2).alias("src"))
     both = sections.withColumn("src", F.lit(1)).unionByName(more)
     return both.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("src", "pos"))).filter(F.col("pos") <= most)
+
+
+def tree_levels(rows: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """key, parent, root, level for rows that name their parent: a root is a row without one, or whose parent isn't there; it has level 0.
+
+    Each round doubles the way that every row looks up, so a tree of n levels takes log2(n) rounds. Rows in a cycle, or below one, have no
+    root: root and level are null. Keys must be unique; a null key is left out.
+    """
+    rows = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(parent).alias("parent"))
+    ids = rows.select(F.col("key").alias("there"))
+    state = cut(rows.join(ids, F.col("parent") == F.col("there"), "left").select("key", "parent", F.col("there").alias("up"), F.when(F.col("there").isNotNull(), 1).otherwise(0).cast("long").alias("level")))
+    most, reach = state.count(), 1
+    while reach <= most and not state.filter("up IS NOT NULL").isEmpty():
+        # who has arrived keeps its root in last; the others add their ancestor's way to their own
+        above = state.select(F.col("key").alias("at"), F.col("up").alias("next"), F.col("level").alias("more"), *(["last"] if "last" in state.columns else [F.lit(None).cast(state.schema["key"].dataType).alias("last")]))
+        going = state.filter("up IS NOT NULL").join(above.withColumnRenamed("last", "found"), F.col("up") == F.col("at"))
+        done = state.filter("up IS NULL")
+        done = done if "last" in state.columns else done.withColumn("last", F.col("key"))
+        moved = going.select("key", "parent", F.col("next").alias("up"), (F.col("level") + F.col("more")).alias("level"), F.when(F.col("next").isNull(), F.coalesce("found", "at")).alias("last"))
+        state, reach = cut(moved.unionByName(done)), 2 * reach
+    if "last" not in state.columns:
+        state = state.withColumn("last", F.col("key"))
+    lost = F.col("up").isNotNull()
+    return state.select(F.col("key").alias(key), F.col("parent").alias(parent), F.when(~lost, F.col("last")).alias("root"), F.when(~lost, F.col("level")).alias("level"))

@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 # ---- text
 
-DOC = "'# doc ' || doc_id || chr(10) || text"
+DOC = "'# doc ' || doc_id || chr(10) || text || chr(10) || '  ### '  || text"
 
 
 def _scalar(name: str, make: Callable, sql: str, table: str = "documents", key: tuple[str, ...] = ("doc_id",), where: str | None = None) -> None:
@@ -56,10 +56,10 @@ _t = lambda: F.col("text")
 _S = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"  # white space beyond ASCII, as the operators see it
 _scalar("text_normalize", lambda: text.normalize_text(_t()), r"trim(regexp_replace(text, '[\s\x0B\x85\p{Z}]+', ' ', 'g'))")
 _scalar("text_entity_name", lambda: text.normalize_entity_name(_t()), rf"trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\s\x0B\x1C-\x1F\x85\p{{Z}}]', '', 'g'), '{_S}+', ' ', 'g'))")
-_scalar("text_headings", lambda: F.array_join(text.markdown_headings(F.concat(F.lit("# doc "), "doc_id", F.lit("\n"), "text")), "|"), rf"array_to_string([trim(regexp_extract(s, '^#{{1,6}}\s+(.+)$', 1)) FOR s IN string_split({DOC}, chr(10)) IF regexp_matches(s, '^#{{1,6}}\s+.+$')], '|')")
+_scalar("text_headings", lambda: F.array_join(text.markdown_headings(F.concat(F.lit("# doc "), "doc_id", F.lit("\n"), "text", F.lit("\n  ### "), "text")), "|"), rf"array_to_string([regexp_replace(s, '^(#{{1,6}}){_S}+(.+)$', '\1 \2') FOR s IN list_transform(string_split({DOC}, chr(10)), lambda l: regexp_replace(l, '^{_S}+|{_S}+$', '', 'g')) IF regexp_matches(s, '^#{{1,6}}{_S}+.+$')], '|')")
 _scalar("text_hash", lambda: text.text_hash(_t()), "md5(text)")
 _scalar("text_truncate", lambda: text.truncate_text(_t(), 100), "CASE WHEN length(text) > 100 THEN substring(text, 1, 97) || '...' ELSE text END")
-_scalar("text_heading", lambda: text.normalize_heading(F.concat(F.lit("## [a "), "doc_id", F.lit("](http://x) "), _t())), "substring(trim(regexp_replace(regexp_replace(regexp_replace('## [a ' || doc_id || '](http://x) ' || text" + r", '^#{1,6}\s*', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '" + _S + "+', ' ', 'g')), 1, 500)")
+_scalar("text_heading", lambda: text.normalize_heading(F.concat(F.lit("## [a "), "doc_id", F.lit("](http://x) "), _t())), "[CASE WHEN length(x) > 500 THEN regexp_replace(substring(x, 1, 497), '" + _S + "+$', '') || '...' ELSE x END FOR x IN [trim(regexp_replace(regexp_replace(regexp_replace('## [a ' || doc_id || '](http://x) ' || text" + r", '^#{1,6}\s*', ''), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '" + _S + "+', ' ', 'g'))]][1]")
 _scalar("text_paragraphs", lambda: F.array_join(text.paragraphs(_t()), "|"), r"array_to_string([regexp_replace(p, '^\s+|\s+$', '', 'g') FOR p IN string_split(text, chr(10) || chr(10)) IF regexp_replace(p, '^\s+|\s+$', '', 'g') <> ''], '|')")
 _scalar("text_han_count", lambda: text.han_count(F.concat("text", F.lit("三百元"))), r"length(regexp_replace(text || '三百元', '[^\x{4e00}-\x{9fff}]', '', 'g'))")
 _scalar("text_tokens", lambda: text.estimate_tokens(_t()), "cast(trunc(length(text) / 4.0) AS INTEGER)")
@@ -120,10 +120,56 @@ def value_typed_columns(t):
     return x.select("l_orderkey", "l_linenumber", *values.typed_columns(F.col("v"))).select("l_orderkey", "l_linenumber", "value_type", "value_raw", "int_value", "value_unit")
 
 
-@query("SELECT * FROM (VALUES ('三百五十', 350), ('十五', 5), ('一千二百', 1200), ('一千二百万', 1002000000), ('三兆', 3000000000000), ('十', NULL)) v(raw, number)")
+_PLACES = "o_orderkey // 100 % 10 AS h, o_orderkey // 10 % 10 AS d, o_orderkey % 10 AS e"
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN h * 100 + d * 10 + e > 0 THEN nullif(h * 100 + CASE WHEN h = 0 AND d = 1 THEN 0 ELSE d * 10 END + e, 0) END AS number,
+    nullif((h * 100 + d * 10 + e) * 10000, 0) AS meant FROM (SELECT o_orderkey, {_PLACES} FROM orders)""")
 def value_chinese(t):
-    x = t.spark.createDataFrame([("三百五十",), ("十五",), ("一千二百",), ("一千二百万",), ("三兆",), ("十",)], "raw string")
-    return x.select("raw", values.parse_chinese_number(F.col("raw"))["number"].cast("long").alias("number"))
+    """The order number's last three digits as a numeral: as the reference reads it (a bare 十 counts nothing), and as it is meant, before 万."""
+    digit = lambda n: F.element_at(F.array(*map(F.lit, "零一二三四五六七八九")), (n + 1).cast("int"))
+    h, d, e = (F.expr(f"o_orderkey div {n} % 10") for n in (100, 10, 1))
+    tens = F.when((h == 0) & (d == 1), "十").when(d > 0, F.concat(digit(d), F.lit("十"))).otherwise("")
+    raw = F.concat(F.when(h > 0, F.concat(digit(h), F.lit("百"))).otherwise(""), tens, F.when(e > 0, digit(e)).otherwise(""))
+    meant = values.parse_chinese_number(F.concat(raw, F.lit("万")), parity=False, most=20)["number"]
+    return t.orders.select("o_orderkey", values.parse_chinese_number(raw)["number"].cast("long").alias("number"), F.when(raw != "", meant).cast("long").alias("meant"))
+
+
+_FORMS = ["会议于{d:%Y年%-m月%-d日}召开", "{d:%Y-%m-%d}  9:5", "1850-01-02 x", "{d:%Y-%m-%d}T10:00:00Z", "{d:%Y}年报", "{d:%Y}元", "约{d:%Y}", "{d:%Y-%m}起", "{d:%Y}-13-40", "{d:%Y}-02-30 25:00", "{d:%Y年%-m月%-d日} 10:61", "1969"]
+_Y, _YM, _YMD = "strftime(d, '%Y')", "strftime(d, '%Y-%m')", "strftime(d, '%Y-%m-%d')"
+_FORM_SQL = [
+    f"{{t: {_YMD} || ' 00:00:00', c: 0.98}}", f"{{t: {_YMD} || ' 09:05:00', c: 0.95}}", "{t: '1850-01-02 00:00:00', c: 0.98}", f"{{t: {_YMD} || ' 10:00:00', c: 0.98}}", f"{{t: {_Y} || '-01-01 00:00:00', c: 0.85}}",
+    "NULL", "NULL", f"{{t: {_YM} || '-01 00:00:00', c: 0.90}}", f"{{t: {_Y} || '-01-01 00:00:00', c: 0.85}}", f"{{t: {_Y} || '-02-01 00:00:00', c: 0.90}}", f"{{t: {_YMD} || ' 00:00:00', c: 0.98}}", "NULL",
+]
+
+
+@query(f"""SELECT o_orderkey, x.t::TIMESTAMP AS moment, x.c::DOUBLE AS confidence FROM (SELECT o_orderkey,
+    CASE o_orderkey % 12 {' '.join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FORM_SQL))} END AS x FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d FROM orders))""")
+def value_datetime_forms(t):
+    """Dates within text, in twelve forms: what is expected of each is written from the rules, not computed the same way."""
+    d, y = "o_orderdate", F.date_format("o_orderdate", "yyyy")
+    forms = [
+        F.concat(F.lit("会议于"), F.date_format(d, "yyyy年M月d日"), F.lit("召开")), F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("  9:5")), F.lit("1850-01-02 x"), F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00Z")),
+        F.concat(y, F.lit("年报")), F.concat(y, F.lit("元")), F.concat(F.lit("约"), y), F.concat(F.date_format(d, "yyyy-MM"), F.lit("起")), F.concat(y, F.lit("-13-40")), F.concat(y, F.lit("-02-30 25:00")),
+        F.concat(F.date_format(d, "yyyy年M月d日"), F.lit(" 10:61")), F.lit("1969"),
+    ]
+    v = values.parse_datetime(F.element_at(F.array(*forms), (F.col("o_orderkey") % 12 + 1).cast("int")))
+    return t.orders.select("o_orderkey", v.alias("v")).select("o_orderkey", "v.moment", "v.confidence")
+
+
+_CLEAN = "regexp_replace(regexp_replace(translate(text || ' ' || '2024年' || (doc_id % 14 + 1) || '月' || (doc_id % 32) || '日', '年月日', '--'), '-+', '-', 'g'), '^-|-$', '', 'g')"
+_DAY = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, {_CLEAN} AS x FROM documents),
+    p AS (SELECT doc_id, x, regexp_extract(x, '{_DAY}[\s\x0B\x85\p{{Z}}T]+(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})', ['a', 'b', 'c', 'd', 'e', 'f']) AS s, regexp_extract(x, '{_DAY}[\s\x0B\x85\p{{Z}}T]+(\d{{1,2}}):(\d{{1,2}})', ['a', 'b', 'c', 'd', 'e']) AS m,
+          regexp_extract(x, '{_DAY}', ['a', 'b', 'c']) AS d, regexp_extract(x, '(\d{{4}})-(\d{{1,2}})(?:[^\d]|$)', ['a', 'b']) AS y FROM c)
+    SELECT doc_id, coalesce(try_cast(format('{{}}-{{}}-{{}} {{}}:{{}}:{{}}', s.a, s.b, s.c, lpad(s.d, 2, '0'), lpad(s.e, 2, '0'), lpad(s.f, 2, '0')) AS TIMESTAMP), try_cast(format('{{}}-{{}}-{{}} {{}}:{{}}:00', m.a, m.b, m.c, lpad(m.d, 2, '0'), lpad(m.e, 2, '0')) AS TIMESTAMP),
+        try_cast(format('{{}}-{{}}-{{}}', d.a, d.b, d.c) AS TIMESTAMP), try_cast(format('{{}}-{{}}-01', y.a, y.b) AS TIMESTAMP)) AS moment FROM p""".replace("\\\\", "\\"))
+def value_datetime_in_text(t):
+    """The first date in whole texts."""
+    text_ = F.concat("text", F.lit(" 2024年"), F.col("doc_id") % 14 + 1, F.lit("月"), F.col("doc_id") % 32, F.lit("日"))
+    return t.documents.select("doc_id", values.parse_datetime(text_)["moment"].alias("moment"))
 
 
 # ---- JSON
@@ -143,7 +189,7 @@ _TREE = '[{"title":"a%s","children":[{"title":"b","is_valid":false,"children":[{
     (VALUES ('0', NULL, 0, ''), ('0.1', '0', 1, 'c'), ('0.1.0', '0.1', 2, 'd')) v(path, parent, level, title)""")
 def json_flatten_children(t):
     left, right = _TREE.split("%s")
-    return jsonx.flatten_children(t.documents.select("doc_id", F.concat(F.lit(left), "doc_id", F.lit(right)).alias("j")), "doc_id", "j", 4)
+    return jsonx.flatten_children(t.documents.select("doc_id", F.concat(F.lit(left), "doc_id", F.lit(right)).alias("j")), "doc_id", "j")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'y' WHEN 1 THEN 'x,y,z' ELSE 'z,x' END AS ids FROM documents")
@@ -426,11 +472,6 @@ def heading_breaks(t):
     return chunking.heading_breaks(t.conversations, "conv_id", "turn", "role").select("conv_id", "turn", "chunk")
 
 
-@query()
-def chunk_standard(t):
-    return chunking.chunks_standard(_marked(t)).select("doc_id", "rank", "heading", "content", F.size("references").alias("n_sections"))
-
-
 # ---- extraction and relational verbs
 
 _MENTIONS = "m AS (SELECT source, doc_id, unnest(n) AS name, doc_id * 1000000 + unnest(range(len(n))) AS ord FROM (SELECT source, doc_id, regexp_extract_all(text, '[A-Z][a-z]{5,}') AS n FROM documents))"
@@ -469,10 +510,14 @@ def type_threshold_join(t):
     return extraction.type_settings(t.part.select("p_partkey", kind.alias("type")), types).select("p_partkey", "threshold", "weight")
 
 
-@query(f"SELECT type, CASE type WHEN 'person' THEN 9.0 WHEN 'own' THEN 5.0 WHEN 'extra' THEN 7.0 ELSE weight END::DOUBLE AS weight FROM (SELECT type, weight FROM {_TYPES} UNION ALL VALUES ('own', 5.0), ('extra', 7.0))")
+@query("""SELECT type, arg_min(weight, p) AS weight FROM (SELECT p_type AS type, min(p_size)::DOUBLE AS weight, 1 AS p FROM part WHERE p_size > 40 GROUP BY 1
+    UNION ALL SELECT p_type, min(p_retailprice)::DOUBLE, 2 FROM part GROUP BY 1 UNION ALL SELECT DISTINCT p_brand, 1.0::DOUBLE, 3 FROM part UNION ALL SELECT DISTINCT p_type, 0.0::DOUBLE, 3 FROM part) GROUP BY type""")
 def effective_types(t):
-    make = lambda rows: t.spark.createDataFrame(rows, "type string, weight double")
-    return extraction.effective_types(make([("person", 9.0), ("own", 5.0)]), make([x[:2] for x in extraction.DEFAULT_TYPES]), make([("own", 6.0), ("extra", 7.0)]))
+    """A source's own types are those of large parts, the defaults all types, and the runtime ones brands and types."""
+    own = t.part.filter("p_size > 40").groupBy(F.col("p_type").alias("type")).agg(F.min("p_size").cast("double").alias("weight"))
+    default = t.part.groupBy(F.col("p_type").alias("type")).agg(F.min("p_retailprice").cast("double").alias("weight"))
+    runtime = t.part.select(F.col("p_brand").alias("type"), F.lit(1.0).alias("weight")).union(t.part.select("p_type", F.lit(0.0))).distinct()
+    return extraction.effective_types(own, default, runtime)
 
 
 @query("SELECT o_orderkey FROM orders WHERE (CASE WHEN o_orderstatus = 'P' THEN 'DELETED' WHEN o_orderstatus = 'F' THEN NULL ELSE 'ok' END) IS DISTINCT FROM 'DELETED'")
@@ -487,9 +532,11 @@ def chunk_filters(t):
     return t.conversations.filter(extraction.not_image(kind) & extraction.long_enough(F.lit(0), F.col("text"))).select("conv_id", "turn")
 
 
-@query("SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+@query("""WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE (conv_id + turn) % 5 <> 0)
+    SELECT a.conv_id, a.turn, b.text AS previous FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1""")
 def prev_chunk_context(t):
-    return extraction.previous_chunk(t.conversations, "conv_id", "turn", "text").select("conv_id", "turn", "previous")
+    gaps = t.conversations.filter((F.col("conv_id") + F.col("turn")) % 5 != 0)
+    return extraction.previous_chunk(gaps, "conv_id", "turn", "text").select("conv_id", "turn", "previous")
 
 
 @query("SELECT o_orderkey, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'N') = count(*) THEN 'COMPLETED' WHEN count(*) FILTER (WHERE l_returnflag = 'N') > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")

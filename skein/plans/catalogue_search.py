@@ -123,12 +123,12 @@ def _field_sql(table: str, key: str, field: str, boost: float, name: str) -> str
 def _match_sql(asked: str, fields: list[tuple[str, str, str, float]], k: int) -> str:
     ctes = ", ".join(_field_sql(table, key, field, boost, str(i)) for i, (table, key, field, boost) in enumerate(fields))
     union = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(fields)))
-    return f"WITH q AS ({asked}), {ctes}, m AS (SELECT qid, doc, max(score) AS score FROM ({union}) GROUP BY ALL) SELECT qid, round(sum(score), 2) AS total, count(*) AS n FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) <= {k}) GROUP BY qid"
+    return f"WITH q AS ({asked}), {ctes}, m AS (SELECT qid, doc, max(score) AS score FROM ({union}) GROUP BY ALL) SELECT qid, doc, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS INTEGER) AS rank FROM m QUALIFY rank <= {k}"
 
 
 def _best(out):
-    """Sums of the best scores: which of two equal scores comes last is left open."""
-    return out.groupBy("qid").agg(F.round(F.sum("score"), 2).alias("total"), F.count(F.lit(1)).alias("n"))
+    """The documents themselves: equal scores go by id."""
+    return out.select("qid", "doc", "score", "rank")
 
 
 _ASKED = f"SELECT item_id AS qid, unnest(list_distinct({_W.format('text')})) AS term FROM benchmark"

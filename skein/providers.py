@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -70,3 +73,54 @@ def rule_events(text: str | None) -> list[dict]:
     """One event for each chunk."""
     text = text or ""
     return [{"title": text.strip().split("\n")[0][:80], "content": text, "entities": rule_entities(text)}] if text.strip() else []
+
+
+class ProviderTimeout(Exception):
+    """A model call took too long; calling again may take as long."""
+
+
+class ProviderError(Exception):
+    """A model call failed in a way that another attempt may mend (limits of rate, busy services)."""
+
+
+def retried(call: Callable, attempts: int = 3, delay: float = 1.0, factor: float = 2.0, most: float = 60.0, pause: Callable[[float], None] = time.sleep) -> Callable:
+    """call with further attempts after a ProviderError, each pause factor times as long (and half to all of that, by chance).
+
+    Timeouts and unknown errors are raised at once; after the last attempt so is the error itself.
+    """
+
+    def run(*args):
+        for attempt in range(attempts):
+            try:
+                return call(*args)
+            except ProviderTimeout:
+                raise
+            except ProviderError:
+                if attempt == attempts - 1:
+                    raise
+                pause(min(most, delay * factor**attempt) * (0.5 + random.random() / 2))
+
+    return run
+
+
+def in_parallel(call: Callable, inputs: list, parallel: int) -> Iterator[tuple[object, Exception | None]]:
+    """(result, error) of each input in the inputs' order, with at most ``parallel`` calls under way and as many results waiting."""
+
+    def one(x):
+        try:
+            return call(x), None
+        except Exception as error:  # noqa: BLE001  handed on with its input
+            return None, error
+
+    if parallel <= 1:
+        yield from map(one, inputs)
+        return
+    with ThreadPoolExecutor(parallel) as pool:
+        for lo in range(0, len(inputs), 2 * parallel):
+            yield from pool.map(one, inputs[lo : lo + 2 * parallel])
+
+
+def usage_of(prompt: str | None, answer: str | None) -> tuple[int, int]:
+    """Tokens in and out of a call by the library's rough count: a Han sign is two thirds of a token, another sign a quarter."""
+    count = lambda s: int(sum(2 / 3 if "一" <= c <= "鿿" else 0.25 for c in s or ""))
+    return count(prompt), count(answer)

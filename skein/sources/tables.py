@@ -70,8 +70,21 @@ def write_partition(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def write_index(df: DataFrame, path: str, partition: str = "source_config_id") -> None:
-    df.repartition(partition).write.mode("append").partitionBy(partition).parquet(path)
+def routed(df: DataFrame, source: str, key: str, rows_each: int = 1_000_000) -> DataFrame:
+    """df with ``shard``: rows of one source share a shard, but a source of over rows_each rows is dealt among several by the hash of the key."""
+    sizes = df.groupBy(F.col(source).alias("_source")).agg(F.ceil(F.count(F.lit(1)) / rows_each).cast("int").alias("_shards"))
+    x = df.join(sizes, F.col(source).eqNullSafe(F.col("_source")))
+    return x.withColumn("shard", F.pmod(F.xxhash64(key), F.col("_shards")).cast("int")).drop("_source", "_shards")
+
+
+def write_index(df: DataFrame, path: str, partition: str = "source_config_id", key: str = "id", rows_each: int = 1_000_000) -> None:
+    """Appends df in folders by source and shard: reads of one source or one shard prune the others, and no task writes much over rows_each rows."""
+    routed(df, partition, key, rows_each).repartition(partition, "shard").write.mode("append").partitionBy(partition, "shard").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, sources: list, partition: str = "source_config_id") -> DataFrame:
+    """The rows of some sources; the scan lists their folders only."""
+    return spark.read.parquet(path).filter(F.col(partition).isin(sources)).drop("shard")
 
 
 def write_results(df: DataFrame, path: str) -> None:
