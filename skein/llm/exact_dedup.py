@@ -177,7 +177,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ex
     # two texts under one SHA-256 would be a collision that ids cannot tell apart: the query fails rather than merge them
     checked = checked.filter("n > 1").select("sha", F.when(F.col("texts") > 1, F.raise_error("two texts share a SHA-256")).otherwise(F.lit(True)).alias("same"))
     checked = scratch.stash(checked.filter("same").select("sha"), "checked")
-    groups = narrow.join(suspects.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("size"))
+    # grouped first: each task combines its rows of one text, so a text of a third of all rows is no hot key
+    groups = narrow.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count(F.lit(1)).alias("size"))
     groups = scratch.stash(groups.filter("size > 1").join(checked, "sha", "left_semi"), "groups")
     scratch.drop("suspects", "checked")
     return join_with_hot(narrow.select("doc_id", "row", "sha"), groups, "sha", "size", rows, "left").select(

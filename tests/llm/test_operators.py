@@ -303,10 +303,11 @@ def test_network_by_brute_force():
     network = toxicity.Network(dim=3, filters=2, seed=1)
     one, two = rng.integers(0, 1 << toxicity.BITS, 12), rng.integers(0, 1 << toxicity.BITS, 12)
     first = np.array([0, 5, 5, 7, 12])
+    proof = np.where(rng.random(12) < 0.4, rng.normal(size=12), 0).astype(np.float32)
 
     def plain(i):
         total, at = float(network.shift), 0
-        x = [network.tables[0][a] + network.tables[1][b] for a, b in zip(one[first[i] : first[i + 1]], two[first[i] : first[i + 1]])]
+        x = [np.append(network.tables[0][a] + network.tables[1][b], e) for a, b, e in zip(*(v[first[i] : first[i + 1]] for v in (one, two, proof)))]
         for w, f, bias in zip(toxicity.WIDTHS, network.filters, network.bias):
             for k in range(f.shape[2]):
                 places = [sum(float(x[p + j] @ f[j][:, k]) for j in range(w)) + float(bias[k]) for p in range(len(x) - w + 1)]
@@ -314,7 +315,7 @@ def test_network_by_brute_force():
             at += f.shape[2]
         return total
 
-    got = toxicity.logits(network, network.folded(), one, two, first)
+    got = toxicity.logits(network, network.folded(), one, two, proof, first)
     assert np.allclose(got, [plain(i) for i in range(4)], atol=1e-5)
     before = network.out.copy()
     y = np.array([1, 0, 1, 0], np.float32)
@@ -327,7 +328,7 @@ def test_network_by_brute_force():
         network.out[k] -= 2e-2
         slope.append((up - loss()) / 2e-2)
     network.out = before.copy()
-    network.step(one, two, first, y, np.ones(4, np.float32), 1e-3, np.ones(12, bool))
+    network.step(one, two, proof, first, y, np.ones(4, np.float32), 1e-3, np.ones(12, np.float32))
     moment = network.moments["out", None][0] / 0.1
     assert np.allclose(moment, slope, atol=2e-3)
 
@@ -351,6 +352,28 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and 290 <= kept.count() <= 310
 
 
+def test_toxicity_by_language(spark):
+    """Toxic words that only a dozen texts of a language have are learnt in each of three languages; evidence of rare words is shrunk."""
+    rng = random.Random(8)
+    rows, bad = [], {"en": "vile", "de": "schlimm", "fr": "affreux"}
+    for i in range(1800):
+        lang = ("en", "en", "en", "en", "de", "fr")[i % 6]
+        w = [f"{lang}{rng.randrange(400)}" for _ in range(rng.randrange(20, 80))]
+        if i % 7 == 0:
+            w[rng.randrange(len(w))] = bad[lang] + rng.choice("ab")
+        rows.append((i, " ".join(w), lang, int(i % 7 == 0)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    got = toxicity.toxicity(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")).toPandas().set_index("doc_id")
+    for lang in bad:
+        mine = [(r[3], got.loc[r[0]].predicted) for r in rows if r[2] == lang and got.loc[r[0]].held_out]
+        hits = [p for y, p in mine if y]
+        assert np.mean(hits) >= 0.8 and np.mean([p for y, p in mine if not y]) <= 0.05, (lang, len(hits))
+    few = toxicity.Evidence([np.array([1, 2], np.uint64), np.array([1, 3], np.uint64), np.array([4], np.uint64), np.array([4, 2], np.uint64)], np.array([1, 1, 0, 0.0]))
+    assert few.of(np.array([1, 3, 4, 2, 9], np.uint64)).tolist() == pytest.approx([np.log(3), np.log(2), 0, 0, 0])
+    none = toxicity.Evidence([np.array([1], np.uint64)], np.array([1.0]))
+    assert none.of(np.array([1], np.uint64)).tolist() == [0]
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     vocabulary = [f"term{i}" for i in range(3000)]
