@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,6 +86,29 @@ def event_documents(events: DataFrame, links: DataFrame) -> DataFrame:
     return events.join(lists, "event_id", "left").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast(lists.schema["entity_ids"].dataType)))
 
 
+def event_document_json(events: DataFrame, links: DataFrame, fields: list[str], optional: list[str]) -> DataFrame:
+    """(event_id, document): the search store's JSON of each event with its entity_ids; optional fields (text or array) are there only if they hold something."""
+    x = event_documents(events, links)
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    held = [F.when(F.size(c) > 0 if kinds[c].startswith("array") else F.col(c).cast("string") != "", F.col(c)).alias(c) for c in optional]
+    return x.select("event_id", F.to_json(F.struct("event_id", *fields, "entity_ids", *held)).alias("document"))
+
+
+#: The shape of an answer's entities, whose type may be restricted.
+ENTITY_SCHEMA = {"type": "object", "properties": {"type": {"type": "string"}, "name": {"type": "string"}, "description": {"type": "string"}}, "required": ["type", "name"]}
+
+
+def answer_schemas(types: DataFrame, source: str = "source", kind: str = "type") -> DataFrame:
+    """(source, schema): the JSON schema of an entity for each source, its allowed types in order as an enumeration.
+
+    A source has its entity types, a small set; a source whose types are all null gets the schema without an enumeration.
+    """
+    head, tail = json.dumps(ENTITY_SCHEMA, separators=(",", ":")).split('"type":{"type":"string"', 1)
+    allowed = F.array_sort(F.collect_set(kind))
+    listed = F.when(F.size(allowed) > 0, F.concat(F.lit(',"enum":'), F.to_json(allowed))).otherwise("")
+    return types.groupBy(source).agg(F.concat(F.lit(head + '"type":{"type":"string"'), listed, F.lit(tail)).alias("schema"))
+
+
 def prompt_input(chunks: DataFrame, types: list[str]) -> DataFrame:
     """(chunk_id, items: array of texts) to the request's JSON, items numbered from 1."""
     items = F.transform("items", lambda x, i: F.struct((i + 1).alias("id"), x.alias("content")))

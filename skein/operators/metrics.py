@@ -41,6 +41,28 @@ def set_metrics(pred: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return size.join(got, "qid", "left").select("qid", F.round(r, 4).alias("recall"), F.round(p, 4).alias("precision"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"))
 
 
+def pooled_recall(pred: DataFrame, gold: DataFrame, queries: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, recall): the mean over all queries (qid) of recall on sets among the first k, rounded to four places; 0 for a query without gold."""
+    ks = sorted(set(ks))
+    need = gold.select("qid", "doc").distinct()
+    first = need.join(pred.groupBy("qid", "doc").agg(F.min("pos").alias("first")), ["qid", "doc"], "left")
+    by = first.groupBy("qid").agg(*((F.count_if(F.col("first") <= k) / F.count(F.lit(1))).alias(f"r{k}") for k in ks))
+    means = queries.select("qid").distinct().join(by, "qid", "left").agg(*(F.avg(F.coalesce(f"r{k}", F.lit(0.0))).alias(f"r{k}") for k in ks))
+    return means.select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.round(F.coalesce(f"r{k}", F.lit(0.0)), 4).alias("recall")) for k in ks))))
+
+
+def hit_classes(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """(class, n): queries by how many entries of their list are gold, against the length of their gold list.
+
+    Lists count, not sets: an entry that is shown twice hits twice, and a gold text that is there twice must be hit twice.
+    """
+    wanted = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold"))
+    hits = pred.join(gold.select("qid", "doc").distinct(), ["qid", "doc"], "left_semi").groupBy("qid").agg(F.count(F.lit(1)).alias("hits"))
+    x = wanted.join(hits, "qid", "left").select(F.coalesce("hits", F.lit(0)).alias("hits"), "n_gold")
+    kind = F.when(F.col("hits") == 0, "zero").when(F.col("hits") < F.col("n_gold"), "partial").otherwise("full")
+    return x.groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def recall_class(recall: Column) -> Column:
     return F.when(recall >= 1, "full").when(recall > 0, "partial").otherwise("zero")
 

@@ -43,10 +43,12 @@ def pack_numbers(values: np.ndarray) -> bytes:
 
 def unpack_numbers(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
     ends = np.flatnonzero(raw < 128)
     starts = np.append(0, ends[:-1] + 1)
     place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts) if len(raw) else np.zeros(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts)
 
 
 def _block(rows: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> bytes:

@@ -61,7 +61,10 @@ class TokenCounter:
                 # a border within a sign or behind dropped white space is no progress: the next one that is
                 end = len(text) if last < 0 or last == len(ends) - 1 else int(ends[last])
                 part = text[start:end]
-                if take == 1 or not part or self.counts([part])[0] <= most:
+                if not part or self.counts([part])[0] <= most:
+                    break
+                if take == 1:  # several signs in one token of the text that are more tokens alone
+                    end = start
                     break
                 take = max(1, take // 2 if take < 4 else take - max(1, take // 8))
             if end <= start:

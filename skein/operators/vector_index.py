@@ -159,10 +159,11 @@ def build_index(vectors: DataFrame, path: str, cells: int | None = None, sample_
     spark.createDataFrame([(i, c.tolist(), dims) for i, c in enumerate(centres)], "cell int, centre array<double>, dims int").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     placed = valid.mapInArrow(_assign(centres), f"id {kind}, v {of}, cell int") if len(centres) else valid.withColumn("cell", F.lit(0))
     # rebalancing by cell: a task writes whole cells, and Spark splits those that are too large for one
-    packed = placed.hint("rebalance", "cell").sortWithinPartitions("cell").mapInArrow(
+    packed = placed.hint("rebalance", "cell").sortWithinPartitions("cell", "id").mapInArrow(
         _pack(centres, block_rows), f"cell int, n int, ids array<{kind}>, codes binary, steps array<double>, lost array<double>, vectors binary"
     )
-    packed.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/blocks")
+    packed = packed.withColumn("block", F.monotonically_increasing_id()).write.mode("overwrite")
+    (packed.partitionBy("cell") if len(centres) else packed).parquet(f"{path}/blocks")
     return len(centres)
 
 
@@ -243,11 +244,11 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, pro
     """
     cells = spark.read.parquet(f"{path}/cells")
     centres = np.array([c["centre"] for c in cells.orderBy("cell").collect()])
-    packed, used = _bundles(spark, path, queries, probes)
     kind = queries.schema["qid"].dataType.simpleString()
     blocks = spark.read.parquet(f"{path}/blocks")
     if not len(centres):
         return queries.sparkSession.createDataFrame([], f"qid {kind}, id {blocks.schema['ids'].dataType.elementType.simpleString()}, score double, rank int")
+    packed, used = _bundles(spark, path, queries, probes)
     blocks = blocks if used is None else blocks.filter(F.col("cell").isin(used))
     work = folder(spark, "search")
     met = packed.join(blocks.select("cell", "block", "n", "codes", "steps", "lost"), "cell").select("cell", "qs", "block", "n", "codes", "steps", "lost")
@@ -272,6 +273,7 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int, pro
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
-    """qid, wanted, hits: how many of the exact neighbours of each query were found."""
-    x = exact.select("qid", "id").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
-    return x.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+    """qid, wanted, hits: how many rows as near as the exact neighbours of each query were found; of equal scores any will do."""
+    need = exact.groupBy("qid").agg(F.count(F.lit(1)).alias("wanted"), F.min("score").alias("least"))
+    x = need.join(found.select("qid", "score"), "qid", "left")
+    return x.groupBy("qid", "wanted").agg(F.least("wanted", F.count_if(F.col("score") >= F.col("least"))).alias("hits"))

@@ -649,10 +649,12 @@ def _gold(t):
     """
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     b = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("needle"), words.alias("w"))
-    long = b.filter(F.size("w") >= INNER + 2).select("qid", "needle", F.xxhash64(F.slice("w", 2, INNER)).alias("h"))
-    few = long.limit(100_001).count() <= 100_000
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - INNER + 1), lambda i: F.xxhash64(F.slice("w", i, INNER)))
-    d = t.documents.select(F.col("doc_id").alias("doc"), words.alias("w")).filter(F.size("w") >= INNER).select("doc", F.explode(F.array_distinct(runs)).alias("h"))
+    long = cut(b.filter(F.size("w") >= INNER + 2).select("qid", "needle", F.xxhash64(F.slice("w", 2, INNER)).alias("h")))
+    hashes = [r[0] for r in long.select("h").distinct().limit(100_001).collect()]
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - INNER + 1), lambda i: F.xxhash64(F.slice("w", i, INNER))))
+    few = len(hashes) <= 100_000
+    runs = F.array_intersect(runs, F.lit(hashes).cast("array<long>")) if 0 < len(hashes) <= 10_000 else runs  # others never become rows
+    d = t.documents.select(F.col("doc_id").alias("doc"), words.alias("w")).filter(F.size("w") >= INNER).select("doc", F.explode(runs).alias("h"))
     near = d.join(F.broadcast(long) if few else long, "h").select("qid", "needle", "doc")
     found = near.join(t.documents.select(F.col("doc_id").alias("doc"), "text"), "doc").filter(F.col("text").contains(F.col("needle"))).select("qid", "doc").distinct()
     short = b.filter(F.size("w") < INNER + 2)
@@ -661,10 +663,10 @@ def _gold(t):
     return cut(found)
 
 
-def _pred(t):
+def _pred(t, gold):
     """Two of three gold documents, and one document in 97."""
     noise = t.benchmark.select(F.col("item_id").alias("qid"), (F.col("item_id") % 97).alias("m")).join(t.documents.select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 97).alias("m")), "m")
-    x = _gold(t).filter("doc % 3 <> 0").union(noise.select("qid", "doc")).distinct()
+    x = gold.filter("doc % 3 <> 0").union(noise.select("qid", "doc")).distinct()
     return x.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy((F.col("doc") * 7 + F.col("qid")) % 1009, "doc"))).select("qid", "doc", "pos")
 
 
@@ -675,12 +677,16 @@ _RANK = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold G
 
 @query(_RANK)
 def precision_recall_ndcg_mrr(t):
-    return metrics.ranking_metrics(_pred(t), _gold(t), 5)
+    gold = _gold(t)
+    pred = cut(_pred(t, gold))
+    return metrics.ranking_metrics(pred, gold, 5)
 
 
 @query(f"SELECT round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM ({_RANK})")
 def macro_average(t):
-    return metrics.macro_average(metrics.ranking_metrics(_pred(t), _gold(t), 5))
+    gold = _gold(t)
+    pred = cut(_pred(t, gold))
+    return metrics.macro_average(metrics.ranking_metrics(pred, gold, 5))
 
 
 _SET = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold GROUP BY qid), s AS (SELECT qid, count(*) AS shown, count(DISTINCT g.doc) AS hits FROM pred p LEFT JOIN gold g USING (qid, doc) WHERE pos <= 8 GROUP BY qid),
@@ -690,24 +696,31 @@ _SET = f"""WITH {_GOLD}, g AS (SELECT qid, count(DISTINCT doc) AS n FROM gold GR
 
 @query(_SET)
 def precision_f1_at_k(t):
-    return metrics.set_metrics(_pred(t), _gold(t), 8)
+    gold = _gold(t)
+    pred = cut(_pred(t, gold))
+    return metrics.set_metrics(pred, gold, 8)
 
 
 @query(f"SELECT CASE WHEN recall >= 1 THEN 'full' WHEN recall > 0 THEN 'partial' ELSE 'zero' END AS class, count(*) AS n FROM ({_SET}) GROUP BY 1")
 def recall_distribution(t):
-    return metrics.set_metrics(_pred(t), _gold(t), 8).groupBy(metrics.recall_class(F.col("recall")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    gold = _gold(t)
+    pred = cut(_pred(t, gold))
+    return metrics.set_metrics(pred, gold, 8).groupBy(metrics.recall_class(F.col("recall")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH r AS (SELECT recall, row_number() OVER (ORDER BY qid) AS n FROM ({_SET})), b AS (SELECT cast((n - 1) // 7 AS BIGINT) AS batch, count(*) AS c, sum(recall) AS s FROM r GROUP BY 1)
     SELECT batch, cast(sum(c) OVER w AS BIGINT) AS queries, round(sum(s) OVER w / sum(c) OVER w, 6) AS mean_recall FROM b WINDOW w AS (ORDER BY batch)""")
 def cumulative_recall(t):
-    by = metrics.set_metrics(_pred(t), _gold(t), 8)
+    gold = _gold(t)
+    by = metrics.set_metrics(_pred(t, gold), gold, 8)
     return metrics.cumulative(by.withColumn("n", F.row_number().over(Window.orderBy("qid"))), 7)
 
 
 @query(f"SELECT round(avg(a.recall), 6) AS mean_a, round(avg(b.recall), 6) AS mean_b, round(avg(a.recall - b.recall), 6) AS difference, count(*) FILTER (WHERE abs(a.recall - b.recall) > 1e-9) AS differing, count(*) FILTER (WHERE a.recall = 0) AS zero_a, count(*) FILTER (WHERE b.recall = 0) AS zero_b FROM ({_SET}) a JOIN ({_SET.replace('pos <= 8', 'pos <= 3')}) b USING (qid)")
 def compare_ab(t):
-    return metrics.compare(metrics.set_metrics(_pred(t), _gold(t), 8), metrics.set_metrics(_pred(t), _gold(t), 3))
+    gold = _gold(t)
+    pred = cut(_pred(t, gold))
+    return metrics.compare(metrics.set_metrics(pred, gold, 8), metrics.set_metrics(pred, gold, 3))
 
 
 @query("SELECT item_id * 10 + 5 AS a, item_id AS b, CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'overlap' ELSE 'place' END AS how FROM benchmark")

@@ -119,6 +119,22 @@ def json_deep_tree(t):
     return jsonx.flatten_children(t.documents.select("doc_id", nested.alias("j")), "doc_id", "j")
 
 
+@query(f"""WITH l AS (SELECT doc_id, text, unnest(range({_LEVELS}))::INTEGER AS level FROM documents)
+    SELECT doc_id, {2 * _LEVELS}::BIGINT AS items, {_LEVELS}::BIGINT + count(*) FILTER (WHERE (doc_id + level) % 5 = 0) AS no_references, count(*) FILTER (WHERE trim({_PART}) = '') AS no_title,
+        {_LEVELS}::BIGINT AS no_content, CASE WHEN doc_id % 2 = 0 THEN 'alien' ELSE '' END AS unknown_types FROM l GROUP BY doc_id""")
+def answer_quality(t):
+    """Soft counts over whole texts in twelve nested items, invalid ones included."""
+    size = F.ceil(F.length("text") / F.lit(float(_LEVELS))).cast("int")
+    kind = F.when(F.col("doc_id") % 2 == 0, "alien").otherwise("person")
+    item = lambda acc, n: F.concat(
+        F.lit("["), F.regexp_replace(F.to_json(F.struct(F.substring(F.col("text"), (n * size + 1).cast("int"), size).alias("title"), F.lit("c").alias("content"), F.array(F.struct(kind.alias("type"), F.lit("n").alias("name"))).alias("entities"))), r"\}\z", ""),
+        F.lit(',"is_valid":'), ((F.col("doc_id") + n) % 9 != 0).cast("string"), F.lit(',"references":'), F.when((F.col("doc_id") + n) % 5 == 0, "[]").otherwise("[1]"), F.lit(',"children":'), acc, F.lit('},{"title":"leaf"}]'),
+    )
+    nested = F.aggregate(F.sequence(F.lit(_LEVELS - 1), F.lit(0)), F.lit("[]"), item)
+    out = jsonx.answer_quality(t.documents.select("doc_id", nested.alias("j")), "doc_id", "j", ["person", "place"])
+    return out.withColumn("unknown_types", F.array_join("unknown_types", ","))
+
+
 _PARENT = "CASE WHEN doc_id % 40 = 0 THEN NULL WHEN doc_id % 40 = 39 THEN -1 - doc_id WHEN doc_id % 40 < 25 THEN doc_id - 1 ELSE doc_id - doc_id % 40 + (doc_id % 40) // 2 END"
 
 

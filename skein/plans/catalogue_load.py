@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from skein import providers
 from skein.api import Engine
 from skein.functions import jsonx, mend
-from skein.operators import extraction
+from skein.operators import extraction, vectors
 from skein.operators.lineage import folder
-from skein.plans.catalogue import query
+from skein.plans import search
+from skein.plans.catalogue import _COS, _KNN, _qv, _v, query
 from skein.sources import tables
 from skein.sources.replace import ArticleStore
 from skein.streaming import incremental
 
 
-@query("""SELECT doc_id, 'doc ' || doc_id AS title, text AS content, 3 AS keywords, doc_id % 9 <> 0 AS mended, NULL::VARCHAR AS error FROM documents WHERE doc_id % 9 <> 8
+@query("""SELECT doc_id, 'doc ' || doc_id AS title, text AS content, 3 AS keywords, doc_id % 9 <> 0 AND (doc_id % 9 <> 7 OR contains(text, chr(10))) AS mended, NULL::VARCHAR AS error FROM documents WHERE doc_id % 9 <> 8
     UNION ALL SELECT doc_id, NULL, NULL, NULL, true, 'no JSON' FROM documents WHERE doc_id % 9 = 8""")
 def llm_json_mended(t):
     """Whole texts as a model's answers, damaged in eight ways: what is read is what was meant."""
@@ -118,3 +119,63 @@ def engine_stages(t):
     engine = Engine(t.spark)
     engine.load(t.documents.select("doc_id", F.concat(F.lit("# doc "), "doc_id", F.lit("\n"), "text").alias("text")), "heading_strict")
     return engine.usage().select("stage", "rows", "tokens")
+
+
+# ---- answers, documents and results
+
+@query("""SELECT l_orderkey AS event_id, '{"event_id":' || l_orderkey || ',"title":"order ' || l_orderkey || '","entity_ids":[' || array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') || ']' || CASE WHEN any_value(o_orderstatus) = 'F' THEN ',"category":"F"' ELSE '' END
+    || CASE WHEN l_orderkey % 3 = 0 THEN ',"keywords":["a","' || any_value(o_orderpriority) || '"]' ELSE '' END || '}' AS document FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_orderkey""")
+def event_document_fields(t):
+    """Category only where it isn't empty, keywords only where there are some, tags never."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("entity_id"))
+    words = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.col("o_orderpriority"))).otherwise(F.array().cast("array<string>"))
+    events = t.orders.select(
+        F.col("o_orderkey").alias("event_id"), F.concat(F.lit("order "), "o_orderkey").alias("title"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("").alias("category"), words.alias("keywords"), F.lit(None).cast("string").alias("tags")
+    ).join(lines.select("event_id").distinct(), "event_id", "left_semi")
+    return extraction.event_document_json(events, lines, ["title"], ["category", "keywords", "tags"])
+
+
+@query("""SELECT p_brand AS source, '{"type":"object","properties":{"type":{"type":"string"' || CASE WHEN count(x) = 0 THEN '' ELSE ',"enum":[' || string_agg(DISTINCT '"' || x || '"', ',' ORDER BY '"' || x || '"') || ']' END
+    || '},"name":{"type":"string"},"description":{"type":"string"}},"required":["type","name"]}' AS schema FROM (SELECT p_brand, CASE WHEN p_brand <> 'Brand#11' THEN p_type END AS x FROM part) GROUP BY p_brand""")
+def answer_schema_types(t):
+    """Each brand's part types as its entity types; one has none."""
+    return extraction.answer_schemas(t.part.select(F.col("p_brand").alias("source"), F.when(F.col("p_brand") != "Brand#11", F.col("p_type")).alias("type")))
+
+
+@query("""SELECT doc_id, md5(CASE doc_id % 5 WHEN 0 THEN concat_ws('|', text, CASE WHEN text <> 'x' THEN 'x' END) WHEN 1 THEN concat_ws('|', text, CASE WHEN text <> 'b' THEN 'b' END) WHEN 2 THEN 'r|x' WHEN 3 THEN concat_ws('|', nullif(text, ''), 'p', 't') ELSE 'x' END) AS answers FROM documents""")
+def gold_answer_families(t):
+    """Whole texts as answers in each family of fields."""
+    text = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    part = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    kind = F.col("doc_id") % 5
+    sample = (
+        F.when(kind == 0, part('{"answer":', text, ',"reference":"no","answer_aliases":["x","x"]}')).when(kind == 1, part('{"gold_ans":[', text, ',"b"],"obj":"no"}'))
+        .when(kind == 2, '{"reference":"r","obj":"no","answer_aliases":["x"]}').when(kind == 3, part('{"obj":', text, ',"possible_answers":["p","p"],"o_wiki_title":"t","o_aliases":""}')).otherwise('{"question":"q","answer_aliases":["x"]}')
+    )
+    return t.documents.select("doc_id", F.md5(F.array_join(jsonx.gold_answers_of(sample), "|")).alias("answers"))
+
+
+@query(f"""WITH k AS ({_KNN.format(s=_COS, w="")}), c AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY length(text) DESC, rank) AS pos FROM k JOIN documents ON doc_id = id)
+    SELECT qid, cast(pos AS INTEGER) AS pos, id AS event_id, score FROM c WHERE pos <= 4""")
+def rerank_by_provider(t):
+    """A provider that puts longer texts first, shown the ten nearest documents of each query."""
+    longest = lambda texts: sorted(range(len(texts)), key=lambda i: -len(texts[i])) + [99, 0]
+    near = vectors.knn(_qv(t), _v(t), 10).select("qid", F.col("rank").alias("pos"), F.col("id").alias("event_id"), "score")
+    return search.reranker(longest)(near, t.documents.select(F.col("doc_id").alias("event_id"), F.col("text").alias("content")), 4)
+
+
+@query(f"""WITH k AS ({_KNN.format(s=_COS, w="")}) SELECT qid, 'vector' AS strategy, 10 AS count, 0 AS reranked, string_agg(rank || ':' || id, ',' ORDER BY rank) AS sections FROM k GROUP BY qid""")
+def search_envelope(t):
+    """The result of the vector strategy as one row for each query."""
+    config = search.SearchConfig("vector")
+    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    none = t.embeddings.limit(0)
+    corpus = search.Corpus(entities=none, events=none, edges=none, chunks=chunks)
+    out = search.envelope(search.search(_qv(t), none, corpus, config), _qv(t), config)
+    return out.withColumn("sections", F.array_join(F.transform("sections", lambda s: F.concat(s["pos"].cast("string"), F.lit(":"), s["chunk_id"].cast("string"))), ","))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ORDER BY p_retailprice, p_partkey LIMIT 100")
+def entities_by_ids_limited(t):
+    wanted = t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return tables.by_ids(t.part, wanted, "p_partkey", "p_retailprice", most=100).select("p_partkey")

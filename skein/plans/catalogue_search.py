@@ -277,8 +277,9 @@ _INDEXED = "g AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY doc)
 
 
 def _indexed(t):
-    gold = _gold(t).withColumn("idx", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).withColumn("doc", F.col("doc") % 7)
-    return _pred(t).withColumn("doc", F.col("doc") % 7), gold
+    found = _gold(t)
+    gold = found.withColumn("idx", F.row_number().over(Window.partitionBy("qid").orderBy("doc"))).withColumn("doc", F.col("doc") % 7)
+    return _pred(t, found).withColumn("doc", F.col("doc") % 7), gold
 
 
 def _gold_pred_sql() -> str:
@@ -298,6 +299,30 @@ def recall_table(t):
     return metrics.recall_table(*_indexed(t), [1, 3, 8]).withColumn("without", F.array_join(F.col("without").cast("array<string>"), ","))
 
 
+@query(_gold_pred_sql() + """, n AS (SELECT item_id AS qid FROM benchmark), f AS (SELECT DISTINCT qid, doc, (SELECT min(pos) FROM p WHERE p.qid = g.qid AND p.doc = g.doc) AS first FROM g),
+    r AS (SELECT n.qid, k, coalesce(count(*) FILTER (WHERE first <= k) / nullif(count(doc), 0)::DOUBLE, 0) AS recall FROM n LEFT JOIN f USING (qid), (VALUES (1), (5), (10), (20)) v(k) GROUP BY ALL)
+    SELECT k, round(avg(recall), 4) AS recall FROM r GROUP BY k""")
+def pooled_recall(t):
+    pred, gold = _indexed(t)
+    return metrics.pooled_recall(pred, gold, t.benchmark.select(F.col("item_id").alias("qid")), [1, 5, 10, 20])
+
+
+@query(_gold_pred_sql() + """, w AS (SELECT qid, count(*) AS n FROM g GROUP BY qid), h AS (SELECT qid, count(*) AS hits FROM p WHERE EXISTS (SELECT 1 FROM g WHERE g.qid = p.qid AND g.doc = p.doc) GROUP BY qid)
+    SELECT CASE WHEN coalesce(hits, 0) = 0 THEN 'zero' WHEN hits < n THEN 'partial' ELSE 'full' END AS class, count(*) AS n FROM w LEFT JOIN h USING (qid) GROUP BY 1""")
+def recall_hit_classes(t):
+    return metrics.hit_classes(*_indexed(t))
+
+
+@query(_gold_pred_sql() + """, m AS (SELECT least((SELECT max(qid) FROM p), (SELECT max(qid) FROM g WHERE qid < 30)) AS q), f AS (SELECT g.qid, idx, (SELECT min(pos) FROM p WHERE p.qid = g.qid AND p.doc = g.doc) AS first FROM g, m WHERE g.qid < 30 AND g.qid <= q),
+    r AS (SELECT qid, k, count(*) FILTER (WHERE first <= k) / count(*)::DOUBLE AS recall FROM f, (VALUES (1), (2), (5), (10)) v(k) GROUP BY ALL)
+    SELECT k, round(avg(recall), 6) AS mean_recall, count(*) FILTER (WHERE recall >= 1) AS "full", count(*) FILTER (WHERE recall > 0 AND recall < 1) AS partial, count(*) FILTER (WHERE recall = 0) AS zero FROM r GROUP BY k""")
+def recall_truncated(t):
+    """Both sides cut to the shorter one's questions: here the gold side ends at 30."""
+    pred, gold = _indexed(t)
+    pred, gold = metrics.truncate_pairs(pred, gold.filter("qid < 30"))
+    return metrics.recall_table(pred, gold, [1, 2, 5, 10]).drop("without")
+
+
 @query("SELECT count(*) AS chunks, (SELECT count(*) FROM lineitem) AS events, round((SELECT count(*) FROM lineitem) / count(*)::DOUBLE, 2) AS events_per_chunk FROM orders")
 def stage_stats(t):
     return metrics.stage_stats(t.orders, t.lineitem)

@@ -113,6 +113,17 @@ def reranker(choose: Callable[[list[str]], list[int]], column: str = "content"):
     return rerank
 
 
+def envelope(results: DataFrame, queries: DataFrame, config: SearchConfig) -> DataFrame:
+    """One row for each query: qid, strategy, count, reranked, sections array<struct<pos, chunk_id, weight>> in order (max_sections at most).
+
+    reranked counts the sections that come by events; a query without results has none.
+    """
+    parts = results.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "weight"))).alias("sections"), F.count_if(F.col("src") == 0).alias("reranked"))
+    x = queries.select("qid").join(parts, "qid", "left")
+    sections = F.coalesce("sections", F.array().cast(parts.schema["sections"].dataType))
+    return x.select("qid", F.lit(config.strategy).alias("strategy"), F.size(sections).alias("count"), F.coalesce("reranked", F.lit(0)).alias("reranked"), sections.alias("sections"))
+
+
 def recall_channels(by_entity: DataFrame, by_title: DataFrame) -> DataFrame:
     """Two channels of (qid, event_id, score): the title's score overrides the entities' 0, since it is at least the threshold."""
     return by_entity.unionByName(by_title).groupBy("qid", "event_id").agg(F.max("score").alias("score"))

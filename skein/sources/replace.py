@@ -83,13 +83,7 @@ class ArticleStore:
                     kept = kept.unionByName(marked)
                 rows = kept.unionByName(fresh).withColumn("_bucket", self._bucket(F.col("article_id")))
                 root = f"{self.path}/{name}/{stage}"
-                seen = Observation(f"{name}-{stage}")
-                rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(root)
-                # all rows that reached the writer, against what a reader finds
-                back = self.spark.read.schema(f"{self.tables[name]}, _bucket int").parquet(root).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-                found = {r["_bucket"]: r["n"] for r in back}
-                if sum(found.values()) != seen.get["n"]:
-                    raise ReplaceError(f"{name}: {seen.get['n']} rows written, {sum(found.values())} read back")
+                found = {} if rows.isEmpty() else self._stage(rows, name, root)
                 for b in touched:
                     following[name].pop(str(b), None)
                 following[name] |= {str(b): f"{root}/_bucket={b}" for b in found}
@@ -102,6 +96,16 @@ class ArticleStore:
             raise
         return written
 
+    def _stage(self, rows: DataFrame, name: str, root: str) -> dict[int, int]:
+        """Writes rows by bucket and gives the rows that a reader finds in each; all that reached the writer must be there."""
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(root)
+        back = self.spark.read.schema(f"{self.tables[name]}, _bucket int").parquet(root).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+        found = {r["_bucket"]: r["n"] for r in back}
+        if sum(found.values()) != seen.get["n"]:
+            raise ReplaceError(f"{name}: {seen.get['n']} rows written, {sum(found.values())} read back")
+        return found
+
     def _switch(self, version: int, manifest: dict) -> None:
         draft, fs = self._fs(f"{self.path}/manifests/.{uuid.uuid4().hex}")
         out = fs.create(draft)

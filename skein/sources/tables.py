@@ -27,6 +27,16 @@ def create_tables(spark: SparkSession) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
 
 
+def verify_tables(spark: SparkSession) -> DataFrame:
+    """(table, missing): the columns that each table of SCHEMAS lacks in the session's catalogue; all of them if the table isn't there."""
+    rows = []
+    for name, columns in SCHEMAS.items():
+        wanted = [c.split(" ")[0] for c in columns.split(", ")]
+        there = set(spark.table(name).columns) if spark.catalog.tableExists(name) else set()
+        rows.append((name, [c for c in wanted if c not in there]))
+    return spark.createDataFrame(rows, "table string, missing array<string>")
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Whole Markdown files with their path; other suffixes are not read."""
     return spark.read.option("pathGlobFilter", "*.{md,markdown}").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -54,8 +64,14 @@ def latest_snapshot(snapshots: DataFrame, key: list[str], stamp: str = "stamp",
     return snapshots.groupBy(*key).agg(F.max_by(path, stamp).alias(path), F.max(stamp).alias(stamp))
 
 
-def by_ids(table: DataFrame, ids: DataFrame, key: str, rank: str) -> DataFrame:
-    return table.join(ids, key, "left_semi").orderBy(rank)
+def by_ids(table: DataFrame, ids: DataFrame, key: str, rank: str, most: int | None = None) -> DataFrame:
+    """The rows of the ids in the order of rank, at most ``most`` of them (ENTITY_LIMIT and LINK_LIMIT are the stores' own)."""
+    found = table.join(ids, key, "left_semi").orderBy(rank, key)
+    return found if most is None else found.limit(most)
+
+
+# fixed values: how many entities and associations a lookup by ids gives at most
+ENTITY_LIMIT, LINK_LIMIT = 5000, 3000
 
 
 def markdown_pages(corpus: DataFrame, each: int = 500) -> DataFrame:
@@ -78,13 +94,14 @@ def routed(df: DataFrame, source: str, key: str, rows_each: int = 1_000_000) ->
 
 
 def write_index(df: DataFrame, path: str, partition: str = "source_config_id", key: str = "id", rows_each: int = 1_000_000) -> None:
-    """Appends df in folders by source and shard: reads of one source or one shard prune the others, and no task writes much over rows_each rows."""
-    routed(df, partition, key, rows_each).repartition(partition, "shard").write.mode("append").partitionBy(partition, "shard").parquet(path)
+    """Appends df in folders by source, so reads of some sources prune the others; a large source's shards go to several tasks, and no file has over rows_each rows."""
+    rows = routed(df, partition, key, rows_each).repartition(partition, "shard").drop("shard")
+    rows.write.mode("append").option("maxRecordsPerFile", rows_each).partitionBy(partition).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, sources: list, partition: str = "source_config_id") -> DataFrame:
     """The rows of some sources; the scan lists their folders only."""
-    return spark.read.parquet(path).filter(F.col(partition).isin(sources)).drop("shard")
+    return spark.read.parquet(path).filter(F.col(partition).isin(sources))
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from skein.plans import catalogue, catalogue_search  # noqa: F401  the second adds to the first
+from skein.plans import catalogue, catalogue_index, catalogue_load, catalogue_search  # noqa: F401  the others add to the first
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = sorted(catalogue.SQL)
