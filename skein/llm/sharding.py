@@ -21,10 +21,10 @@ def interleave_shards(
     docs: DataFrame, shards: int = 24, seed: int = 11, buckets: int = 4096,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """doc_id, source, size, text_crc32, law, shard, slot, grown_shard: one row for each input row.
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, source: one row for each input row.
 
-    Null sources are one more stratum; a null text has size 8 and crc32 0; a null doc_id is hashed as a value
-    of its own. Rows with equal doc_id and text are alike, so any order of theirs gives the same result. Equal texts of
+    Null sources are one more stratum; a null text has size 8 and crc32 0. The seeded order is by doc_id (null is a value of its
+    own) and the text's crc32, so rows that share a doc_id are spread too. Rows with equal doc_id and text are alike, so any order of theirs gives the same result. Equal texts of
     different ids are rows like any others under this law: they may lie in different shards. A text may have any length.
     An empty table gives an empty result. Other columns are not read, whatever their names.
     """
@@ -36,7 +36,7 @@ def interleave_shards(
         F.col(source).alias("source"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-    ).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    ).withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text_crc32"))))
     # the first 8 hex digits are uniform over 2^32; a range of them is one bucket
     rows = rows.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(2**32)).cast("int"))
 
@@ -63,7 +63,7 @@ def interleave_shards(
     # exact integers: the first place of shard s is ceil(s * n / shards)
     shard = F.expr(f"cast(((_place - 1) * {shards}) div _all as int)")
     return rows.withColumn("shard", shard).select(
-        "doc_id", "source", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
         (F.col("_place") - 1 - F.expr(f"(cast(shard as bigint) * _all + {shards} - 1) div {shards}")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), "source",
     )

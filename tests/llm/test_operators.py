@@ -287,7 +287,8 @@ def test_shards_by_brute_force(docs, rows):
     from fractions import Fraction
 
     sources = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
-    order = sorted(sources, key=lambda d: hashlib.md5(f"11:{d}".encode()).hexdigest())
+    text = dict(rows)
+    order = sorted(sources, key=lambda d: hashlib.md5(f"11:{d}:{zlib.crc32((text[d] or '').encode())}".encode()).hexdigest())
     size, rank, place = {}, {}, []
     for d in order:
         size[sources[d]] = rank[d] = size.get(sources[d], 0) + 1
@@ -297,6 +298,18 @@ def test_shards_by_brute_force(docs, rows):
     assert {r.doc_id: (r.shard, r.slot) for r in sharding.interleave_shards(docs, shards=shards, buckets=8).collect()} == want
 
 
+def test_shards_null_and_repeated_ids(spark):
+    """The contract's columns in its order; rows without an id, and many of one id, are spread like others."""
+    full = [(None, f"t{i}", "a") for i in range(40)] + [(7, f"u{i}", "b") for i in range(40)] + [(7, "same", None)] * 3
+    got = sharding.interleave_shards(spark.createDataFrame(full, "doc_id long, text string, source string"), shards=4, buckets=16)
+    assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    table = got.toPandas()
+    counts = table.groupby("shard").size()
+    assert len(table) == 83 and counts.max() - counts.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in table.groupby("shard"))
+    mix = table[table.doc_id.isna()].groupby("shard").size()
+    assert mix.max() - mix.min() <= 1
+
+
 def test_network_by_brute_force():
     """Logits by plain loops, and the step's gradient against differences."""
     rng = np.random.default_rng(3)
