@@ -16,7 +16,7 @@ from tests.llm import brute
 CONVERSATIONS = "conv_id long, turn long, role string, text string, key string, piece int, mark int"
 
 
-def conversations(seed, n=40, longest=14):
+def conversations(seed, n=25, longest=12):
     rng = random.Random(seed)
     out = []
     for conv in range(n):
@@ -39,7 +39,7 @@ def repair(spark, rows, **options):
     return {r.conv_id: tuple(r)[1:] for r in conversation_repair.conversation_digests(pieces).collect()}, pieces
 
 
-@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"piece_rows": 1, "partitions": 9}), (3, {"piece_rows": 3, "piece_bytes": 60, "partitions": 40}), (4, {"partitions": 1, "piece_rows": 2})])
+@pytest.mark.parametrize("seed, options", [(1, {}), (2, {"piece_rows": 1, "partitions": 9}), (3, {"piece_rows": 3, "piece_bytes": 60, "partitions": 20})])
 def test_repair(spark, seed, options):
     rows = conversations(seed)
     want = expected(rows)

