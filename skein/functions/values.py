@@ -193,9 +193,13 @@ def stated_raw(name: Column, value: Column, unit: Column, kind: Column) -> Colum
 
 
 def stated_or_parsed(name: Column, kind: Column, value: Column, unit: Column, labels: list[str] | None = None) -> list[Column]:
-    """Typed columns: a valid type that a model states comes first (confidence 0.90), else the name is parsed. ``value_source`` says which."""
+    """Typed columns: a valid type that a model states comes first (confidence 0.90), else the name is parsed. ``value_source`` says which.
+
+    A stated number is read as a number before it is read as anything else, so 1970 to 2099 are no years then.
+    """
     stated = F.coalesce(kind.isin("text", "int", "float", "datetime", "bool", "enum"), F.lit(False))
     read = parse_value(F.when(stated, value).otherwise(name), labels=labels)
+    read = F.coalesce(F.when(kind.isin("int", "float") & (F.trim(value) != ""), parse_number(value)), read)
     out = {c: typed for c, typed in zip(TYPED, typed_columns(read))}
     out["value_type"] = F.when(stated, kind).otherwise(out["value_type"])
     out["value_raw"] = F.when(stated, stated_raw(name, value, unit, kind)).otherwise(out["value_raw"])
