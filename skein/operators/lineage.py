@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,6 +19,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def numbered(df: DataFrame, *keys: str, name: str = "n", partitions: int | None = None) -> DataFrame:
+    """df with dense numbers from 0 in the order of its keys: sorted ranges, each begun at the count of the rows before it."""
+    ranges = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(partitions, *keys)
+    x = cut(ranges.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.expr("shiftright(_at, 33)")
+    starts, total = [], 0
+    for r in sorted(x.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).collect()):
+        starts.append((r["part"], total))
+        total += r["rows"]
+    spark = df.sparkSession
+    x = x.withColumn("part", part).join(F.broadcast(spark.createDataFrame(starts, "part long, start long")), "part")
+    return x.withColumn(name, F.col("start") + F.expr("_at & 8589934591")).drop("part", "start", "_at")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; only a local session that doesn't set it gets a temporary one."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

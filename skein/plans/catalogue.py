@@ -236,7 +236,7 @@ def _v(t):
 def _wanted(t):
     """A seventh of all vectors for each query."""
     q = t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.expr("vec_id div 50 % 7").alias("m"))
-    return q.join(t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("m")), "m").select("qid", "id")
+    return t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 7).alias("m")).join(F.broadcast(q), "m").select("qid", "id")
 
 
 @query(_KNN.format(s=_COS, w=""))
@@ -285,7 +285,7 @@ def entity_recall_first_seen(t):
 
 @query(f"SELECT qid, id, score, cast(rank AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, v.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.vec_id % 7 = q.vec_id // 50 % 7) WHERE rank <= 15")
 def coarse_rank_candidates(t):
-    return vectors.top_k(vectors.score_ids(_qv(t), _v(t), _wanted(t)), 15).select("qid", "id", "score", "rank")
+    return vectors.top_k(vectors.score_ids(_qv(t), _v(t), _wanted(t), 15), 15).select("qid", "id", "score", "rank")
 
 
 # ---- graph
