@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import graph, vectors
+from skein.operators import graph, masks, vectors
 from skein.operators.lineage import cut
 
 
@@ -145,8 +145,14 @@ def recall_entities(query_entities: DataFrame, entities: DataFrame, k: int, leas
 
 def rank_events(queries: DataFrame, candidates: DataFrame, events: DataFrame, vector: str, most: int) -> DataFrame:
     """Cosine of candidate events (qid, event_id) only."""
-    x = candidates.select("qid", F.col("event_id").alias("id")).distinct()
-    return vectors.top_k(vectors.score_ids(queries, events.select(F.col("event_id").alias("id"), F.col(vector).alias("v")), x), most)
+    known = cut(masks.numbers(queries))
+    return rank_masks(queries, known, masks.pack(candidates, known, "event_id"), events, vector, most)
+
+
+def rank_masks(queries: DataFrame, known: DataFrame, candidates: DataFrame, events: DataFrame, vector: str, most: int) -> DataFrame:
+    """rank_events for candidates in bits (id, word, mask)."""
+    stored = events.select(F.col("event_id").alias("id"), F.col(vector).alias("v"))
+    return vectors.top_k(vectors.score_masks(queries, known, stored, candidates, most), most)
 
 
 def search(queries: DataFrame, query_entities: DataFrame, corpus: Corpus, config: SearchConfig = SearchConfig(), rerank: Callable[[DataFrame, DataFrame, int], DataFrame] = rerank_by_score) -> DataFrame:
@@ -164,18 +170,20 @@ def search(queries: DataFrame, query_entities: DataFrame, corpus: Corpus, config
     titles = corpus.events.select(F.col("event_id").alias("id"), F.col("title_vector").alias("v"))
     by_title = vectors.knn(queries, titles, config.event_top_k).filter(vectors.score_from_cosine(F.col("score"), config.scaled) >= config.event_threshold).select("qid", F.col("id").alias("event_id"), "score")
     start = cut(recall_channels(by_entity, by_title).select("qid", "event_id"))
+    # the expansion goes by bits: its rows are nodes with the queries that reach them
+    known = cut(masks.numbers(queries))
+    seeds, start = cut(masks.pack(seeds, known, "entity_id")), cut(masks.pack(start, known, "event_id"))
     hops = config.max_hops if config.strategy in ("multi", "atomic") else 1
-    gained, _ = graph.expand(seeds, start, corpus.edges, hops) if hops else (start.filter(F.lit(False)).withColumn("hop", F.lit(0)), seeds)
-    eventset = cut(start.union(gained.select("qid", "event_id")).distinct())
+    gained = masks.expand(seeds, start, corpus.edges, hops)
+    eventset = cut(masks.union(start, gained))
     vector = "title_vector" if config.strategy == "atomic" else "content_vector"
-    ranked = rank_events(queries, eventset, corpus.events, vector, config.max_events_a if config.strategy == "hopllm" else config.max_events)
+    ranked = rank_masks(queries, known, eventset, corpus.events, vector, config.max_events_a if config.strategy == "hopllm" else config.max_events)
     if config.strategy in ("multi1", "hopllm") and config.max_events_b:
         ranked = cut(ranked)
-        origin = gained.select("qid", "event_id") if config.strategy == "multi1" else ranked.select("qid", F.col("id").alias("event_id"))
-        seeds_b = cut(graph.event_entities(origin, corpus.edges))
-        second = graph.phase_b(seeds_b, eventset, corpus.edges, config.max_events_b, config.max_hop_retries)
-        second = cut(second)
-        ranked = graph.dual_phase(ranked.select("qid", "id", "score"), rank_events(queries, second, corpus.events, vector, config.max_events_b).select("qid", "id", "score"))
+        origin = gained if config.strategy == "multi1" else masks.pack(ranked.select("qid", "id"), known, "id")
+        seeds_b = cut(masks.step(origin, corpus.edges, "event_id", "entity_id"))
+        second = cut(masks.phase_b(seeds_b, eventset, corpus.edges, config.max_events_b, config.max_hop_retries))
+        ranked = graph.dual_phase(ranked.select("qid", "id", "score"), rank_masks(queries, known, second, corpus.events, vector, config.max_events_b).select("qid", "id", "score"))
     else:
         ranked = ranked.withColumn("pos", F.col("rank"))
     chosen = rerank(ranked.select("qid", "pos", F.col("id").alias("event_id"), "score"), corpus.events, config.rerank_top_k)
