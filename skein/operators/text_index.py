@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.fulltext import words
-from skein.operators.lineage import folder, stored
+from skein.operators.fulltext import answers, grouped, words
+from skein.operators.lineage import folder, numbered as in_order, stored
 
 RANGE = 1024
 BLOCKS = "term string, field string, range long, n int, impact double, data binary"
@@ -97,15 +97,13 @@ def _pack(means: dict[str, float], k1: float, b: float, size: int):
 def build_text_index(docs: DataFrame, path: str, key: str, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75, rows_each: int = RANGE, partitions: int | None = None) -> None:
     """Writes below path: rows (row, key), terms (field, term, df), totals and blocks. Fields are columns of docs; null counts as empty.
 
-    Keys should be unique; of rows with one key each is a row. An empty table gives an empty index. ``partitions`` fixes how many tasks number
-    the rows (numbers are dense within a task).
+    Keys should be unique; of rows with one key each is a row. An empty table gives an empty index. Row numbers are dense, in the order of the
+    keys, whatever the number of tasks; ``partitions`` fixes it.
     """
     fields = list(boosts)
     spark = docs.sparkSession
-    by_key = docs.select(F.col(key).alias("key"), *fields)
-    by_key = by_key.repartitionByRange("key") if partitions is None else by_key.repartitionByRange(partitions, "key")
-    numbered = by_key.sortWithinPartitions("key").withColumn("row", F.monotonically_increasing_id())
-    numbered = stored(numbered.select("row", "key", *(words(f).alias(f) for f in fields)), f"{path}/words")
+    by_key = in_order(docs.select(F.col(key).alias("key"), *fields), "key", name="row", partitions=partitions)
+    numbered = stored(by_key.select("row", "key", *(words(f).alias(f) for f in fields)), f"{path}/words")
     means = numbered.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.size(f)).alias(f) for f in fields)).first()
     spark.createDataFrame([(f, float(boosts[f]), means["n"], float(means[f] or 1.0), k1, b, rows_each) for f in fields], "field string, boost double, n long, mean double, k1 double, b double, rows_each int").coalesce(1).write.parquet(f"{path}/totals")
     numbered.select("row", "key").write.parquet(f"{path}/rows")
@@ -158,15 +156,15 @@ def _score(k: int, k1: float, b: float, means: dict[str, float], boosts: dict[st
 def search_text_index(spark: SparkSession, path: str, queries: DataFrame, k: int, counts: list[DataFrame] | None = None) -> DataFrame:
     """qid, doc, score, rank: the k best rows of each query (qid, term), equal scores by key; the best boosted field decides.
 
-    Each distinct term of a query counts once; null terms and terms that don't occur count nothing. ``counts``, if given, gets a DataFrame
+    Queries with the same terms are searched together. Each distinct term of a query counts once; null terms and terms that don't occur count nothing. ``counts``, if given, gets a DataFrame
     (qid, blocks, opened): the postings blocks of the query's terms and how many of them were read.
     """
     totals = spark.read.parquet(f"{path}/totals").collect()
     means, boosts = {x["field"]: x["mean"] for x in totals}, {x["field"]: x["boost"] for x in totals}
     n, k1, b, size = (totals[0][x] for x in ("n", "k1", "b", "rows_each"))
-    kind = queries.schema["qid"].dataType.simpleString()
+    kind = "string"
     work = folder(spark, "text-search")
-    asked = queries.select("qid", "term").filter("term IS NOT NULL").distinct()
+    members, asked = grouped(queries)
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     known = stored(asked.join(spark.read.parquet(f"{path}/terms"), "term").select("qid", "term", "field", idf.alias("idf")), f"{work}/asked")
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -193,6 +191,6 @@ def search_text_index(spark: SparkSession, path: str, queries: DataFrame, k: int
     rest = stored(rest.select("qid", "range", "blocks"), f"{work}/rest")
     if counts is not None:
         read = first.select("qid", "blocks").unionByName(rest.select("qid", "blocks")).groupBy("qid").agg(F.sum("blocks").alias("opened"))
-        counts.append(bound.groupBy("qid").agg(F.sum("blocks").alias("blocks")).join(read, "qid"))
+        counts.append(answers(bound.groupBy("qid").agg(F.sum("blocks").alias("blocks")).join(read, "qid"), members))
     found = start.unionByName(scored(rest)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.join(spark.read.parquet(f"{path}/rows"), "row").select("qid", F.col("key").alias("doc"), "score", "rank")
+    return answers(found.join(spark.read.parquet(f"{path}/rows"), "row").select("qid", F.col("key").alias("doc"), "score", "rank"), members)
