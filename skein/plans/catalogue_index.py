@@ -91,9 +91,9 @@ def entity_name_match_indexed(t):
 @query(f"""WITH q AS ({_ASKED}), w AS (SELECT doc_id, {_W.format("text")} AS w FROM documents), r AS (SELECT w, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS r FROM w)
     SELECT qid, count(*) AS blocks, true AS some_skipped FROM q JOIN (SELECT DISTINCT r, unnest(w) AS term FROM r) USING (term) GROUP BY qid""")
 def text_index_blocks(t):
-    """How many postings blocks a query's terms have, and that the search didn't open more. Row numbers are dense only in one partition, so the index is built in one."""
+    """How many postings blocks a query's terms have, and that the search didn't open more."""
     path, counts = folder(t.spark, "text"), []
-    text_index.build_text_index(t.documents.select("doc_id", "text"), path, "doc_id", {"text": 1.0}, rows_each=64, partitions=1)
+    text_index.build_text_index(t.documents.select("doc_id", "text"), path, "doc_id", {"text": 1.0}, rows_each=64)
     text_index.search_text_index(t.spark, path, _terms(t), 10, counts)
     return counts[0].select("qid", "blocks", (F.col("opened") <= F.col("blocks")).alias("some_skipped"))
 
