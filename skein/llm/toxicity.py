@@ -1,13 +1,15 @@
 """Toxicity: a convolutional text classifier, trained in numpy, with thresholds calibrated by language.
 
 A word's embedding is the sum of a row from each of two hashed tables, so one chance collision doesn't make a word look
-like another, and one channel more: the word's evidence, the log-odds of toxic texts among the sample's texts that have it,
+like another, and one channel more: the word's evidence, the log-odds of toxic texts among the labelled texts that have it,
 shrunk towards nothing by how few they are. Filters of several widths slide over the embeddings of the whole text; each filter's
 maximum enters a logistic layer. Scoring folds each filter into the tables, so a word costs a few table reads whatever its text's length.
 
-Training takes a bounded sample of labelled rows, with their whole texts: in the order of their doc_ids' hashes, at most
-``sample_each`` of either label and ``sample_bytes`` of their texts. The language that picks a threshold is guessed from the
-words; the sample's lang column teaches that guess, and no row's own lang reaches its score.
+Every labelled row trains. The rows lie in shards of bounded size; in each round the tasks train on their shards, from the same
+network, and the changes are averaged, a table's row by how often each shard moved it. Counts of words are sums over all rows.
+The rows fall into PARTS by their ids' hashes: a row's evidence comes from the other parts, as a new text's would, and the last part
+trains nothing and sets the thresholds. The language that picks a threshold is guessed from the words; the labelled rows' lang
+teaches that guess, and no row's own lang reaches its score.
 """
 
 from __future__ import annotations
@@ -15,15 +17,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, Scratch, Words, configure, text_blocks, tidy
+from .common import BROADCAST_ROWS, TERM_GAPS, U64, Scratch, Words, configure, text_blocks, tidy
 
 BITS = 16
 WIDTHS = (1, 2, 3)
+PARTS = 5  # of the labelled rows; the last one calibrates
+SHARD_TEXTS, SHARD_BYTES = 8192, 64 << 20  # of a shard that trains at once: texts, and bytes of their words' hashes
+BATCH_WORDS = 100_000  # of a step's texts, if they are more than one
+SLICE = 4096  # rows of a table that move together
+LANGUAGES = 64  # thresholds of their own: the most frequent languages
+HELD_WORDS = 1 << 20  # with evidence; of more, those in most toxic texts
 
 
 def word_rows(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +62,19 @@ class Evidence:
             value = np.log(q / (1 - q)) - np.log(share / (1 - share))
             held = value >= least
             self.words, self.value = seen[held], value[held].astype(np.float32)
+        self._mark()
+
+    @classmethod
+    def known(cls, words: np.ndarray, values: list[np.ndarray]) -> list["Evidence"]:
+        """One for each array of values, over the same sorted words."""
+        out = [cls([], np.zeros(0)) for _ in values]
+        out[0].words = words
+        out[0]._mark()
+        for x, value in zip(out, values):
+            x.words, x.value, x.there = words, value, out[0].there
+        return out
+
+    def _mark(self) -> None:
         # a bit for each hash's low bits tells nearly all other words apart before the search
         self.there = np.zeros(1 << 20, bool)
         self.there[self.words & U64((1 << 20) - 1)] = True
@@ -81,6 +103,7 @@ class Network:
         self.out[::filters] = 0.5
         self.shift = np.float32(-2.0)
         self.moments: dict = {}
+        self.moved = [np.zeros(1 << BITS, np.int32) for _ in range(2)]  # how often each row of a table was moved
 
     def pooled(self, one, two, evidence, first):
         """Each filter's maximum over each text, and where it was found. Texts shorter than a filter pool to 0."""
@@ -129,6 +152,7 @@ class Network:
             used, inverse = np.unique(index[rows], return_inverse=True)
             d = np.zeros((len(used), parts.shape[1]), np.float32)
             np.add.at(d, inverse, parts)
+            self.moved[t][used] += 1
             self._adam(("tables", t), self.tables[t], d + 1e-5 * self.tables[t][used], rate, used)
         for name, k, d in grads:
             if name == "shift":
@@ -145,6 +169,45 @@ class Network:
         v[at] = 0.99 * v[at] + 0.01 * grad * grad
         value[at] -= rate * m[at] / (np.sqrt(v[at]) + 1e-7)
 
+    def copy(self) -> "Network":
+        """The same values, with moments and counts begun anew."""
+        out = Network.__new__(Network)
+        out.tables, out.filters, out.bias = ([x.copy() for x in xs] for xs in (self.tables, self.filters, self.bias))
+        out.out, out.shift, out.moments, out.moved = self.out.copy(), self.shift, {}, [np.zeros_like(m) for m in self.moved]
+        return out
+
+    def dense(self) -> np.ndarray:
+        return np.concatenate([*(x.ravel() for x in (*self.filters, *self.bias)), self.out, [self.shift]]).astype(np.float32)
+
+    def changes(self, start: "Network", shard: int, texts: int) -> pa.RecordBatch:
+        """What training changed, as slices (of the first table, the second, all else), each change times its weight."""
+        change, weight = [], []
+        for mine, old, moved in zip(self.tables, start.tables, self.moved):
+            for lo in range(0, len(mine), SLICE):
+                n = moved[lo : lo + SLICE].astype(np.float32)
+                change.append(((mine[lo : lo + SLICE] - old[lo : lo + SLICE]) * n[:, None]).astype("<f4").tobytes())
+                weight.append(n.astype("<f4").tobytes())
+        change.append(((self.dense() - start.dense()) * texts).astype("<f4").tobytes())
+        weight.append(np.array([texts], "<f4").tobytes())
+        k = len(change)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(k), pa.int32()), pa.array([shard] * k, pa.int32()), pa.array([texts] * k, pa.int64()), pa.array(change, pa.binary()), pa.array(weight, pa.binary())],
+            ["slice", "shard", "texts", "change", "weight"],
+        )
+
+    def apply(self, at: int, change: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the mean change of a slice."""
+        each = (1 << BITS) // SLICE
+        if at < 2 * each:
+            table, lo = self.tables[at // each], at % each * SLICE
+            table[lo : lo + SLICE] += (change.reshape(SLICE, -1) / np.maximum(weight, 1)[:, None]).astype(np.float32)
+            return
+        mean, lo = (change / weight[0]).astype(np.float32), 0
+        for x in (*self.filters, *self.bias, self.out):
+            x += mean[lo : lo + x.size].reshape(x.shape)
+            lo += x.size
+        self.shift = np.float32(self.shift + mean[lo])
+
     def folded(self) -> list:
         """For each width and place in the filter, both tables times the filter, and what it makes of evidence."""
         return [[[*(t @ f[j, :-1] for t in self.tables), f[j, -1]] for j in range(w)] for w, f in zip(WIDTHS, self.filters)]
@@ -216,104 +279,248 @@ def sample_ids(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic
     return picked
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", lang: str = "lang", doc_id: str = "doc_id", sample_each: int = 2500, sample_bytes: int = 16 << 20, steps: int = 750, few: float = 10.0, shrink: float = 20.0, seed: int = 5) -> dict:
-    """Trains on a sample of either label (see sample_ids) in ``steps`` batches of 64; a fifth of it calibrates the thresholds.
+def labelled_words(docs: DataFrame, labels: DataFrame, text: str, toxic: str, lang: str, doc_id: str) -> DataFrame:
+    """(toxic, lang, words, _order, part) of every row with a text and a label; words: the hashes of the whole text."""
+    marks = labels.filter(F.col(toxic).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(toxic) > 0).cast("int").alias("toxic")).distinct()
+    small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("text is not null")
+    known = known.join(F.broadcast(marks) if small else marks, "_id").select("toxic", "lang", "text", F.xxhash64("_id").alias("_order"))
+    hashed = known.mapInArrow(tidy(_hash_words), "toxic int, lang string, words binary, _order long")
+    return hashed.withColumn("part", F.pmod("_order", F.lit(PARTS)).cast("int"))
+
+
+def _texts(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, part, n, k): texts, and toxic ones, of a part that have a word; summed in blocks of some million words."""
+    kept: list[list[np.ndarray]] = [[] for _ in range(2 * PARTS)]
+    size = 0
+
+    def flush():
+        for part in range(PARTS):
+            clean, bad = (np.concatenate(kept[2 * part + y] or [np.zeros(0, "<u8")]) for y in (0, 1))
+            seen, place = np.unique(np.concatenate([clean, bad]), return_inverse=True)
+            if len(seen):
+                n = np.bincount(place, minlength=len(seen))
+                k = np.bincount(place[len(clean) :], minlength=len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.full(len(seen), part, np.int32)), pa.array(n), pa.array(k)], ["word", "part", "n", "k"])
+            kept[2 * part], kept[2 * part + 1] = [], []
+
+    for batch in batches:
+        for w, y, part in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            kept[2 * part + y].append(np.unique(w))
+            size += len(kept[2 * part + y][-1])
+            if size > 2_000_000:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def learn_evidence(rows: DataFrame, texts: np.ndarray, bad: np.ndarray, prior: float = 2.0, least: float = 0.5) -> list[Evidence]:
+    """The evidence from all parts, and for each part the one its texts see: of the training parts without itself.
 
-    Rows with a null label or text are no examples; of rows that share a doc_id one is. Without examples of both labels
-    every score is the share of toxic ones. A word in n texts of the sample moves its embedding by n / (n + few) of a step; a
-    language's own threshold, against the common one, counts c / (c + shrink), where c texts of its rarer label calibrate it.
+    texts, bad: the parts' texts, and toxic ones. Words whose evidence is below ``least`` count 0, as in Evidence.
     """
-    configure(docs.sparkSession)
-    chosen = sample_ids(docs, labels, doc_id, text, toxic, sample_each, sample_bytes)  # at most 2 x sample_each ids
-    kind = docs.schema[doc_id].dataType.simpleString()
-    ids = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"_id {kind}, toxic int"))
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("text is not null")
-    known = known.join(ids, "_id").select("toxic", "lang", "text", F.xxhash64("_id").alias("_order"))
-    hashed = known.mapInArrow(_hash_words, "toxic int, lang string, words binary, _order long")
-    single = hashed.groupBy("_order", "toxic").agg(F.min(F.struct("words", "lang")).alias("x")).select("toxic", "_order", "x.words", "x.lang")
-    picked = sorted(single.collect(), key=lambda r: (-r["toxic"], r["_order"]))  # bounded by sample_bytes
-    return train_toxicity(picked, steps, few, shrink, seed)
-
-
-def train_toxicity(picked: list, steps: int, few: float, shrink: float, seed: int) -> dict:
-    """The model from the sample's rows (toxic, _order, words, lang)."""
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(picked))
-    picked = [picked[i] for i in order]
-    y = np.array([r["toxic"] for r in picked], np.float32)
-    words = [np.frombuffer(r["words"], "<u8") for r in picked]  # the collected bytes, not copied
-    langs = sorted({r["lang"] for r in picked if r["lang"] is not None}) or ["und"]
+    counts = rows.select("words", "toxic", "part").mapInArrow(tidy(_count_words), "word long, part int, n long, k long")
+    of = lambda c, j: F.sum(F.when(F.col("part") == j, F.col(c)).otherwise(0)).alias(f"{c}{j}")
+    counts = counts.groupBy("word").agg(*(of(c, j) for c in "nk" for j in range(PARTS)))
+    seen = [list(range(PARTS)), *([i for i in range(PARTS - 1) if i != j] for j in range(PARTS))]
+    values = []
+    for parts in seen:
+        total, toxic = int(texts[parts].sum()), int(bad[parts].sum())
+        if not 0 < toxic < total:
+            values.append(F.lit(0.0))
+            continue
+        share = toxic / total
+        n, k = (sum((F.col(f"{c}{i}") for i in parts), F.lit(0)) for c in "nk")
+        q = (k + prior * share) / (n + prior)
+        value = F.log(q / (1 - q)) - float(np.log(share / (1 - share)))
+        values.append(F.when(value >= least, value).otherwise(0.0))
+    held = counts.select("word", sum(F.col(f"k{j}") for j in range(PARTS)).alias("k"), *(v.cast("float").alias(f"v{i}") for i, v in enumerate(values)))
+    held = held.filter(F.greatest(*(f"v{i}" for i in range(len(values)))) > 0).orderBy(F.desc("k"), "word").limit(HELD_WORDS)
+    got = held.select("word", *(f"v{i}" for i in range(len(values)))).toArrow()  # HELD_WORDS at most
+    words = got.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return Evidence.known(words[order], [got.column(f"v{i}").to_numpy()[order] for i in range(len(values))])
+
+
+def learn_languages(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The LANGUAGES most frequent languages, and the logarithm of each one's shares of the hashed words."""
+    langs = sorted(r["lang"] for r in rows.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()) or ["und"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(langs), 1 << BITS), np.int64)
+        place = {x: i for i, x in enumerate(langs)}
+        for batch in batches:
+            for w, lang in zip(_texts(batch.column(0)), batch.column(1).to_pylist()):
+                if lang in place:
+                    np.add.at(total[place[lang]], word_rows(w)[0], 1)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["lang", "row", "n"])
+
+    got = rows.select("words", "lang").mapInArrow(tidy(count), "lang int, row int, n long").groupBy("lang", "row").agg(F.sum("n").alias("n")).toArrow()
     guess = np.full((1 << BITS, len(langs)), 0.1)
-    for r, w in zip(picked, words):
-        if r["lang"] is not None:
-            np.add.at(guess[:, langs.index(r["lang"])], word_rows(w)[0], 1)
-    model = {"langs": langs, "guess": np.log(guess / guess.sum(axis=0)).astype(np.float32), "network": None, "evidence": None, "thresholds": np.zeros(len(langs)), "prior": float(y.mean()) if len(y) else 0.0}
-    if not 0 < y.sum() < len(y):
+    guess[got.column("row").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
+    return langs, np.log(guess / guess.sum(axis=0)).astype(np.float32)
+
+
+def _train(shared, steps: int, begun: int, total: int, few: float, balance: float, seed: int):
+    """``steps`` batches of 64 on each shard of the task's rows (shard, toxic, words, part), of which ``begun`` out of ``total`` are done.
+
+    For each shard its changes: slices of the tables' rows, each times how often it moved, and the filters and the logistic layer.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, evidence = shared.value
+        for shard, y, words, part in _shards(batches):
+            network = start.copy()
+            rng = np.random.default_rng([seed, begun, shard])
+            proof = [evidence[p + 1].of(w) for p, w in zip(part, words)]
+            seen, texts = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+            order, at = rng.permutation(len(y)), 0
+            for step in range(steps):
+                index, size = [], 0
+                if at >= len(order):
+                    order, at = rng.permutation(len(y)), 0
+                while at < len(order) and len(index) < 64 and (not index or size + len(words[order[at]]) <= BATCH_WORDS):
+                    index.append(order[at])
+                    size += len(words[order[at]])
+                    at += 1
+                h = np.concatenate([words[i] for i in index])
+                number = texts[np.searchsorted(seen, h)]
+                one, two = word_rows(h)
+                first = np.concatenate([[0], np.cumsum([len(words[i]) for i in index])])
+                weight = np.where(y[index] > 0, balance, 1.0).astype(np.float32)
+                network.step(one, two, np.concatenate([proof[i] for i in index]), first, y[index], weight, 0.01 * (1 - (begun + step) / total) + 0.001, (number / (number + few)).astype(np.float32))
+            yield network.changes(start, shard, len(y))
+
+    return train
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The runs of rows of one shard: its number, labels, words, parts."""
+    shard, y, words, part = None, [], [], []
+    for batch in batches:
+        for s, t, w, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if s != shard and y:
+                yield shard, np.array(y, np.float32), words, part
+                y, words, part = [], [], []
+            shard = s
+            y.append(t)
+            words.append(np.frombuffer(w, "<u8"))
+            part.append(p)
+    if y:
+        yield shard, np.array(y, np.float32), words, part
+
+
+def _merge(group: pd.DataFrame) -> pd.DataFrame:
+    """The sums of the shards' changes and weights, in the shards' order."""
+    group = group.sort_values(["shard", "texts"])
+    change, weight = (sum(np.frombuffer(x, "<f4").astype(np.float64) for x in group[c]) for c in ("change", "weight"))
+    return pd.DataFrame({"slice": group["slice"][:1], "change": [change.tobytes()], "weight": [weight.tobytes()]})
+
+
+def train_network(rows: DataFrame, shards: int, evidence: list[Evidence], balance: float, steps: int, rounds: int, few: float, seed: int) -> Network:
+    """rows (shard, toxic, words, part): the network after ``rounds`` rounds (one, if there is a single shard) of ``steps`` batches a shard in all."""
+    network, rounds = Network(seed=seed), rounds if shards > 1 else 1
+    each = -(-steps // rounds)
+    for turn in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast((network, evidence))
+        run = tidy(_train(shared, each, turn * each, rounds * each, few, balance, seed))
+        moved = rows.select("shard", "toxic", "words", "part").mapInArrow(run, "slice int, shard int, texts long, change binary, weight binary")
+        network = network.copy()
+        for r in moved.groupBy("slice").applyInPandas(_merge, "slice int, change binary, weight binary").collect():  # the network's size, twice
+            network.apply(r["slice"], np.frombuffer(r["change"], "<f8"), np.frombuffer(r["weight"], "<f8"))
+        shared.destroy()
+    return network
+
+
+def _margins(shared):
+    """(place of the guessed language, toxic, z: the logit in hundredths) of rows (toxic, words, part)."""
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network, evidence, guess = shared.value
+        folded = network.folded()
+        for batch in batches:
+            words = _texts(batch.column(1))
+            lo = 0
+            while lo < len(words):
+                hi, size = lo + 1, len(words[lo])
+                while hi < len(words) and size + len(words[hi]) <= BATCH_WORDS:
+                    size += len(words[hi])
+                    hi += 1
+                h, first = np.concatenate(words[lo:hi]), np.concatenate([[0], np.cumsum([len(w) for w in words[lo:hi]])])
+                proof = np.concatenate([evidence[p + 1].of(w) for p, w in zip(batch.column(2).slice(lo, hi - lo).to_pylist(), words[lo:hi])])
+                one, two = word_rows(h)
+                z = np.clip(logits(network, folded, one, two, proof, first), -300, 300)
+                yield pa.RecordBatch.from_arrays([pa.array(guess_languages(guess, one, first).astype(np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(np.round(100 * z).astype(np.int32))], ["place", "toxic", "z"])
+                lo = hi
+
+    return margins
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", lang: str = "lang", doc_id: str = "doc_id", steps: int = 750, rounds: int = 3, few: float = 10.0, shrink: float = 20.0, seed: int = 5) -> dict:
+    """Trains on every labelled row outside the calibrating part, and calibrates the thresholds on all rows of that part.
+
+    Rows with a null label or text are no examples. Without examples of both labels every score is the share of toxic ones. A single
+    shard trains in ``steps`` batches of 64; several in 410 at least (four times through a shard), in ``rounds`` rounds. A word in n texts of
+    a shard moves its embedding by n / (n + few) of a step; a language's own threshold, against the common one, counts
+    c / (c + shrink), where c texts of its rarer label calibrate it.
+    """
+    spark = docs.sparkSession
+    configure(spark)
+    scratch = Scratch(spark)
+    rows = scratch.stash(labelled_words(docs, labels, text, toxic, lang, doc_id), "labelled")
+    sizes = {(r["part"], r["toxic"]): (r["n"], r["bytes"] or 0) for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).collect()}
+    size = np.array([[sizes.get((j, y), (0, 0))[0] for y in (0, 1)] for j in range(PARTS)])
+    langs, guess = learn_languages(rows)
+    model = {"langs": langs, "guess": guess, "network": None, "evidence": None, "thresholds": np.zeros(len(langs)), "prior": float(size[:, 1].sum() / max(1, size.sum()))}
+    learn = size[:-1].sum(axis=0)
+    if not learn.all():  # so few examples that a part decides: all train, and all calibrate
+        rows = rows.withColumn("part", F.lit(0))
+        size = np.vstack([size.sum(axis=0), np.zeros((PARTS - 1, 2), int)])
+        learn = size[0]
+    if not learn.all():
+        scratch.drop("labelled")
         return model
-    network, n = Network(seed=seed), len(y)
-    train, held = np.arange(n)[: max(1, n * 4 // 5)], np.arange(n)[n * 4 // 5 :]
-    sets = [np.unique(w) for w in words]
-    seen, texts = np.unique(np.concatenate([sets[i] for i in train]), return_counts=True)
-
-    # in training a text's evidence comes from the other parts of the sample, as a new text's would
-    parts = 5
-    part = np.arange(n) % parts
-    evidence = [np.zeros(0, np.float32)] * n
-    for j in range(parts):
-        others = train[part[train] != j]
-        source = Evidence([sets[i] for i in others], y[others])
-        for i in train[part[train] == j].tolist():
-            evidence[i] = source.of(words[i])
-    source = Evidence([sets[i] for i in train], y[train])
-    for i in held.tolist():
-        evidence[i] = source.of(words[i])
-
-    def gather(index):
-        one, two = word_rows(np.concatenate([words[i] for i in index]))
-        return one, two, np.concatenate([evidence[i] for i in index]), np.concatenate([[0], np.cumsum([len(words[i]) for i in index])])
-
-    weight = np.where(y > 0, np.sqrt(max(1.0, (1 - y[train]).sum() / max(1, y[train].sum()))), 1.0).astype(np.float32)
-    at = len(train)
-    for step in range(steps):
-        if at >= len(train):
-            rng.shuffle(train)
-            at = 0
-        index = train[at : at + 64]
-        at += 64
-        number = texts[np.searchsorted(seen, np.concatenate([words[i] for i in index]))]
-        trust = (number / (number + few)).astype(np.float32)
-        network.step(*gather(index), y[index], weight[index], 0.01 * (1 - step / steps) + 0.001, trust)
-    model["network"], model["evidence"] = network, Evidence(sets, y)
+    evidence = learn_evidence(rows, size.sum(axis=1), size[:, 1])
+    shards = max(-(-int(learn.sum()) // SHARD_TEXTS), -(-sum(b for (_, b) in sizes.values()) // SHARD_BYTES))
+    train = rows.filter(F.col("part") < PARTS - 1).repartition(shards, "_order").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("_order", "toxic", "words")
+    train = scratch.stash(train.select("shard", "toxic", "words", "part"), "shards")
+    balance = float(np.sqrt(max(1.0, learn[0] / learn[1])))
+    network = train_network(train, shards, evidence, balance, steps if shards == 1 else max(410, steps // shards), rounds, few, seed)
     network.moments = {}
-    folded = network.folded()
-    for index in (held, train):  # the training texts calibrate only if the held ones lack a label
-        if not 0 < y[index].sum() < len(index):
-            continue
-        z, group = np.zeros(len(index)), np.zeros(len(index), np.int64)
-        for lo in range(0, len(index), 64):  # in blocks, for the driver's memory
-            one, two, proof, first = gather(index[lo : lo + 64])
-            z[lo : lo + 64], group[lo : lo + 64] = logits(network, folded, one, two, proof, first), guess_languages(model["guess"], one, first)
-        model["common"] = best_threshold(z, y[index])
-        model["thresholds"][:] = model["common"]
-        for j in range(len(langs)):
-            mine = group == j
-            both = min(y[index][mine].sum(), (1 - y[index][mine]).sum())
-            if both:  # a language's own threshold counts by how many texts of its rarer label speak for it
-                model["thresholds"][j] += both / (both + shrink) * (best_threshold(z[mine], y[index][mine]) - model["common"])
-        break
+    model["network"], model["evidence"] = network, evidence[0]
+    # the training texts calibrate only if the held ones lack a label
+    held = rows.filter(F.col("part") == PARTS - 1) if size[-1].all() else rows.filter(F.col("part") < PARTS - 1)
+    shared = spark.sparkContext.broadcast((network, evidence, guess))
+    margins = held.select("toxic", "words", "part").mapInArrow(tidy(_margins(shared)), "place int, toxic int, z int").groupBy("place", "toxic", "z").count().toArrow()
+    shared.destroy()
+    place, y, z, n = (margins.column(c).to_numpy() for c in ("place", "toxic", "z", "count"))
+    model["common"] = best_threshold(z / 100, y, n)
+    model["thresholds"][:] = model["common"]
+    for j in range(len(langs)):
+        mine = place == j
+        both = min(n[mine & (y == 1)].sum(), n[mine & (y == 0)].sum())
+        if both:  # a language's own threshold counts by how many texts of its rarer label speak for it
+            model["thresholds"][j] += both / (both + shrink) * (best_threshold(z[mine] / 100, y[mine], n[mine]) - model["common"])
+    scratch.drop("labelled", "shards")
     return model
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
     """The logit with the least cost, where a share of clean rows called toxic costs three times a share of toxic ones missed.
 
-    Of equal ones, the middle of the widest range.
+    Of equal ones, the middle of the widest range. n: how many rows each stands for.
     """
     order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
+    z, y, n = z[order], y[order], np.ones(len(z)) if n is None else n[order]
     # rows below the cut are called clean
-    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    wrong = (len(y) - y.sum() - np.concatenate([[0], np.cumsum(1 - y)])) / max(1, len(y) - y.sum())
+    bad, good = y * n, (1 - y) * n
+    missed = np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum())
+    wrong = (good.sum() - np.concatenate([[0], np.cumsum(good)])) / max(1, good.sum())
     cost = missed + 3 * wrong
     ends = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
     gap = ends[1:] - ends[:-1]
