@@ -2,8 +2,9 @@
 
 Terms (lower-case runs of letters and digits) are hashed; passages are runs of terms. The inverse document frequencies
 count all passages of all documents. A randomised SVD of TF-IDF passages gives the latent space: those of the benchmark, and
-those of a hash sample of about ``fit_documents`` corpus documents, whose rows together weigh CORPUS_SHARE of the benchmark's,
-so that the corpus' co-occurrences shape the space and don't crowd the benchmark out. Sketches are summed per feature over
+those of all documents, whose rows together weigh CORPUS_SHARE of the benchmark's, so that the corpus' co-occurrences shape the
+space and don't crowd the benchmark out. One scan sums the documents' co-occurrences by pairs of the benchmark's features, if these
+are MOMENTS at most; else each turn of the SVD scans the documents. Sketches are summed per feature over
 the tasks, with power iterations; the singular values and vectors are those of the last sketch. Only features that the
 benchmark has get coordinates, since others cannot bring a text nearer to it.
 
@@ -35,6 +36,8 @@ RUN = 5  # equal terms in a row that count as found by themselves
 SEARCH_BYTES = 1 << 17  # of text whose terms get their latent coordinates at once
 SHORT = 8  # items of fewer terms are looked up whole
 CORPUS_SHARE = 0.1  # of the benchmark's weight in the latent space
+MOMENTS = 4096  # features whose co-occurrences a task sums as a matrix
+LEAST_BYTES, MOMENT_BYTES = 32 << 20, 256 << 20  # of text for each such task: at least, and if there are more tasks than cores
 
 
 def features(h: np.ndarray) -> np.ndarray:
@@ -48,8 +51,8 @@ def cut_passages(n: int, size: int = PASSAGE) -> list[tuple[int, int]]:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many runs of WINDOW terms each feature occurs in, packed in slices, the runs, and the texts with a term."""
-    total, runs, texts = np.zeros(1 << BITS, np.int64), 0, 0
+    """How many runs of WINDOW terms each feature occurs in, packed in slices, and the runs."""
+    total, runs = np.zeros(1 << BITS, np.int64), 0
     for batch in batches:
         for _, _, data, at in text_blocks(batch.column(0)):
             words = Words(data, at, lower=True, gaps=TERM_GAPS)
@@ -61,15 +64,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
             total += np.bincount(keyed & (1 << BITS) - 1, minlength=1 << BITS)
             runs += int(many.sum())
-            texts += int((count > 0).sum())
     cut = [total[i : i + SLICE].astype("<i8").tobytes() for i in range(0, len(total), SLICE)]
     n = len(cut)
-    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(cut, pa.binary()), pa.array([runs] + [0] * (n - 1)), pa.array([texts] + [0] * (n - 1))], ["slice", "counts", "runs", "texts"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(cut, pa.binary()), pa.array([runs] + [0] * (n - 1))], ["slice", "counts", "runs"])
 
 
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, "<i8") for x in group["counts"])
-    return pd.DataFrame({"slice": group["slice"][:1], "counts": [np.asarray(total, "<i8").tobytes()], "runs": [group["runs"].sum()], "texts": [group["texts"].sum()]})
+    return pd.DataFrame({"slice": group["slice"][:1], "counts": [np.asarray(total, "<i8").tobytes()], "runs": [group["runs"].sum()]})
 
 
 def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _cut_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, at in text_blocks(batch.column(0)):
             words = Words(data, at, lower=True, gaps=TERM_GAPS)
@@ -102,6 +104,67 @@ def _cut_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary())], ["terms"])
 
 
+def _co_occurrences(shared):
+    """The sum of a a' over the texts' passages a (TF-IDF, unit length), for the benchmark's features: rows of T, where T + T' is that sum.
+
+    The row of place -1 holds the number of passages.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, place = shared.value
+        n, passages = len(weights), 0
+        total = np.zeros(n * n, np.float32)
+        for batch in batches:
+            for _, _, data, ends in text_blocks(batch.column(0)):
+                words = Words(data, ends, lower=True, gaps=TERM_GAPS)
+                count = np.diff(words.first)
+                many = -(-count // PASSAGE)
+                nth = np.arange(len(words.hash)) - np.repeat(words.first[:-1], count)
+                # the cuts of cut_passages: part i of p begins at n * i // p
+                parts, size = np.repeat(many, count), np.repeat(count, count)
+                row = np.repeat(np.cumsum(many) - many, count) + ((nth + 1) * parts - 1) // np.maximum(size, 1)
+                at = place[features(words.hash)]
+                known = np.flatnonzero(at >= 0)
+                at, row = at[known], row[known]
+                passages += int(many.sum())
+                if not len(at):
+                    continue
+                w = weights[at]
+                w = (w / np.sqrt(np.bincount(row, w * w))[row]).astype(np.float32)
+                np.add.at(total, at * n + at, w * w / 2)
+                for gap in range(1, PASSAGE):
+                    pair = np.flatnonzero(row[gap:] == row[:-gap])
+                    if not len(pair):
+                        break
+                    np.add.at(total, at[pair] * n + at[pair + gap], w[pair] * w[pair + gap])
+        used = np.flatnonzero(total.reshape(n, n).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([passages], "<f8").tobytes()], pa.binary())], ["at", "part"])
+        for lo in range(0, len(used), 64):
+            rows = [total[i * n : (i + 1) * n].astype("<f4").tobytes() for i in used[lo : lo + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(used[lo : lo + 64].astype(np.int32)), pa.array(rows, pa.binary())], ["at", "part"])
+
+    return scan
+
+
+def _times(shared, rank: int):
+    """(T + T') times the basis, times the shared weight, of rows (at, part) of T; see _co_occurrences."""
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, basis = shared.value
+        total = np.zeros((len(basis), rank))
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row = np.frombuffer(part, "<f4").astype(np.float64)
+                total[at] += row @ basis
+                some = np.flatnonzero(row)
+                total[some] += row[some, None] * basis[at]
+        total *= weight
+        used = np.flatnonzero(np.abs(total).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].astype("<f8").tobytes() for i in used], pa.binary())], ["at", "part"])
+
+    return times
+
+
 def _sketch(shared, rank: int):
     """One half step of the randomised SVD: the sum over passages a of weight * a (a . basis), for the basis' features."""
 
@@ -138,17 +201,33 @@ def _add(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": group["at"][:1], "part": [np.asarray(total, "<f8").tobytes()]})
 
 
-def latent_space(passages: DataFrame, weights: np.ndarray, place: np.ndarray, rank: int, power: int = 2, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The passages' (terms, weight) leading singular values and right singular vectors (features x rank), by randomised SVD."""
+def _add_rows(group: pd.DataFrame) -> pd.DataFrame:
+    """The sum of rows of T; that of place -1 is a number of passages."""
+    kind = "<f8" if group["at"].iloc[0] < 0 else "<f4"
+    total = sum(np.frombuffer(x, kind).astype(np.float64) for x in group["part"])
+    return pd.DataFrame({"at": group["at"][:1], "part": [total.astype(kind).tobytes()]})
+
+
+def latent_space(passages: DataFrame, weights: np.ndarray, place: np.ndarray, rank: int, power: int = 2, seed: int = 3, moments: tuple[DataFrame, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The passages' (terms, weight) leading singular values and right singular vectors (features x rank), by randomised SVD.
+
+    moments: the co-occurrences (at, part) of further passages and the weight of each of these.
+    """
     context = passages.sparkSession.sparkContext
     basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weights), rank)))
     for turn in range(power + 1):
         shared = context.broadcast((weights, place, basis))  # features x rank, 2^BITS x rank at most
-        parts = passages.select("terms", "weight").mapInArrow(_sketch(shared, rank), "at int, part binary").groupBy("at").applyInPandas(_add, "at int, part binary").collect()
+        parts = passages.select("terms", "weight").mapInArrow(_sketch(shared, rank), "at int, part binary")
+        if moments is not None:
+            further = context.broadcast((moments[1], basis))
+            parts = parts.union(moments[0].mapInArrow(_times(further, rank), "at int, part binary"))
+        parts = parts.groupBy("at").applyInPandas(_add, "at int, part binary").collect()
         total = np.zeros_like(basis)
         for r in parts:
             total[r["at"]] = np.frombuffer(r["part"], "<f8")
         shared.destroy()
+        if moments is not None:
+            further.destroy()
         if turn < power:
             basis, _ = np.linalg.qr(total + 1e-9 * basis)
     # total = A'A Q: the eigenvectors of Q'A'A Q turn Q into the singular vectors
@@ -347,7 +426,7 @@ PAIR = "text_hash long, item_id long, passages int, found long, cosine double, l
 
 def contaminated_texts(
     docs: DataFrame, benchmark: DataFrame, rank: int = 160, similarity: float = 0.3, lcs: float = 0.7, answers: float = 0.5, share: float = 0.5,
-    fit_documents: int = 2000, block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    block: int = 4096, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """doc_id, text_hash, item_id, passages (of the item), found (in the document), cosine, lcs, answers (the best), covered: contaminated pairs only.
 
@@ -355,7 +434,7 @@ def contaminated_texts(
     passages found or of terms found is at least ``share``; an item of fewer than SHORT terms, if they stand in a row.
     Null texts have no terms, and items without terms are in no document. Rows with a null or repeated doc_id are told
     apart by their texts. Empty tables give an empty result. Texts of any length are searched whole; other columns are not
-    read. fit_documents bounds the corpus sample that shapes the latent space; frequencies and search cover everything.
+    read. The frequencies, the latent space and the search cover everything.
     """
     spark = docs.sparkSession
     configure(spark)
@@ -370,9 +449,9 @@ def contaminated_texts(
     short = _contaminated_by_short(texts, items, scratch, kind)
     if not total:
         return short
-    packed = "slice int, counts binary, runs long, texts long"
+    packed = "slice int, counts binary, runs long"
     slices = texts.select("text").mapInArrow(tidy(_frequencies), packed).groupBy("slice").applyInPandas(_sum, packed).collect()  # 2^BITS numbers
-    runs, written = (max(1, sum(r[c] for r in slices)) for c in ("runs", "texts"))
+    runs = max(1, sum(r["runs"] for r in slices))
     frequency = np.zeros(1 << BITS, np.int64)
     for r in slices:
         frequency[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<i8")
@@ -384,14 +463,23 @@ def contaminated_texts(
     own = np.array(sorted(has), np.int64)
     place = np.full(1 << BITS, -1, np.int64)
     place[own] = np.arange(len(own))
-    most = int(min(1.0, fit_documents / written) * (2**31 - 1))
-    some = texts.filter("text is not null").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**31 - 1)) < most).select("text").mapInArrow(_cut_sample, "terms binary")
-    some = scratch.stash(some, "sample")
-    weight = CORPUS_SHARE * total / max(1, some.count())
-    fit = passages.select("terms", F.lit(1.0).alias("weight")).union(some.select("terms", F.lit(weight)))
     rank = min(rank, len(own))
-    _, space = latent_space(fit, idf[own], place, rank)
-    scratch.drop("sample")
+    fit, moments = passages.select("terms", F.lit(1.0).alias("weight")), None
+    if len(own) <= MOMENTS:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), size // MOMENT_BYTES)
+        shared = spark.sparkContext.broadcast((idf[own], place))
+        summed = texts.select("text").coalesce(tasks).mapInArrow(tidy(_co_occurrences(shared)), "at int, part binary").groupBy("at").applyInPandas(_add_rows, "at int, part binary")
+        summed = scratch.stash(summed, "moments")
+        shared.destroy()
+        there = sum(np.frombuffer(r["part"], "<f8")[0] for r in summed.filter("at = -1").collect())
+        moments = (summed.filter("at >= 0"), CORPUS_SHARE * total / max(1.0, there))
+    else:
+        some = texts.select("text").mapInArrow(tidy(_cut_texts), "terms binary")
+        fit = fit.union(some.select("terms", F.lit(CORPUS_SHARE * total / max(1, some.count()))))
+    _, space = latent_space(fit, idf[own], place, rank, moments=moments)
+    if moments is not None:
+        scratch.drop("moments")
     shared_space = (idf[own, None] * space).astype(np.float32)
 
     found = None
