@@ -73,8 +73,8 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.path = f"{root.rstrip('/')}/skein-{uuid.uuid4().hex}"
 
-    def stash(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def stash(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        df.write.options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

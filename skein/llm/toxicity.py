@@ -46,7 +46,15 @@ def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(data, at, lower=True, gaps=TERM_GAPS)
             raw = words.hash.astype("<u8").tobytes()
             out = pa.array([raw[8 * a : 8 * b] for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), out, batch.column(3).slice(lo, hi - lo)], ["toxic", "lang", "words", "_order"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), out, *(batch.column(i).slice(lo, hi - lo) for i in (3, 4))], ["toxic", "lang", "words", "_order", "shard"])
+
+
+def _hash_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that _hash_words makes of each text, without hashing."""
+    for batch in batches:
+        for lo, hi, data, at in text_blocks(batch.column(1)):
+            first = Words(data, at, hashed=False, gaps=TERM_GAPS).first
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(8 * np.diff(first))], ["_id", "bytes"])
 
 
 class Evidence:
@@ -279,14 +287,47 @@ def sample_ids(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic
     return picked
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, text: str, toxic: str, lang: str, doc_id: str) -> DataFrame:
-    """(toxic, lang, words, _order, part) of every row with a text and a label; words: the hashes of the whole text."""
-    marks = labels.filter(F.col(toxic).isNotNull()).select(F.col(doc_id).alias("_id"), (F.col(toxic) > 0).cast("int").alias("toxic")).distinct()
-    small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("text is not null")
-    known = known.join(F.broadcast(marks) if small else marks, "_id").select("toxic", "lang", "text", F.xxhash64("_id").alias("_order"))
-    hashed = known.mapInArrow(tidy(_hash_words), "toxic int, lang string, words binary, _order long")
-    return hashed.withColumn("part", F.pmod("_order", F.lit(PARTS)).cast("int"))
+class Labelled:
+    """The rows of docs with a text and a label. What they come to is counted before anything is stored, so that they are stored once, in their shards."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, text: str, toxic: str, lang: str, doc_id: str):
+        kind = docs.schema[doc_id].dataType  # hashes of another type would differ
+        marks = labels.filter(F.col(toxic).isNotNull()).select(F.col(doc_id).cast(kind).alias("_id"), (F.col(toxic) > 0).cast("int").alias("toxic"))
+        self.marks = marks.filter("_id is not null").distinct()
+        self.small = self.marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        known = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+        self.docs = known.filter("_id is not null and text is not null")
+
+    def sizes(self) -> tuple[np.ndarray, int]:
+        """Rows by part and label, and the bytes of all words' hashes. No text is shuffled."""
+        kind = self.docs.schema["_id"].dataType.simpleString()
+        found = self.docs.select("_id", "text").mapInArrow(tidy(_hash_bytes), f"_id {kind}, bytes long")
+        found = found.join(F.broadcast(self.marks) if self.small else self.marks, "_id").groupBy(_part(F.xxhash64("_id")).alias("part"), "toxic")
+        size, total = np.zeros((PARTS, 2), int), 0
+        for r in found.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect():
+            size[r["part"], r["toxic"]] = r["n"]
+            total += r["bytes"]
+        return size, total
+
+    def words(self, shards: int) -> DataFrame:
+        """(shard, toxic, lang, words, _order, part), a shard in one task, in order; words: the hashes of the whole text.
+
+        Texts are shuffled once, and only labelled ones while their labels can be broadcast; beyond that the join goes by the shards' partitions.
+        """
+        docs, marks = (x.withColumn("_order", F.xxhash64("_id")) for x in (self.docs, self.marks))
+        if self.small:
+            known = docs.join(F.broadcast(self.marks), "_id").repartition(shards, "_order").withColumn("shard", F.spark_partition_id())
+        else:
+            # numbered before the join, or Spark would raise the number of partitions to its own; an equality of ids would shuffle again
+            docs = docs.repartition(shards, "_order").withColumn("shard", F.spark_partition_id())
+            known = docs.join(marks.withColumnRenamed("_id", "_key").repartition(shards, "_order"), "_order").filter("_id <= _key and _id >= _key")
+        hashed = known.select("toxic", "lang", "text", "_order", "shard").mapInArrow(tidy(_hash_words), "toxic int, lang string, words binary, _order long, shard int")
+        hashed = hashed.sortWithinPartitions("_order", "toxic", "words")
+        return hashed.select("shard", "toxic", "lang", "words", "_order", _part(F.col("_order")).alias("part"))
+
+
+def _part(order: Column) -> Column:
+    return F.pmod(order, F.lit(PARTS)).cast("int")
 
 
 def _texts(column: pa.Array) -> list[np.ndarray]:
@@ -472,23 +513,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", toxic:
     spark = docs.sparkSession
     configure(spark)
     scratch = Scratch(spark)
-    rows = scratch.stash(labelled_words(docs, labels, text, toxic, lang, doc_id), "labelled")
-    sizes = {(r["part"], r["toxic"]): (r["n"], r["bytes"] or 0) for r in rows.groupBy("part", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("words")).alias("bytes")).collect()}
-    size = np.array([[sizes.get((j, y), (0, 0))[0] for y in (0, 1)] for j in range(PARTS)])
+    labelled = Labelled(docs, labels, text, toxic, lang, doc_id)
+    size, held = labelled.sizes()
+    learn = size[:-1].sum(axis=0)
+    few_rows = not learn.all()  # so few examples that a part decides: all train, and all calibrate
+    if few_rows:
+        learn = size.sum(axis=0)
+    shards = max(1, -(-int(learn.sum()) // SHARD_TEXTS), -(-held // SHARD_BYTES))
+    rows = scratch.stash(labelled.words(shards), "labelled", compression="zstd")
     langs, guess = learn_languages(rows)
     model = {"langs": langs, "guess": guess, "network": None, "evidence": None, "thresholds": np.zeros(len(langs)), "prior": float(size[:, 1].sum() / max(1, size.sum()))}
-    learn = size[:-1].sum(axis=0)
-    if not learn.all():  # so few examples that a part decides: all train, and all calibrate
+    if few_rows:
         rows = rows.withColumn("part", F.lit(0))
-        size = np.vstack([size.sum(axis=0), np.zeros((PARTS - 1, 2), int)])
-        learn = size[0]
+        size = np.vstack([learn, np.zeros((PARTS - 1, 2), int)])
     if not learn.all():
         scratch.drop("labelled")
         return model
     evidence = learn_evidence(rows, size.sum(axis=1), size[:, 1])
-    shards = max(-(-int(learn.sum()) // SHARD_TEXTS), -(-sum(b for (_, b) in sizes.values()) // SHARD_BYTES))
-    train = rows.filter(F.col("part") < PARTS - 1).repartition(shards, "_order").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("_order", "toxic", "words")
-    train = scratch.stash(train.select("shard", "toxic", "words", "part"), "shards")
+    train = rows.filter(F.col("part") < PARTS - 1)
     balance = float(np.sqrt(max(1.0, learn[0] / learn[1])))
     network = train_network(train, shards, evidence, balance, steps if shards == 1 else max(410, steps // shards), rounds, few, seed)
     network.moments = {}
@@ -506,7 +548,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", toxic:
         both = min(n[mine & (y == 1)].sum(), n[mine & (y == 0)].sum())
         if both:  # a language's own threshold counts by how many texts of its rarer label speak for it
             model["thresholds"][j] += both / (both + shrink) * (best_threshold(z[mine] / 100, y[mine], n[mine]) - model["common"])
-    scratch.drop("labelled", "shards")
+    scratch.drop("labelled")
     return model
 
 
