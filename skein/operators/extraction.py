@@ -163,6 +163,7 @@ def extract_events(chunks: DataFrame, provider, partitions: int | None = None, p
             yield pd.DataFrame(rows, columns=["chunk_id", "event_rank", "title", "content", "entities", "error"]).astype({"event_rank": "Int32"})
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
+    providers.bound_texts(chunks.sparkSession)
     x = chunks.select("chunk_id", "content") if partitions is None else chunks.select("chunk_id", "content").repartition(partitions)
     return x.mapInPandas(run, f"chunk_id {kind}, event_rank int, title string, content string, entities array<string>, error string")
 

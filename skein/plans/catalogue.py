@@ -776,6 +776,7 @@ def _strategy(name: str):
     def run(t):
         q = t.benchmark
         embed = providers.embedder()
+        providers.bound_texts(t.spark)
         names = q.select(F.col("item_id").alias("qid"), F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{5,})"), F.lit(1)))).alias("ord", "name"))
         config = SearchConfig.atomic() if name == "atomic" else SearchConfig(name, max_events_b=50 if name in ("multi1", "hopllm") else 0)
         return search(q.select(F.col("item_id").alias("qid"), embed("text").alias("qv")), names.select("qid", "ord", embed("name").alias("qv")), _corpus(t), config)

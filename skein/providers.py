@@ -11,11 +11,13 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAME = re.compile(r"[A-Z][a-z]{5,}")
+#: Of texts that a worker holds at once.
+TEXT_BYTES = 4 << 20
 
 
 def hash_embedding(text: str | None, dims: int = 64) -> list[float]:
@@ -32,8 +34,16 @@ def hash_embeddings(texts: list[str | None]) -> list[list[float]]:
     return [hash_embedding(x) for x in texts]
 
 
+def bound_texts(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that bring texts to a provider's workers by TEXT_BYTES; a longer text comes alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+
+
 def embedder(embed: Callable[[list[str | None]], list[list[float]]] = hash_embeddings, batch: int = 10, fallback: bool = True):
-    """A pandas UDF over batches of texts. A batch that gives another number of vectors is embedded text by text, or fails without fallback."""
+    """A pandas UDF over batches of texts. A batch that gives another number of vectors is embedded text by text, or fails without fallback.
+
+    A model may answer otherwise when asked again, so Spark doesn't embed a text once to filter by its vector and once more to return it.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
@@ -48,13 +58,14 @@ def embedder(embed: Callable[[list[str | None]], list[list[float]]] = hash_embed
             out += got
         return pd.Series(out, index=texts.index)
 
-    return run
+    return run.asNondeterministic()
 
 
 def query_entities(queries: DataFrame, provider: Callable[[str | None], list[tuple[str, str]]] | None = None) -> DataFrame:
     """queries (qid, question) to the entities a provider names: (qid, ord, type, name)."""
     named = provider or rule_entities
     kind = queries.schema["qid"].dataType.simpleString()
+    bound_texts(queries.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
