@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TERM_GAPS, U64, Scratch, Words, configure, keyed, mix, text_blocks, tidy
+from .common import TERM_GAPS, U64, Scratch, Words, configure, keyed, mix, ragged, text_blocks, tidy
 
 BITS = 18  # features
 SLICE = 4096  # features whose counts move together
@@ -37,6 +37,9 @@ SEARCH_BYTES = 1 << 17  # of text whose terms get their latent coordinates at on
 SHORT = 8  # items of fewer terms are looked up whole
 CORPUS_SHARE = 0.1  # of the benchmark's weight in the latent space
 MOMENTS = 4096  # features whose co-occurrences a task sums as a matrix
+PACK, PACK_ROWS = 64, 16  # features whose rows of a sketch, and of the co-occurrences, move together
+CHECKED = 1 << 14  # near pairs whose terms are counted at once
+SEEN_BYTES = 4 << 20  # of marks for the features of windows
 LEAST_BYTES, MOMENT_BYTES = 32 << 20, 256 << 20  # of text for each such task: at least, and if there are more tasks than cores
 
 
@@ -107,7 +110,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _co_occurrences(shared):
     """The sum of a a' over the texts' passages a (TF-IDF, unit length), for the benchmark's features: rows of T, where T + T' is that sum.
 
-    The row of place -1 holds the number of passages.
+    The rows are packed; see packs. The pack -1 holds the number of passages.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,30 +140,62 @@ def _co_occurrences(shared):
                     if not len(pair):
                         break
                     np.add.at(total, at[pair] * n + at[pair + gap], w[pair] * w[pair + gap])
-        used = np.flatnonzero(total.reshape(n, n).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([passages], "<f8").tobytes()], pa.binary())], ["at", "part"])
-        for lo in range(0, len(used), 64):
-            rows = [total[i * n : (i + 1) * n].astype("<f4").tobytes() for i in used[lo : lo + 64]]
-            yield pa.RecordBatch.from_arrays([pa.array(used[lo : lo + 64].astype(np.int32)), pa.array(rows, pa.binary())], ["at", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([np.array([passages], "<f8").tobytes()], pa.binary())], ["pack", "at", "part"])
+        yield from packs(total.reshape(n, n), PACK_ROWS, "<f4")
 
     return scan
 
 
+def packs(total: np.ndarray, each: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """The rows of total that aren't 0, in packs of the rows below each, 2 each, ...: (pack, the rows' places, the rows)."""
+    used = np.flatnonzero(total.any(axis=1))
+    cuts = np.flatnonzero(np.diff(used // each)) + 1
+    for rows in np.split(used, cuts) if len(used) else ():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows[0] // each], pa.int32()), pa.array([rows.astype("<i4").tobytes()], pa.binary()), pa.array([total[rows].astype(kind).tobytes()], pa.binary())], ["pack", "at", "part"]
+        )
+
+
+def unpack(at: bytes, part: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    at = np.frombuffer(at, "<i4")
+    return at, np.frombuffer(part, kind).reshape(len(at), -1).astype(np.float64)
+
+
+PACKED = "pack int, at binary, part binary"
+
+
+def _add_packs(each: int, kind: str):
+    """The sum of a pack's rows over the tasks. That of the pack -1 is a number of passages."""
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        pack = int(group["pack"].iloc[0])
+        if pack < 0:
+            at, total = b"", sum(np.frombuffer(x, "<f8") for x in group["part"]).astype("<f8").tobytes()
+        else:
+            total, there = None, np.zeros(each, bool)
+            for one, part in zip(group["at"], group["part"]):
+                one, part = unpack(one, part, kind)
+                total = np.zeros((each, part.shape[1])) if total is None else total
+                total[one - pack * each] += part
+                there[one - pack * each] = True
+            at, total = (np.flatnonzero(there) + pack * each).astype("<i4").tobytes(), total[there].astype(kind).tobytes()
+        return pd.DataFrame({"pack": [pack], "at": [at], "part": [total]})
+
+    return add
+
+
 def _times(shared, rank: int):
-    """(T + T') times the basis, times the shared weight, of rows (at, part) of T; see _co_occurrences."""
+    """(T + T') times the basis, times the shared weight, of packed rows of T; see _co_occurrences."""
 
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, basis = shared.value
         total = np.zeros((len(basis), rank))
         for batch in batches:
-            for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                row = np.frombuffer(part, "<f4").astype(np.float64)
-                total[at] += row @ basis
-                some = np.flatnonzero(row)
-                total[some] += row[some, None] * basis[at]
-        total *= weight
-        used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].astype("<f8").tobytes() for i in used], pa.binary())], ["at", "part"])
+            for at, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                at, rows = unpack(at, part, "<f4")
+                total[at] += rows @ basis
+                total += rows.T @ basis[at]
+        yield from packs(total * weight, PACK, "<f8")
 
     return times
 
@@ -190,41 +225,28 @@ def _sketch(shared, rank: int):
                 at, row, w = at[order], row[order], w[order]
                 heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
                 total[at[heads]] += np.add.reduceat(w[:, None] * projected[row], heads, axis=0)
-        used = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([total[i].astype("<f8").tobytes() for i in used], pa.binary())], ["at", "part"])
+        yield from packs(total, PACK, "<f8")
 
     return sketch
 
 
-def _add(group: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<f8") for x in group["part"])
-    return pd.DataFrame({"at": group["at"][:1], "part": [np.asarray(total, "<f8").tobytes()]})
-
-
-def _add_rows(group: pd.DataFrame) -> pd.DataFrame:
-    """The sum of rows of T; that of place -1 is a number of passages."""
-    kind = "<f8" if group["at"].iloc[0] < 0 else "<f4"
-    total = sum(np.frombuffer(x, kind).astype(np.float64) for x in group["part"])
-    return pd.DataFrame({"at": group["at"][:1], "part": [total.astype(kind).tobytes()]})
-
-
 def latent_space(passages: DataFrame, weights: np.ndarray, place: np.ndarray, rank: int, power: int = 2, seed: int = 3, moments: tuple[DataFrame, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The passages' (terms, weight) leading singular values and right singular vectors (features x rank), by randomised SVD.
 
-    moments: the co-occurrences (at, part) of further passages and the weight of each of these.
+    moments: the co-occurrences (packed rows) of further passages and the weight of each of these.
     """
     context = passages.sparkSession.sparkContext
     basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(weights), rank)))
     for turn in range(power + 1):
         shared = context.broadcast((weights, place, basis))  # features x rank, 2^BITS x rank at most
-        parts = passages.select("terms", "weight").mapInArrow(_sketch(shared, rank), "at int, part binary")
+        parts = passages.select("terms", "weight").mapInArrow(_sketch(shared, rank), PACKED)
         if moments is not None:
             further = context.broadcast((moments[1], basis))
-            parts = parts.union(moments[0].mapInArrow(_times(further, rank), "at int, part binary"))
-        parts = parts.groupBy("at").applyInPandas(_add, "at int, part binary").collect()
+            parts = parts.union(moments[0].mapInArrow(_times(further, rank), PACKED))
         total = np.zeros_like(basis)
-        for r in parts:
-            total[r["at"]] = np.frombuffer(r["part"], "<f8")
+        for r in parts.groupBy("pack").applyInPandas(_add_packs(PACK, "<f8"), PACKED).collect():
+            at, rows = unpack(r["at"], r["part"], "<f8")
+            total[at] = rows
         shared.destroy()
         if moments is not None:
             further.destroy()
@@ -339,12 +361,89 @@ def found_terms(around: list[int], rare: set[int], region: list[int], distinct:
     return out
 
 
+def cell_sums(space: np.ndarray, row: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+    """The sum of space[row] over each of n cells of STRIDE terms at most; cell is in order. Full cells go first, as in Words._hash."""
+    size = np.bincount(cell, minlength=n)
+    order = np.argsort(-size, kind="stable")
+    start, total = (np.cumsum(size) - size)[order], np.zeros((n, space.shape[1]), space.dtype)
+    for j, many in enumerate(np.searchsorted(-size[order], -np.arange(1, STRIDE + 1), "right").tolist()):
+        if not many:
+            break
+        total[:many] += space[row[start[:many] + j]]
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
+def run_names(h: np.ndarray) -> np.ndarray:
+    """64 bits of each run of RUN terms of h."""
+    out = np.zeros(max(0, len(h) - RUN + 1), U64)
+    with np.errstate(over="ignore"):
+        for j in range(RUN):
+            out = out * U64(0x9E3779B97F4A7C15) + h[j : j + len(out)]
+    return out
+
+
+class TermCheck:
+    """Which near pairs of window and passage can pass the checks on their terms, before each is checked by itself.
+
+    Such a pair has RUN equal terms in a row, or enough of the terms around the passage stand in the window's region. Terms count
+    by their features and runs by their names for all passages together, so a pair may be kept in vain, and none is lost.
+    """
+
+    def __init__(self, around: list[list[int]], dense: list[float], place: np.ndarray, features_: int):
+        hashes = [np.array(t, U64) for t in around]
+        self.place, self.dense = place, np.array(dense)
+        # the terms around a passage are all of its item, so their features are the benchmark's; the last column is never marked
+        self.around = np.full((len(hashes), max(map(len, hashes))), features_, np.int64)
+        for i, t in enumerate(hashes):
+            self.around[i, : len(t)] = place[features(t)]
+        self.runs = np.unique(np.concatenate([run_names(t) for t in hashes]))
+        self.first = np.zeros(1 << 20, bool)
+        self.first[self.runs >> U64(44)] = True
+        self.seen = np.zeros((max(1, SEEN_BYTES // (features_ + 1)), features_ + 1), np.uint8)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """How many of the runs that begin before each term of h, and at its end, some passage has."""
+        names = run_names(h)
+        maybe = np.flatnonzero(self.first[names >> U64(44)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.runs, names[maybe]), len(self.runs) - 1)
+            maybe = maybe[self.runs[at] == names[maybe]]
+        hit = np.zeros(len(h) + 1, np.int64)
+        hit[maybe + 1] = 1
+        return np.cumsum(hit)
+
+    def keep(self, row: np.ndarray, runs: np.ndarray, a: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of the pairs (terms a to b of the text, passage q), in the order of a: those that can pass. row: the terms' places; runs: see of."""
+        keep = runs[np.maximum(a, b - RUN + 1)] > runs[a]
+        apart = np.flatnonzero(~keep)
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(a[apart]) != 0])) if len(apart) else apart
+        window = np.zeros(len(apart), np.int64)
+        window[heads] = 1
+        window = np.cumsum(window) - 1
+        for lo in range(0, len(heads), len(self.seen)):
+            some = apart[heads[lo : lo + len(self.seen)]]
+            size = b[some] - a[some]
+            owner, feature = np.repeat(np.arange(len(some)), size), row[ragged(a[some], size)]
+            owner, feature = owner[feature >= 0], feature[feature >= 0]
+            self.seen[owner, feature] = 1
+            x, y = heads[lo], heads[lo + len(some)] if lo + len(some) < len(heads) else len(apart)
+            for i in range(x, y, CHECKED):
+                pair = apart[i : min(i + CHECKED, y)]
+                there = self.seen[(window[i : i + len(pair)] - lo)[:, None], self.around[q[pair]]].sum(axis=1, dtype=np.int64)
+                keep[pair] = there >= self.dense[q[pair]]
+            self.seen[owner, feature] = 0
+        return keep
+
+
 def _search(shared, similarity: float, lcs: float, answers: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, place, block = shared.value  # float32 weights x basis; feature -> row or -1; the block's passages
         queries, terms, rare, idf = block["vectors"], block["terms"], block["rare"], block["idf"]
         sets, around = [set(t) for t in terms], block["around"]
         runs, dense = [set(runs_of(t)) for t in around], [lcs * min(PASSAGE, len(t)) for t in around]
+        check, square = TermCheck(around, dense, place, len(space)), idf**2
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, at in text_blocks(batch.column(1), SEARCH_BYTES):
@@ -360,30 +459,32 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                 known = np.flatnonzero(row >= 0)
                 if not len(known):
                     continue
-                cells = np.zeros((int(many.sum()) + 1, space.shape[1]), np.float32)
-                heads = np.flatnonzero(np.concatenate([[True], np.diff(cell[known]) > 0]))
-                cells[cell[known][heads]] = np.add.reduceat(space[row[known]], heads, axis=0)
-                next_ = cells[1:].copy()
-                next_[(base + many - 1)[many > 0]] = 0  # the last cell of a text stands alone
-                window = cells[:-1] + next_
-                energy = np.append(np.bincount(cell, idf[feature] ** 2, int(many.sum())), 0)  # of all terms, the benchmark's or not
+                window = cell_sums(space, row[known], cell[known], int(many.sum()))
+                inner = np.ones(len(window), bool)
+                inner[(base + many - 1)[many > 0]] = False  # the last cell of a text stands alone
+                inner = np.flatnonzero(inner)
+                window[inner] += window[inner + 1]  # the right side is a copy
+                energy = np.append(np.bincount(cell, square[feature], int(many.sum())), 0)  # of all terms, the benchmark's or not
                 after = energy[1:].copy()
                 after[(base + many - 1)[many > 0]] = 0
                 size = np.sqrt(energy[:-1] + after + 1e-9).astype(np.float32)
                 # a window whose latent part is too small is near no passage (Cauchy-Schwarz)
-                live = np.flatnonzero((window * window).sum(axis=1) > (similarity * block["least"] * size) ** 2)
+                live = np.flatnonzero(np.einsum("ij,ij->i", window, window) > (similarity * block["least"] * size) ** 2)
                 owner = np.repeat(np.arange(hi - lo), many)
+                begin = words.first[owner] + (np.arange(len(owner)) - base[owner]) * STRIDE
+                begin, end = np.maximum(words.first[owner], begin - STRIDE // 2), np.minimum(words.first[owner + 1], begin + WINDOW + STRIDE // 2)
+                shared_runs = check.of(words.hash)
                 found: dict[tuple[int, int], tuple[float, int, int, int, bool]] = {}
                 for i in range(0, len(live), 8192):
                     part = live[i : i + 8192]
                     near = (window[part] / size[part, None]) @ queries.T
+                    w, q = np.divmod(np.flatnonzero(near >= similarity), near.shape[1])
+                    able = np.flatnonzero(check.keep(row, shared_runs, begin[part[w]], end[part[w]], q))
                     last = -1
-                    for w, q in zip(*np.nonzero(near >= similarity)):
+                    for w, q in zip(w[able].tolist(), q[able].tolist()):
                         if w != last:  # pairs come window by window
                             last, doc = w, int(owner[part[w]])
-                            start = int(words.first[doc] + (part[w] - base[doc]) * STRIDE)
-                            a, b = max(int(words.first[doc]), start - STRIDE // 2), min(int(words.first[doc + 1]), start + WINDOW + STRIDE // 2)
-                            region = words.hash[a:b].tolist()
+                            region = words.hash[begin[part[w]] : end[part[w]]].tolist()
                             distinct, there = set(region), set(runs_of(region))
                         apart = there.isdisjoint(runs[q])
                         if apart and sum(map(distinct.__contains__, around[q])) < dense[q]:
@@ -393,9 +494,9 @@ def _search(shared, similarity: float, lcs: float, answers: float):
                         here = len(rare[q] & distinct)
                         whole = got >= lcs * len(terms[q]) and here >= answers * len(rare[q])
                         if bits or whole:
-                            old = found.get((doc, int(q)), (0.0, 0, 0, 0, False))
+                            old = found.get((doc, q), (0.0, 0, 0, 0, False))
                             best = max(old[:3], (float(near[w, q]), got, here), key=lambda x: x[1:])
-                            found[doc, int(q)] = (*best, old[3] | bits, old[4] or whole)
+                            found[doc, q] = (*best, old[3] | bits, old[4] or whole)
                 if found:
                     q = [k[1] for k in found]
                     cells = [[block["left"][i] + j for j in range(len(around[i])) if v[3] >> j & 1] for v, i in zip(found.values(), q)]
@@ -469,11 +570,11 @@ def contaminated_texts(
         size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         tasks = max(1, min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES), size // MOMENT_BYTES)
         shared = spark.sparkContext.broadcast((idf[own], place))
-        summed = texts.select("text").coalesce(tasks).mapInArrow(tidy(_co_occurrences(shared)), "at int, part binary").groupBy("at").applyInPandas(_add_rows, "at int, part binary")
+        summed = texts.select("text").coalesce(tasks).mapInArrow(tidy(_co_occurrences(shared)), PACKED).groupBy("pack").applyInPandas(_add_packs(PACK_ROWS, "<f4"), PACKED)
         summed = scratch.stash(summed, "moments")
         shared.destroy()
-        there = sum(np.frombuffer(r["part"], "<f8")[0] for r in summed.filter("at = -1").collect())
-        moments = (summed.filter("at >= 0"), CORPUS_SHARE * total / max(1.0, there))
+        there = sum(np.frombuffer(r["part"], "<f8")[0] for r in summed.filter("pack = -1").collect())
+        moments = (summed.filter("pack >= 0"), CORPUS_SHARE * total / max(1.0, there))
     else:
         some = texts.select("text").mapInArrow(tidy(_cut_texts), "terms binary")
         fit = fit.union(some.select("terms", F.lit(CORPUS_SHARE * total / max(1, some.count()))))
