@@ -19,6 +19,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """cut as a stored table: smaller than a checkpoint, and its count and size are known."""
+    return stored(df, folder(df.sparkSession, name))
+
+
+#: Rows of a stored table that go to the other side of a join, rather than both sides to a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast while it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def numbered(df: DataFrame, *keys: str, name: str = "n", partitions: int | None = None) -> DataFrame:
     """df with dense numbers from 0 in the order of its keys: sorted ranges, each begun at the count of the rows before it."""
     ranges = df.repartitionByRange(*keys) if partitions is None else df.repartitionByRange(partitions, *keys)

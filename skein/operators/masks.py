@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.lineage import cut, numbered
+from skein.operators.lineage import kept, numbered, small
 
 WORD = 64
 
@@ -45,8 +45,8 @@ def minus(masks: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def step(masks: DataFrame, edges: DataFrame, at: str, to: str) -> DataFrame:
-    """Over the edges, from nodes of one side to those of the other."""
-    return _union(edges.select(F.col(at).alias("id"), F.col(to).alias("to")).join(masks, "id").select(F.col("to").alias("id"), "word", "mask"))
+    """Over the edges, from nodes of one side to those of the other; few masks (stored) go to the edges, which are many, and no edge is shuffled."""
+    return _union(edges.select(F.col(at).alias("id"), F.col(to).alias("to")).join(small(masks), "id").select(F.col("to").alias("id"), "word", "mask"))
 
 
 def open_queries(masks: DataFrame, gained: DataFrame, most: int) -> DataFrame:
@@ -58,27 +58,30 @@ def open_queries(masks: DataFrame, gained: DataFrame, most: int) -> DataFrame:
     return x.select("id", "word", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("full", F.lit(0).cast("long")))).alias("mask")).filter("mask <> 0")
 
 
-def expand(seeds: DataFrame, start: DataFrame, edges: DataFrame, hops: int, gate: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """graph.expand over masks: the events gained in ``hops`` rounds from start, of entities that weren't known."""
+def expand(seeds: DataFrame, start: DataFrame, edges: DataFrame, hops: int, gate: int | None = None, exclude: DataFrame | None = None, last: DataFrame | None = None) -> DataFrame:
+    """graph.expand over masks: the events gained in ``hops`` rounds from start, of entities that weren't known.
+
+    ``last``, if given, are the edges that the last round takes to events: those of the events that are wanted.
+    """
     entities, frontier, gained = seeds, start, None
     events = start if exclude is None else union(start, exclude)
     for hop in range(hops):
         if gate is not None and gained is not None:
-            frontier = open_queries(frontier, gained, gate)
-        fresh = cut(minus(step(frontier, edges, "event_id", "entity_id"), entities))
-        frontier = cut(minus(step(fresh, edges, "entity_id", "event_id"), events))
+            frontier = kept(open_queries(frontier, gained, gate), "masks")
+        fresh = kept(minus(step(frontier, edges, "event_id", "entity_id"), entities), "masks")
+        frontier = kept(minus(step(fresh, edges if last is None or hop + 1 < hops else last, "entity_id", "event_id"), events), "masks")
         if hop + 1 < hops:
-            entities, events = cut(union(entities, fresh)), cut(union(events, frontier))
+            entities, events = kept(union(entities, fresh), "masks"), kept(union(events, frontier), "masks")
         gained = frontier if gained is None else union(gained, frontier)
     return start.limit(0) if gained is None else gained
 
 
-def phase_b(seeds: DataFrame, eventset: DataFrame, edges: DataFrame, most: int = 0, retries: int = 3) -> DataFrame:
-    """graph.phase_b over masks."""
+def phase_b(seeds: DataFrame, eventset: DataFrame, edges: DataFrame, most: int = 0, retries: int = 3, last: DataFrame | None = None) -> DataFrame:
+    """graph.phase_b over masks; last as in expand."""
     if most <= 0 or retries <= 0:
         return eventset.limit(0)
-    first = cut(minus(step(seeds, edges, "entity_id", "event_id"), eventset))
+    first = kept(minus(step(seeds, edges if last is None or retries > 1 else last, "entity_id", "event_id"), eventset), "masks")
     if retries == 1:
         return first
-    more = expand(seeds, open_queries(first, first, most), edges, retries - 1, most, union(eventset, first))
+    more = expand(seeds, kept(open_queries(first, first, most), "masks"), edges, retries - 1, most, union(eventset, first))
     return union(first, more)

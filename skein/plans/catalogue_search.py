@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from skein import providers
 from skein.functions import values
 from skein.operators import chunking, extraction, fulltext, metrics, vectors
-from skein.operators.lineage import cut
 from skein.plans.catalogue import _COS, _gold, _pred, _scalar, query
 from skein.plans.search import Corpus, SearchConfig, search
 from skein.sources import tables
@@ -19,7 +18,8 @@ from skein.sources import tables
 def _stored(t) -> Corpus:
     e = t.embeddings
     events = e.select(F.col("vec_id").alias("event_id"), F.expr("vec_id div 2").alias("chunk_id"), F.col("embedding").alias("title_vector"), F.reverse("embedding").alias("content_vector"))
-    edges = cut(t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id")).distinct())
+    # an edge may come twice: steps over edges give sets
+    edges = t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("entity_id"))
     return Corpus(events, e.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("v")), edges, e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators import graph, masks, vectors
-from skein.operators.lineage import cut
+from skein.operators.lineage import cut, kept, small
 
 
 @dataclass(frozen=True)
@@ -165,24 +165,34 @@ def search(queries: DataFrame, query_entities: DataFrame, corpus: Corpus, config
     if config.strategy == "vector":
         return vectors.top_k(direct, config.max_sections, tie="chunk_id").select("qid", F.col("rank").alias("pos"), "chunk_id", F.col("score").alias("weight"), F.lit(1).alias("src"))
     seeds = recall_entities(query_entities, corpus.entities, config.entity_top_k, config.entity_threshold, config.scaled)
-    seeds = cut(seeds.select("qid", "entity_id"))
-    by_entity = graph.entity_to_event(seeds, corpus.edges).withColumn("score", F.lit(0.0))
+    seeds = kept(seeds.select("qid", "entity_id"), "seeds")
+    by_entity = graph.entity_to_event(small(seeds), corpus.edges).withColumn("score", F.lit(0.0))
     titles = corpus.events.select(F.col("event_id").alias("id"), F.col("title_vector").alias("v"))
     by_title = vectors.knn(queries, titles, config.event_top_k).filter(vectors.score_from_cosine(F.col("score"), config.scaled) >= config.event_threshold).select("qid", F.col("id").alias("event_id"), "score")
-    start = cut(recall_channels(by_entity, by_title).select("qid", "event_id"))
+    start = kept(recall_channels(by_entity, by_title).select("qid", "event_id"), "start")
     # the expansion goes by bits: its rows are nodes with the queries that reach them
     known = cut(masks.numbers(queries))
-    seeds, start = cut(masks.pack(seeds, known, "entity_id")), cut(masks.pack(start, known, "event_id"))
+    seeds, start = kept(masks.pack(seeds, known, "entity_id"), "masks"), kept(masks.pack(start, known, "event_id"), "masks")
     hops = config.max_hops if config.strategy in ("multi", "atomic") else 1
-    gained = masks.expand(seeds, start, corpus.edges, hops)
-    eventset = cut(masks.union(start, gained))
+    two_phases = config.strategy in ("multi1", "hopllm") and config.max_events_b > 0
+    # only stored events are ranked, so a last step goes over their edges alone; multi1 goes on from the events it gains, and retries count all
+    onward, retries = two_phases and config.strategy == "multi1", two_phases and config.max_hop_retries > 1
+    shown = kept(corpus.events.select("event_id").distinct(), "shown")
+    ends = kept(corpus.edges.select("event_id", "entity_id").join(small(shown), "event_id", "left_semi").repartition("event_id"), "edges")
+    gained = masks.expand(seeds, start, corpus.edges, hops, last=None if onward or retries else ends)
+    seen = gained if retries or not onward else gained.join(small(shown.withColumnRenamed("event_id", "id")), "id", "left_semi")
+    eventset = kept(masks.union(start, seen), "masks")
     vector = "title_vector" if config.strategy == "atomic" else "content_vector"
     ranked = rank_masks(queries, known, eventset, corpus.events, vector, config.max_events_a if config.strategy == "hopllm" else config.max_events)
-    if config.strategy in ("multi1", "hopllm") and config.max_events_b:
+    if two_phases:
         ranked = cut(ranked)
-        origin = gained if config.strategy == "multi1" else masks.pack(ranked.select("qid", "id"), known, "id")
-        seeds_b = cut(masks.step(origin, corpus.edges, "event_id", "entity_id"))
-        second = cut(masks.phase_b(seeds_b, eventset, corpus.edges, config.max_events_b, config.max_hop_retries))
+        origin = gained if onward else kept(masks.pack(ranked.select("qid", "id"), known, "id"), "masks")
+        back = corpus.edges
+        if not retries:  # entities that lead to no stored event are left out
+            near = kept(ends.select("entity_id").distinct(), "near")
+            back = small(kept(corpus.edges.select("event_id", "entity_id").join(small(near), "entity_id", "left_semi"), "edges"))
+        seeds_b = kept(masks.step(origin, back, "event_id", "entity_id"), "masks")
+        second = kept(masks.phase_b(seeds_b, eventset, corpus.edges, config.max_events_b, config.max_hop_retries, ends), "masks")
         ranked = graph.dual_phase(ranked.select("qid", "id", "score"), rank_masks(queries, known, second, corpus.events, vector, config.max_events_b).select("qid", "id", "score"))
     else:
         ranked = ranked.withColumn("pos", F.col("rank"))
